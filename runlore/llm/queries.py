@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .bpe import bpe_digests, read_ranks
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import each_row, mix_decisions
+from .quality import fit_quality, quality
+from .toxicity import fit_toxicity, toxicity_score
+from .vector_search import TOP_K_SQL, top_k
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, as texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
+def _remainder(doc_id: Column, n: int) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of documents that are not held out: doc_id, held_out, score,
+    predicted. A null id is not held out."""
+    _bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = fit_toxicity(docs, labels, where=lambda i: _remainder(i, 5) != 0)
+    scored = docs.select("doc_id", toxicity_score(docs, model).alias("score"))
+    return scored.select(
+        "doc_id", F.coalesce(_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +43,36 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    import public_tokenizers
+
+    _bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return docs.select("doc_id", bpe_digests(docs, ranks, public_tokenizers.PATTERN).alias("x")).select("doc_id", "x.*")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and the regression's verdict of every document: doc_id, n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed, kept, quality."""
+    _bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return docs.select("doc_id", quality(docs, model).alias("q")).select("doc_id", "q.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix's words of every document: doc_id, size, source_size, target, taken."""
     rows = each_row(mix_decisions(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_mixing": op8_mixing}
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 rows of greatest integer inner product for every vector whose id is divisible by 50."""
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k}
 
-ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL}
+ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
