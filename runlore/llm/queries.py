@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .bpe import bpe_digests, read_ranks
+from .language_model import language_model_scores, train_language_model
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import each_row, mix_decisions
 from .quality import fit_quality, quality
@@ -73,6 +74,19 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, learnt from nine tenths of them: doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score, perplexity. A null id is not held out."""
+    _bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda i: F.coalesce(_remainder(i, 10) == 0, F.lit(False))
+    model = train_language_model(docs.filter(~held_out(F.col("doc_id"))))
+    return language_model_scores(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
 
 ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
