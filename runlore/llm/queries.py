@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .bpe import bpe_digests, read_ranks
+from .html_text import main_text_column
 from .language_model import language_model_scores, train_language_model
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import each_row, mix_decisions
@@ -38,6 +39,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars."""
+    _bounded_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text_column("html").alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without lines on more than a tenth of their source's documents: doc_id, n_lines, n_removed, text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -87,6 +95,6 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
 
 ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
