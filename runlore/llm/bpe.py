@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashed_text import Cache
+#: Pairs of tokens and pieces of text that a worker remembers at most (pieces: until a batch goes beyond).
+MOST_PAIRS, MOST_PIECES = 1_000_000, 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,7 +39,9 @@ class Vocabulary:
         self.joined: dict[tuple[int, int], int] = {}
         #: Tokens that merges lead to; others stand for a whole match only.
         self.reached: dict[bytes, int] = {}
-        #: By last byte, the lengths of tokens that end in it, long ones first.
+        #: Pairs of tokens that were looked at before, and whether they may stand side by side.
+        self.adjoining: dict[tuple[int, int], bool] = {}
+        #: By last byte, the lengths of tokens that end in it, short ones first.
         ends: dict[int, set[int]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             ends.setdefault(token[-1], set()).add(len(token))
@@ -48,7 +51,7 @@ class Vocabulary:
                 self.joined[pair] = rank
             if pair or len(token) == 1:
                 self.reached[token] = rank
-        self.ends = {byte: sorted(lengths, reverse=True) for byte, lengths in ends.items()}
+        self.ends = {byte: sorted(lengths) for byte, lengths in ends.items()}
 
     def _merged_from(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes and tokens that merges don't lead to."""
@@ -88,8 +91,16 @@ class PrefixEncoding:
     def append(self, data: bytes) -> None:
         start = len(self.data)
         self.data += data
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last_of(end))
+        self._extend(start + 1, len(self.data) + 1)
+
+    def become(self, data: bytes) -> None:
+        """Other data; entries of the prefix that both share stay."""
+        shared = min(len(data), len(self.data))
+        if self.data[:shared] != data[:shared]:
+            shared = next(i for i, (a, b) in enumerate(zip(self.data, data)) if a != b)
+        del self.last[shared + 1 :]
+        self.data = data
+        self._extend(shared + 1, len(data) + 1)
 
     def edit(self, start: int, stop: int, data: bytes) -> int:
         """Puts data in place of bytes start to stop; returns how many entries were computed anew."""
@@ -99,7 +110,7 @@ class PrefixEncoding:
         self.data = self.data[:start] + data + self.data[stop:]
         self.last, agree = old[: start + 1], 0
         for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last_of(end))
+            self._extend(end, end + 1)
             agree = agree + 1 if end > start + len(data) and self.last[end] == old[end - shift] else 0
             if agree >= self.vocabulary.longest:
                 self.last += old[end - shift + 1 :]
@@ -114,33 +125,62 @@ class PrefixEncoding:
             end -= len(self.vocabulary.tokens[out[-1]])
         return out[::-1]
 
-    def _last_of(self, end: int) -> int:
-        v = self.vocabulary
-        for length in v.ends[self.data[end - 1]]:
-            if length <= end and (token := v.reached.get(self.data[end - length : end])) is not None:
-                if length == end or v.may_adjoin(self.last[end - length], token):
-                    return token
-        raise ValueError("the vocabulary lacks a byte")
+    def _extend(self, start: int, stop: int) -> None:
+        """The entries from start to before stop. One token only fits each, so short ones are tried first."""
+        data, last, v = self.data, self.last, self.vocabulary
+        ends, rank_of, known = v.ends, v.reached.get, v.adjoining
+        for end in range(start, stop):
+            for length in ends[data[end - 1]]:
+                if length >= end:
+                    token = rank_of(data[:end]) if length == end else None
+                    if token is None:
+                        raise ValueError("the vocabulary lacks a byte")
+                    last.append(token)
+                    break
+                token = rank_of(data[end - length : end])
+                if token is None:
+                    continue
+                pair = (last[end - length], token)
+                fits = known.get(pair)
+                if fits is None:
+                    if len(known) >= MOST_PAIRS:
+                        known.clear()
+                    fits = known[pair] = v.may_adjoin(*pair)
+                if fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
 
 class Codec:
-    """Whole texts to token ids and back: each match of the pattern is encoded by itself, and remembered."""
+    """Whole texts to token ids and back. Each match of the pattern is encoded by itself and remembered; those that are
+    new in a batch are encoded in sorted order, so that each takes over the entries of the prefix it shares with the
+    one before."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        self.pieces = Cache(lambda p: " ".join(map(str, self._piece(p.encode("utf-8", "replace")))))
+        #: Decimal ids, joined by spaces, of pieces.
+        self.pieces: dict[str, str] = {}
         self.token = {str(i): t for i, t in self.vocabulary.tokens.items()}
 
-    def _piece(self, data: bytes) -> list[int]:
-        whole = self.vocabulary.ranks.get(data)
-        return [whole] if whole is not None else PrefixEncoding(self.vocabulary, data).tokens()
-
-    def encode(self, text: str) -> str:
-        """Decimal ids, joined by spaces."""
-        return " ".join(map(self.pieces.__getitem__, self.split(text)))
+    def encode(self, texts: Iterable[str | None]) -> Iterator[str]:
+        """Of each text (null: empty) the decimal ids, joined by spaces."""
+        parts = [self.split(t or "") for t in texts]
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        walk = PrefixEncoding(self.vocabulary)
+        for piece in sorted(set().union(*parts) - self.pieces.keys()):
+            data = piece.encode("utf-8", "replace")
+            whole = self.vocabulary.ranks.get(data)
+            if whole is None:
+                walk.become(data)
+            self.pieces[piece] = str(whole) if whole is not None else " ".join(map(str, walk.tokens()))
+        for part in parts:
+            yield " ".join(map(self.pieces.__getitem__, part))
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.split()))
@@ -154,8 +194,7 @@ def bpe_codes(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     @F.pandas_udf("n_tokens bigint, token_ids array<int>, decoded binary")
     def coded(texts: pd.Series) -> pd.DataFrame:
         codec = _codec(shared)
-        ids = [codec.encode(t or "") for t in texts]
-        rows = [(len(x), x, codec.decode(s)) for s in ids for x in [list(map(int, s.split()))]]
+        rows = [(len(x), x, codec.decode(s)) for s in codec.encode(texts) for x in [list(map(int, s.split()))]]
         return pd.DataFrame(rows, columns=["n_tokens", "token_ids", "decoded"])
 
     return coded.asNondeterministic()(F.col(text))
@@ -174,8 +213,7 @@ def bpe_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
 
 
 def _digests(codec: Codec, texts: pd.Series) -> Iterator[tuple[int, str, str]]:
-    for text in texts:
-        ids = codec.encode(text or "")
+    for ids in codec.encode(texts):
         decoded = hashlib.sha256(codec.decode(ids)).hexdigest()
         yield (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), decoded
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .bpe import bpe_digests, read_ranks
 from .html_text import main_text_column
+from .jaccard import jaccard_components
 from .language_model import language_model_scores, train_language_model
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import each_row, mix_decisions
@@ -52,6 +53,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more: doc_id, n_shingles,
+    component_id."""
+    _bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jaccard_components(docs, k=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
@@ -95,6 +105,6 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op5_jaccard": op5_jaccard, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
 
 ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
