@@ -13,6 +13,7 @@ from .language_model import language_model_scores, train_language_model
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import each_row, mix_decisions
 from .quality import fit_quality, quality
+from .suffix_dedup import without_repeats
 from .toxicity import fit_toxicity, toxicity_score
 from .vector_search import TOP_K_SQL, top_k
 
@@ -40,6 +41,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without strings of 400 bytes that are found elsewhere too: doc_id, n_bytes,
+    n_removed, n_spans, kept_sha256."""
+    _bounded_batches(spark)
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars."""
     _bounded_batches(spark)
@@ -105,6 +118,6 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op5_jaccard": op5_jaccard, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op5_jaccard": op5_jaccard, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
 
 ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
