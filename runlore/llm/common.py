@@ -42,6 +42,6 @@ def small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """df over enough tasks for Python workers when it has few input files."""
-    return df.repartition(parts) if parts else df
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches have few rows, as texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

@@ -179,16 +179,18 @@ def _runs(texts: pd.Series, most: int = 3_000_000) -> Iterator[slice]:
 
 
 def shingle_keys(df: DataFrame, k: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles and node (a 64-bit hash of the set of shingles) of each row."""
+    """id, text_hash, n_shingles and node (a 64-bit hash of the set of shingles) of each row."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for run in _runs(b["text"]):
                 s = shingle_sets(list(b["text"].iloc[run]), k)
-                yield pd.DataFrame({"id": b["id"].iloc[run].to_numpy(), "n_shingles": s.size, "node": s.node.view(np.int64)})
+                own = b[["id", "text_hash"]].iloc[run].reset_index(drop=True)
+                yield own.assign(n_shingles=s.size, node=s.node.view(np.int64))
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(keys, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, node bigint")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(keys, f"id {kind}, text_hash bigint, n_shingles bigint, node bigint")
 
 
 def _common(texts: DataFrame, n: int, k: int) -> np.ndarray:
@@ -210,9 +212,9 @@ def _common(texts: DataFrame, n: int, k: int) -> np.ndarray:
 def jaccard_components(
     df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """id, n_shingles, node, component_id of each row of df: words in lower case (A-Z) give a set of k-word shingles
+    """id, text_hash, n_shingles, root, component_id of each row of df: words in lower case (A-Z) give a set of k-word shingles
     (a text of fewer words: one shingle of all), two rows are linked when 100 * |x & y| >= percent * |x | y|, and a
-    component's id is the smallest id in it.
+    component's id is the smallest id in it (root: the smallest hash of its sets).
 
     Null and empty texts have no shingles and are linked with nothing, nor are null ids smaller than others; rows that
     repeat are linked as equal sets. An empty table gives an empty result. Shingles are compared by 64-bit hashes."""
@@ -239,13 +241,36 @@ def jaccard_components(
     places = checkpointed(sent.join(meeting, "signature").distinct())
     linked = _linked(places, _members(texts, nodes, places, k), percent)
     grouped = linked.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
-    of_linked = linked.join(grouped, "root").select("node", "component")
-    of_copies = nodes.filter("copies > 1").join(linked, "node", "left_anti").select("node", F.col("least").alias("component"))
+    of_linked = linked.join(grouped, "root").select("node", "root", "component")
+    copies = nodes.filter("copies > 1").join(linked, "node", "left_anti")
+    of_copies = copies.select("node", F.col("node").alias("root"), F.col("least").alias("component"))
     found = checkpointed(of_linked.unionByName(of_copies)).withColumnRenamed("node", "found")
     if small(found, BROADCAST):
         found = F.broadcast(found)
     same = (F.col("node") == F.col("found")) & (F.col("n_shingles") > 0)
-    return rows.join(found, same, "left").select("id", "n_shingles", "node", F.coalesce("component", "id").alias("component_id"))
+    return rows.join(found, same, "left").select(
+        "id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"), F.coalesce("component", "id").alias("component_id")
+    )
+
+
+def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one row of each component of jaccard_components: the one with the smallest id (null last; of several
+    such, the one with the smallest text hash; of rows that also repeat id and text, any one). Rows without words all
+    stay. Columns stay as they are."""
+    rows = checkpointed(jaccard_components(df, k, percent, id_col, text).filter("n_shingles > 0"))
+    first = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("text_hash"))
+    groups = rows.groupBy("root").agg(F.min(first).alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    members = rows.join(groups.select("root", "kept"), "root").withColumn("stays", first == F.col("kept"))
+    by_text = members.groupBy("id", "text_hash").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    verdicts = checkpointed(by_text.filter("not stays or rows > 1").select(F.col("id").alias("i"), F.col("text_hash").alias("h"), "stays"))
+    if small(verdicts, BROADCAST):
+        verdicts = F.broadcast(verdicts)
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(text).alias("text_hash"))
+    same = F.col(f"row.`{id_col}`").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))
+    kept = whole.join(verdicts.filter("not stays"), same, "left_anti")
+    repeated = verdicts.filter("stays")
+    once = kept.join(repeated, same, "left_semi").withColumn("id", F.col(f"row.`{id_col}`")).dropDuplicates(["id", "text_hash"])
+    return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def _members(texts: DataFrame, nodes: DataFrame, places: DataFrame, k: int) -> DataFrame:

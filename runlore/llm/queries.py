@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .bpe import bpe_digests, read_ranks
 from .html_text import main_text_column
 from .jaccard import jaccard_components
@@ -18,11 +18,6 @@ from .toxicity import fit_toxicity, toxicity_score
 from .vector_search import TOP_K_SQL, top_k
 
 
-def _bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-
-
 def _remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
@@ -30,7 +25,7 @@ def _remainder(doc_id: Column, n: int) -> Column:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels of documents that are not held out: doc_id, held_out, score,
     predicted. A null id is not held out."""
-    _bounded_batches(spark)
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = fit_toxicity(docs, labels, where=lambda i: _remainder(i, 5) != 0)
@@ -44,7 +39,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without strings of 400 bytes that are found elsewhere too: doc_id, n_bytes,
     n_removed, n_spans, kept_sha256."""
-    _bounded_batches(spark)
+    small_batches(spark)
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"])
     return found.select(
@@ -55,7 +50,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars."""
-    _bounded_batches(spark)
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text_column("html").alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -69,7 +64,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more: doc_id, n_shingles,
     component_id."""
-    _bounded_batches(spark)
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = jaccard_components(docs, k=3, percent=90)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -79,7 +74,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    _bounded_batches(spark)
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return docs.select("doc_id", bpe_digests(docs, ranks, public_tokenizers.PATTERN).alias("x")).select("doc_id", "x.*")
@@ -88,7 +83,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and the regression's verdict of every document: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, quality."""
-    _bounded_batches(spark)
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return docs.select("doc_id", quality(docs, model).alias("q")).select("doc_id", "q.*")
@@ -108,7 +103,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document, learnt from nine tenths of them: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, perplexity. A null id is not held out."""
-    _bounded_batches(spark)
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = lambda i: F.coalesce(_remainder(i, 10) == 0, F.lit(False))
     model = train_language_model(docs.filter(~held_out(F.col("doc_id"))))
