@@ -12,7 +12,7 @@ from .classify import label_count_maps, label_counts
 
 # Fixed values.
 DEFAULT_PAGE, MAX_PAGE = 50, 200
-COMPARISON_NOTE = "Observed differences are not causal proof."
+COMPARISON_NOTE = "Independent metrics; no semantic alignment is asserted."
 DISCLAIMER = "Observed patterns are not causal proof."
 
 
