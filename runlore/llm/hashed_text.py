@@ -2,56 +2,55 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
-
-
-def char_ngrams(word: str, low: int, high: int) -> list[str]:
-    """The character n-grams of a word with its ends marked, low to high characters long; of a very long word (a line
-    of base64, say) all of them too, in time linear in its length."""
-    marked = f"<{word}>"
-    return [marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
-
-
-def bucket(feature: str, buckets: int) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % buckets
-
-
-class Cache(dict):
-    """Values of a function by word; starts anew when full, so that a worker's memory stays bounded."""
-
-    def __init__(self, made):
-        super().__init__()
-        self.made = made
-
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = self.made(word)
-        return value
+from .words import Words, mixed
+
+_ODD = np.random.default_rng(3).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_features(words: Words, at: np.ndarray, low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For some words of texts: word (place in at) and bucket of each of their features, which are the word itself and
+    its character n-grams from low to high characters, the word's ends marked."""
+    data = words.data
+    shown = " ".join(f"<{data[s:e].decode('utf-8', 'replace')}>" for s, e in zip(words.starts[at], words.ends[at], strict=True))
+    codes = np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    gap = codes == 32
+    word = np.cumsum(gap)
+    found_word, found_bucket = [], []
+    for n in range(low, high + 1):
+        m = len(codes) - n + 1
+        if m <= 0:
+            break
+        h = np.full(m, n, np.uint64)
+        for j in range(n):
+            h += codes[j : j + m] * _ODD[j]
+        ok = (word[:m] == word[n - 1 :]) & ~gap[:m]  # a gap starts the next word's number
+        found_word.append(word[:m][ok])
+        found_bucket.append(mixed(h[ok]))
+    found_word.append(np.arange(len(at)))
+    found_bucket.append(mixed(words.hashes[at] + _ODD[15]))
+    return np.concatenate(found_word), ((np.concatenate(found_bucket) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
 
 
 class Bags:
-    """Rows of a training sample as sparse counts: row i holds feature f, weight times."""
+    """Rows as sparse sums: entry i adds weight i (1 without weights) times the value of feature i to row i."""
 
-    def __init__(self, rows: list[np.ndarray], weights: list[np.ndarray]):
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in rows])
-        self.feature = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.weight = np.concatenate(weights) if weights else np.zeros(0)
+    def __init__(self, row: np.ndarray, feature: np.ndarray, rows: int, weight: np.ndarray | None = None):
+        self.row, self.feature, self.rows, self.weight = row.astype(np.int32), feature.astype(np.int32), rows, weight
 
     def forward(self, values: np.ndarray) -> np.ndarray:
-        """Each row's weighted sum of values by feature."""
-        return np.bincount(self.row, self.weight * values[self.feature], self.n)
+        at = values[self.feature]
+        return np.bincount(self.row, at if self.weight is None else at * self.weight, self.rows)
 
     def backward(self, grads: np.ndarray, features: int) -> np.ndarray:
-        return np.bincount(self.feature, self.weight * grads[self.row], features)
+        at = grads[self.row]
+        return np.bincount(self.feature, at if self.weight is None else at * self.weight, features)
 
 
 class Adam:
@@ -68,18 +67,18 @@ class Adam:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_chars: int, where=None,
+    docs: DataFrame, labels: DataFrame, label: str, zeros: int, ones: int, max_chars: int, where=None,
     id_col: str = "doc_id", text: str = "text",
-) -> list[tuple]:
-    """(text, label) of at most rows_per_class labelled documents of each class, those of the lowest id hashes, whose
-    texts have at most max_chars characters. Rows without id, text or a label of 0 or 1 are left out; of ids that
-    repeat, one row counts. The ids are bounded by the two parameters, so they are broadcast and what comes to the
-    driver is bounded too."""
+) -> tuple[list[tuple], float]:
+    """(text, label) of at most so many labelled documents of each class, those of the lowest id hashes, whose texts
+    have at most max_chars characters; and the share of label 1 among all labels. Rows without id, text or a label of
+    0 or 1 are left out; of ids that repeat, one row counts. The ids are bounded by the parameters, so they are
+    broadcast and what comes to the driver is bounded too."""
     ids = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null")
     if where is not None:
         ids = ids.filter(where(F.col("i")))
     ids = ids.groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
-    picked = ids.filter("y = 0").orderBy("h", "i").limit(rows_per_class).unionByName(ids.filter("y = 1").orderBy("h", "i").limit(rows_per_class))
+    picked = ids.filter("y = 0").orderBy("h", "i").limit(zeros).unionByName(ids.filter("y = 1").orderBy("h", "i").limit(ones))
     found = (
         docs.select(F.col(id_col).alias("d"), F.col(text).alias("t"))
         .filter(F.length("t") <= max_chars)
@@ -87,4 +86,18 @@ def labelled_sample(
         .groupBy("h", "d", "y").agg(F.min("t").alias("t"))
         .orderBy("h", "d")
     )
-    return [(r["t"], r["y"]) for r in found.select("t", "y").toLocalIterator()]
+    share = ids.agg(F.avg("y")).first()[0]
+    return [(r["t"], r["y"]) for r in found.select("t", "y").toLocalIterator()], 0.5 if share is None else share
+
+
+def text_runs(texts: pd.Series, most: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts of a batch in runs of bounded total length, or of one text."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t or "") + 1
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run

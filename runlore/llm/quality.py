@@ -3,8 +3,8 @@ and character n-grams that is trained on labelled quality rows and scored in Arr
 
 The features of a text are means over its words: of each word the word itself and its character n-grams (as written:
 case and signs matter), and of each pair of neighbours the word 2-gram; a word right after itself is one feature of
-all such pairs. The regression is linear, so it scores a word by one number that is cached, and 2-grams by one look
-up in an array.
+all such pairs. The regression is linear, so a batch of texts sums weights over the n-grams of its different words,
+and these sums over its words.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS
-from .hashed_text import Adam, Bags, Cache, bucket, char_ngrams, labelled_sample
+from .hashed_text import Adam, Bags, labelled_sample, text_runs, word_features
+from .words import Words, pair_hash, words_of
 
 BUCKETS = 1 << 18
 LOW, HIGH = 1, 3
@@ -26,25 +27,17 @@ MIN_WORDS, MAX_REPEATED = 50, 0.5
 #: A text is kept when its calibrated probability of good quality reaches this.
 KEEP = 0.5
 FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, quality double, kept boolean"
-_SAME = bucket("same word again", BUCKETS)
-_FACTOR = 0x9E3779B97F4A7C15
+#: The bucket of a word right after itself.
+_SAME = 77
 
 
-def _word_features(word: bytes) -> list[int]:
-    text = word.decode("utf-8", "replace")
-    return [bucket("=" + text, BUCKETS), *(bucket(g, BUCKETS) for g in char_ngrams(text, LOW, HIGH))]
-
-
-def _pair_features(hashes: np.ndarray) -> np.ndarray:
-    """The buckets of word 2-grams, from hashes of the words in order."""
-    a, b = hashes[:-1], hashes[1:]
-    mixed = (a * np.uint64(_FACTOR)) ^ b
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(_FACTOR)
-    return np.where(a == b, _SAME, (mixed >> np.uint64(46)).astype(np.int64) % BUCKETS)
-
-
-def _word_hash(word: bytes) -> int:
-    return bucket("h" + word.decode("utf-8", "replace"), 1 << 32) << 20 ^ len(word)
+def _pairs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of each word 2-gram."""
+    of = words.text
+    within = of[1:] == of[:-1]
+    a, b = words.hashes[:-1][within], words.hashes[1:][within]
+    bucket = (pair_hash(a, b) >> np.uint64(20)) % np.uint64(BUCKETS)
+    return of[1:][within], np.where(a == b, _SAME, bucket.astype(np.int64))
 
 
 @dataclass
@@ -56,55 +49,44 @@ class QualityModel:
     scale: float = 1.0
     shift: float = 0.0
 
-    def cache(self) -> Cache:
-        w = self.weights
-
-        def made(word: bytes) -> tuple[float, int]:
-            f = _word_features(word)
-            return float(w[f].mean()), _word_hash(word)
-
-        return Cache(made)
-
-    def raw(self, words: list[bytes], cache: Cache) -> float:
-        if not words:
-            return self.bias
-        got = [cache[w] for w in words]
-        x = self.bias + sum(g[0] for g in got) / len(got)
-        if len(got) > 1:
-            hashes = np.fromiter((g[1] for g in got), np.uint64, len(got))
-            x += float(self.weights[_pair_features(hashes)].mean())
-        return x
-
-    def probability(self, words: list[bytes], cache: Cache) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.scale * self.raw(words, cache) + self.shift, -60, 60))))
-
-
-def repeated_words(words: list[bytes]) -> int:
-    """How many words stand in a window of three words that is found twice or more, first places included."""
-    if len(words) < 4:
-        return 0
-    index: dict[bytes, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    pairs = np.unique(ids[:-1] * len(index) + ids[1:], return_inverse=True)[1]  # below len(words), so the next product fits
-    _, inverse, counts = np.unique(pairs[:-1] * len(index) + ids[2:], return_inverse=True, return_counts=True)
-    again = counts[inverse] >= 2
-    covered = np.zeros(len(words), bool)
-    for k in range(3):
-        covered[k : k + len(again)] |= again
-    return int(covered.sum())
-
-
-def base_counts(text: str | None) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
-    """The words of a text and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()  # at the six ASCII blanks
-    chars = len(text) - sum(map(text.count, BLANKS.decode()))
-    lines = [x for x in text.split("\n") if x.strip(BLANKS.decode())]
-    return words, (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words))
-
-
-def fails_base(n_words: int, n_repeat_words: int) -> bool:
-    return n_words < MIN_WORDS or n_repeat_words > MAX_REPEATED * n_words
+    def probabilities(self, words: Words) -> np.ndarray:
+        """Each text's calibrated probability of good quality."""
+        n = len(words.counts)
+        _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        word, bucket = word_features(words, first, LOW, HIGH, BUCKETS)
+        of_word = np.bincount(word, self.weights[bucket], len(first)) / np.maximum(1, np.bincount(word, minlength=len(first)))
+        x = self.bias + np.bincount(words.text, of_word[back], n) / np.maximum(1, words.counts)
+        of, bucket = _pairs(words)
+        x += np.bincount(of, self.weights[bucket], n) / np.maximum(1, words.counts - 1)
+        return 1 / (1 + np.exp(-np.clip(self.scale * x + self.shift, -60, 60)))
+
+
+def repeated_words(words: Words) -> np.ndarray:
+    """Of each text, how many words stand in a window of three words that the text has twice or more, first places
+    included. Windows are compared by 64-bit hashes."""
+    h, of = words.hashes, words.text
+    covered = np.zeros(len(h) + 2, bool)
+    if len(h) > 2:
+        window = pair_hash(pair_hash(h[:-2], h[1:-1]), h[2:])
+        window = pair_hash(window, of[:-2].astype(np.uint64))
+        _, back, n = np.unique(window, return_inverse=True, return_counts=True)
+        again = (n[back] > 1) & (of[2:] == of[:-2])
+        for k in range(3):
+            covered[k : k + len(again)] |= again
+    return np.bincount(of, covered[: len(h)], len(words.counts)).astype(np.int64)
+
+
+def base_counts(texts: list[str | None]) -> tuple[Words, pd.DataFrame]:
+    """The words of texts, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each."""
+    words = words_of(texts, lower=False)
+    blanks, rows = BLANKS.decode(), []
+    for n, text in zip(words.counts, texts, strict=True):
+        text = text or ""
+        lines = [x for x in text.split("\n") if x.strip(blanks)]
+        chars = len(text) - sum(map(text.count, blanks))
+        rows.append((n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))))
+    out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines"])
+    return words, out.assign(n_repeat_words=repeated_words(words))
 
 
 def train_quality(rows: list[tuple[str, int]], steps: int = 80, rate: float = 0.05, decay: float = 1e-7, held: int = 5) -> QualityModel:
@@ -113,27 +95,23 @@ def train_quality(rows: list[tuple[str, int]], steps: int = 80, rate: float = 0.
     y = np.array([r[1] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return QualityModel(np.zeros(BUCKETS, np.float32), 60.0)
-    index: dict[bytes, int] = {}
-    seen, counts, pairs, pair_counts = [], [], [], []
-    for text, _ in rows:
-        words = text.encode("utf-8", "surrogatepass").split()
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        f, n = np.unique(ids, return_counts=True)
-        seen.append(f)
-        counts.append(n / max(1, len(words)))
-        f, n = np.unique(_pair_features(np.fromiter(map(_word_hash, words), np.uint64, len(words))), return_counts=True)
-        pairs.append(f)
-        pair_counts.append(n / max(1, len(words) - 1))
-    parts = [np.array(_word_features(w), np.int64) for w in index]
-    docs, grams = Bags(seen, counts), Bags(pairs, pair_counts)
-    words = Bags(parts, [np.full(len(p), 1 / len(p)) for p in parts])
+    found = words_of([r[0] for r in rows], lower=False)
+    _, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
+    word, bucket = word_features(found, first, LOW, HIGH, BUCKETS)
+    words = Bags(word, bucket, len(first))
+    parts = np.maximum(1, np.bincount(word, minlength=len(first)))
+    entry, n = np.unique(found.text * len(first) + back, return_counts=True)
+    of, at = entry // len(first), entry % len(first)
+    docs = Bags(of, at, len(y), n / (found.counts[of] * parts[at]))
+    of, at = _pairs(found)
+    grams = Bags(of, at, len(y), 1 / np.maximum(1, found.counts - 1)[of])
     fit = np.arange(len(y)) % held != held - 1
     share = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
     weights, bias, of_weights, of_bias = np.zeros(BUCKETS), np.zeros(1), Adam(BUCKETS, rate), Adam(1, rate)
     for _ in range(steps):
         x = docs.forward(words.forward(weights)) + grams.forward(weights) + bias[0]
         d = (1 / (1 + np.exp(-np.clip(x, -60, 60))) - y) * share
-        g = words.backward(docs.backward(d, words.n), BUCKETS) + grams.backward(d, BUCKETS)
+        g = words.backward(docs.backward(d, len(first)), BUCKETS) + grams.backward(d, BUCKETS)
         weights += of_weights.step(g + decay * weights)
         bias += of_bias.step(np.array([d.sum()]))
     x = docs.forward(words.forward(weights)) + grams.forward(weights) + bias[0]
@@ -154,11 +132,10 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 2500, max_chars: int = 12_000, **options
+    docs: DataFrame, labels: DataFrame, label: str = "quality", zeros: int = 1500, ones: int = 1500, max_chars: int = 8_000, **options
 ) -> QualityModel:
-    """A model of a bounded sample of labelled rows: at most rows_per_class of each label, texts of at most max_chars
-    characters (see labelled_sample)."""
-    return train_quality(labelled_sample(docs, labels, label, rows_per_class, max_chars), **options)
+    """A model of a bounded sample of labelled rows: at most so many zeros and ones, texts of at most max_chars characters (see labelled_sample)."""
+    return train_quality(labelled_sample(docs, labels, label, zeros, ones, max_chars)[0], **options)
 
 
 def quality(df: DataFrame, model: QualityModel, text: str = "text") -> Column:
@@ -169,17 +146,12 @@ def quality(df: DataFrame, model: QualityModel, text: str = "text") -> Column:
 
     @F.pandas_udf(FIELDS)
     def score(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
-        cache = _caches.setdefault(id(model), model.cache())
         made = []
-        for text in texts:
-            words, base = base_counts(text)
-            failed, p = fails_base(base[0], base[4]), model.probability(words, cache)
-            made.append((*base, failed, p, not failed and p >= KEEP))
-        return pd.DataFrame(made, columns=[x.split()[0] for x in FIELDS.split(", ")])
+        for run in text_runs(texts):
+            words, out = base_counts(run)
+            out["base_failed"] = (out["n_words"] < MIN_WORDS) | (out["n_repeat_words"] > MAX_REPEATED * out["n_words"])
+            out["quality"] = shared.value.probabilities(words)
+            made.append(out.assign(kept=~out["base_failed"] & (out["quality"] >= KEEP)))
+        return pd.concat(made) if made else pd.DataFrame({x.split()[0]: [] for x in FIELDS.split(", ")})
 
     return score.asNondeterministic()(F.col(text))  # so that it is not computed once more for a filter
-
-
-#: Of a Python worker's models.
-_caches: dict[int, Cache] = {}
