@@ -33,10 +33,12 @@ class HashFiles:
 
     def __init__(self, folder: str, files: int):
         self.folder, self.files = folder, files
+        #: Number of keys, sum of values, and greatest value.
+        self.keys = self.total = self.greatest = 0
 
     @classmethod
     def written(cls, df: DataFrame, rows: int) -> HashFiles:
-        """The files of df(key bigint, value bigint), of which it has about so many rows. Their content depends on df
+        """The files of df(key bigint, value bigint), which is taken to have so many rows at most. Their content depends on df
         alone and is put in place by a rename, so a task that runs again writes the same."""
         folder = f"{local_folder(shared_dir(df.sparkSession))}/hashes-{uuid.uuid4().hex}"
         files = max(8, math.ceil(rows / FILE_KEYS))
@@ -49,11 +51,13 @@ class HashFiles:
             with open(made, "wb") as out:
                 out.write(np.ascontiguousarray(data).tobytes())
             os.replace(made, f"{folder}/{key[0]}")
-            return pd.DataFrame({"n": [len(part)]})
+            return pd.DataFrame({"n": [len(part)], "total": [int(part["value"].sum())], "most": [int(part["value"].max())]})
 
         parted = df.select("key", "value").withColumn("file", F.pmod("key", F.lit(files)))
-        parted.groupBy("file").applyInPandas(write, "n bigint").agg(F.sum("n")).collect()
-        return cls(folder, files)
+        written = parted.groupBy("file").applyInPandas(write, "n bigint, total bigint, most bigint")
+        out = cls(folder, files)
+        out.keys, out.total, out.greatest = (x or 0 for x in written.agg(F.sum("n"), F.sum("total"), F.max("most")).first())
+        return out
 
     def _open(self, file: int) -> np.ndarray:
         path = f"{self.folder}/{file}"

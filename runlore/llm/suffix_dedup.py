@@ -27,15 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small
+from .common import checkpointed
 from .hash_files import HashFiles
 from .words import mixed
 
 LENGTH, GRAM = 400, 200
 _LEFT = LENGTH - GRAM
 COLUMNS = LENGTH + _LEFT
-#: Documents of one anchor that are built into one collection, and bytes of a collection.
-HOT, COLLECTION = 4096, 12_000_000
+#: Documents of one anchor that are built into one collection, bytes of a collection, and documents that a task
+#: remembers having sent.
+HOT, COLLECTION, MOST_SEEN = 20_000, 12_000_000, 400_000
 _WINDOWS = LENGTH - GRAM + 1
 _CHUNK, _REACH = 2_000_000, 2 * LENGTH
 _BASE = 0xD1B54A32D192ED03
@@ -150,75 +151,107 @@ def _spans(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated_strings(docs: DataFrame, text: str = "text") -> HashFiles:
     """From hashes of documents around anchors to their runs of columns in which repeated strings start."""
     texts = docs.select(F.col(text).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, run in _runs(b["text"]):
                 for _, hashes, *_ in anchors(*_laid(run)):
                     key, n = np.unique(hashes, return_counts=True)
-                    yield pd.DataFrame({"key": key.view(np.int64), "n": n})
-
-    counts = texts.mapInPandas(anchored, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    shared = checkpointed(counts.filter("n > 1").select("key", F.lit(0).cast("bigint").alias("value")))
-    known = HashFiles.written(shared, shared.count())
-
-    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, run in _runs(b["text"]):
-                raw, ends = _laid(run)
-                for place, hashes, left, right, document in anchors(raw, ends):
-                    at = known.find(hashes.view(np.int64))[0]
-                    _, first, n = np.unique(document[at], return_index=True, return_counts=True)
-                    at = at[first]
-                    yield pd.DataFrame({
-                        "document": document[at].view(np.int64), "anchor": hashes[at].view(np.int64), "start": (_LEFT - (place[at] - left[at])).astype(np.int32),
-                        "bytes": [raw[x:y].tobytes() for x, y in zip(left[at], right[at], strict=True)], "copies": n,
-                    })
-
-    kind = "document bigint, anchor bigint, start int, bytes binary, copies bigint"
-    collected = checkpointed(
-        texts.mapInPandas(documents, kind).groupBy("document").agg(
-            F.first("anchor").alias("anchor"), F.first("start").alias("start"), F.first("bytes").alias("bytes"), F.sum("copies").alias("copies")
-        )
-    )
-    size = collected.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    hot = checkpointed(collected.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"))
-    if small(hot, 100_000):
-        hot = F.broadcast(hot)
-    shards = max(8, math.ceil(size * COLUMNS / (COLUMNS - _LEFT) / COLLECTION))
+                    yield pd.DataFrame({"key": key.view(np.int64), "value": n})
+
+    counts = texts.mapInPandas(anchored, "key bigint, value bigint").groupBy("key").agg(F.sum("value").alias("value"))
+    known = HashFiles.written(counts.filter("value > 1"), size * 2 // _WINDOWS)
+    shards = max(8, math.ceil(known.total * COLUMNS / COLLECTION))
+
+    def documents(hot: bool):
+        """The different documents of anchors that are hot, or of those that are not."""
+
+        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            times: dict[int, int] = {}
+            for b in batches:
+                for _, run in _runs(b["text"]):
+                    raw, ends = _laid(run)
+                    for place, hashes, left, right, document in anchors(raw, ends):
+                        at, n = known.find(hashes.view(np.int64))
+                        at = at[(n > HOT) == hot]
+                        keys, first, n = np.unique(document[at].view(np.int64), return_index=True, return_counts=True)
+                        seen = np.array([times.get(k, 0) for k in keys.tolist()], np.int64)
+                        if len(times) > MOST_SEEN:
+                            times.clear()
+                        times.update(zip(keys.tolist(), (seen + n).tolist(), strict=True))
+                        new = seen < 2
+                        at, n, again = at[first][new], n[new], seen[new] > 0  # bytes go once, and no more copies than tell
+                        yield pd.DataFrame({
+                            "document": document[at].view(np.int64), "anchor": hashes[at].view(np.int64), "start": (_LEFT - (place[at] - left[at])).astype(np.int32),
+                            "bytes": [None if x else raw[y:z].tobytes() for x, y, z in zip(again, left[at], right[at], strict=True)], "copies": n,
+                        })
+
+        return texts.mapInPandas(made, "document bigint, anchor bigint, start int, bytes binary, copies bigint")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
+        copies = rows.groupby("document")["copies"].sum()
+        rows = rows[rows["bytes"].notna()].drop_duplicates("document")
         left = rows["start"].to_numpy(np.int64)
-        right = left + np.array([len(x) for x in rows["bytes"]])
+        right = left + np.array([len(x) for x in rows["bytes"]], np.int64)
         columns = np.zeros((len(rows), COLUMNS), np.uint8)
         for row, start, data in zip(columns, left, rows["bytes"], strict=True):
             row[start : start + len(data)] = np.frombuffer(data, np.uint8)
-        found = repeats(np.asfortranarray(columns), left, right, rows["copies"].to_numpy())
+        found = repeats(np.asfortranarray(columns), left, right, copies[rows["document"]].to_numpy())
         row, first, last = _spans(found)
         return pd.DataFrame({"key": rows["document"].to_numpy()[row], "value": first * 1024 + last})
 
     pairs = "key bigint, value bigint"
-    built = (
-        collected.join(hot, "anchor", "left_anti").withColumn("shard", F.pmod("anchor", F.lit(shards)))
-        .groupBy("shard").applyInPandas(build, pairs)
-    )
+    found = documents(hot=False).withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(build, pairs)
+    if known.greatest > HOT:
+        found = found.unionByName(_counted(documents(hot=True)))
+    return HashFiles.written(found, known.total)
+
+
+def _windows(document: bytes, anchor: int, start: int) -> np.ndarray:
+    """Hashes of the windows of a document with their anchor and column. Documents of a text overlap, but none of its
+    windows is twice at the same anchor and column."""
+    raw = np.frombuffer(document, np.uint8)
+    n = max(0, len(raw) - LENGTH + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _POWERS[0][: len(raw)], out=total[1:])
+    window = mixed((total[LENGTH:] - total[:-LENGTH]) * _POWERS[1][:n]) if n else np.zeros(0, np.uint64)
+    place = np.uint64(anchor % (1 << 64)) + (start + np.arange(n)).astype(np.uint64)
+    return mixed(window + mixed(place)).view(np.int64)
+
+
+def _counted(documents: DataFrame) -> DataFrame:
+    """Runs of columns in which repeated strings start, by counting the windows of documents: counts meet before the
+    shuffle, and repeated windows are looked up in files, so neither documents nor windows are brought together."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for document, start, data, copies in zip(b["document"], b["start"], b["bytes"], b["copies"], strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                n = len(raw) - LENGTH + 1
-                if n > 0:
-                    total = np.zeros(len(raw) + 1, np.uint64)
-                    np.cumsum(_BYTE[raw] * _POWERS[0][: len(raw)], out=total[1:])
-                    window = mixed((total[LENGTH:] - total[:-LENGTH]) * _POWERS[1][:n])
-                    yield pd.DataFrame({"window": window.view(np.int64), "key": document, "column": start + np.arange(n), "copies": copies})
-
-    apart = collected.join(hot, "anchor", "left_semi").mapInPandas(windows, "window bigint, key bigint, column bigint, copies bigint")
-    again = apart.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
-    counted = apart.join(again, "window").select("key", (F.col("column") * 1025).alias("value")).distinct()
-    found = checkpointed(built.unionByName(counted))
-    return HashFiles.written(found, found.count())
+            made = [_windows(*x) for x in zip(b["bytes"], b["anchor"], b["start"], strict=True)]
+            copies = np.repeat(b["copies"].to_numpy(), [len(x) for x in made])
+            key, back = np.unique(np.concatenate(made or [np.zeros(0, np.int64)]), return_inverse=True)
+            yield pd.DataFrame({"key": key, "value": np.bincount(back, copies, len(key)).astype(np.int64)})
+
+    spark = documents.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = documents.groupBy("document").agg(
+        F.max("anchor").alias("anchor"), F.max("start").alias("start"), F.max("bytes").alias("bytes"), F.sum("copies").alias("copies")
+    )
+    once = checkpointed(once.filter("bytes is not null").repartition(parts, "document"))
+    counts = once.mapInPandas(windows, "key bigint, value bigint").groupBy("key").agg(F.sum("value").alias("value"))
+    again = HashFiles.written(counts.filter("value > 1"), once.count() * _WINDOWS)
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [_windows(*x) for x in zip(b["bytes"], b["anchor"], b["start"], strict=True)]
+            row = np.repeat(np.arange(len(b)), [len(x) for x in made])
+            column = np.concatenate([s + np.arange(len(x)) for s, x in zip(b["start"], made, strict=True)] or [np.zeros(0, np.int64)])
+            at = again.find(np.concatenate(made or [np.zeros(0, np.int64)]))[0]
+            found = np.zeros((len(b), COLUMNS - LENGTH + 1), bool)
+            found[row[at], column[at].astype(np.int64)] = True
+            row, first, last = _spans(found)
+            yield pd.DataFrame({"key": b["document"].to_numpy()[row], "value": first * 1024 + last})
+
+    return once.mapInPandas(runs, "key bigint, value bigint")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
