@@ -67,12 +67,13 @@ def repeated_words(words: Words) -> np.ndarray:
     h, of = words.hashes, words.text
     covered = np.zeros(len(h) + 2, bool)
     if len(h) > 2:
-        window = pair_hash(pair_hash(h[:-2], h[1:-1]), h[2:])
-        window = pair_hash(window, of[:-2].astype(np.uint64))
+        at = np.flatnonzero(of[2:] == of[:-2])
+        window = pair_hash(pair_hash(h[at], h[at + 1]), h[at + 2])
+        window = pair_hash(window, of[at].astype(np.uint64))
         _, back, n = np.unique(window, return_inverse=True, return_counts=True)
-        again = (n[back] > 1) & (of[2:] == of[:-2])
+        again = at[n[back] > 1]
         for k in range(3):
-            covered[k : k + len(again)] |= again
+            covered[again + k] = True
     return np.bincount(of, covered[: len(h)], len(words.counts)).astype(np.int64)
 
 
