@@ -102,3 +102,28 @@ a6 AS (SELECT run_id, 'THX006_TOOL_ERROR_CASCADE' AS code, 'Critical' AS severit
 alerts AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3 UNION ALL SELECT * FROM a4 UNION ALL SELECT * FROM a5 UNION ALL SELECT * FROM a6),
 runs AS (SELECT run_id, min(timestamp) AS imported_at, count(*) AS events FROM te GROUP BY run_id)
 """
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace_events as they stand in a store: with GUIDs, time as text, source and artifacts."""
+    from ..operators.analysis import guid_from_hash
+
+    guid = lambda c: guid_from_hash(F.sha2(c, 256))
+    events = trace_events(spark, sf_dir).withColumn("input_sha256", F.sha2("run_id", 256))
+    source = F.struct(
+        F.lit(ADAPTER).alias("adapter"), "input_sha256", F.concat("run_id", F.lit(".jsonl")).alias("relative_path"), (F.col("sequence") * 100).alias("byte_offset"),
+        (F.col("sequence") + 1).cast("int").alias("line"), F.lit("/").alias("json_pointer"),
+    )
+    return events.select(
+        guid("event_id").alias("event_id"), guid("run_id").alias("run_id"), "sequence", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts_text"),
+        "timestamp", "kind", "actor", "summary", "payload", F.lit(None).cast("string").alias("tool"), source.alias("source"),
+        F.array().cast("array<struct<name:string,path:string,sha256:string>>").alias("artifacts"), "content_sha256", F.col("run_id").alias("name"),
+        F.col("event_id").alias("short_id"),
+    )
+
+
+def stored_runs(events: DataFrame) -> DataFrame:
+    """A run row for each run of stored events."""
+    return events.groupBy("run_id").agg(F.min("name").alias("name"), F.min("timestamp").alias("imported_at")).select(
+        "run_id", "name", F.sha2("name", 256).alias("input_sha256"), F.lit(ADAPTER).alias("adapter"), F.lit(ADAPTER_VERSION).alias("adapter_version"), "imported_at"
+    )
