@@ -39,7 +39,7 @@ def brute(corpus, k, percent):
     return sets, list(groups.values())
 
 
-@pytest.mark.parametrize(("k", "percent", "broadcast"), [(3, 90, 500_000), (5, 80, 0), (2, 50, 500_000)])
+@pytest.mark.parametrize(("k", "percent", "broadcast"), [(3, 90, 100_000), (5, 80, 0), (2, 50, 100_000)])
 def test_components(docs, corpus, k, percent, broadcast, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST", broadcast)
     sets, groups = brute(corpus, k, percent)
