@@ -12,6 +12,7 @@ from .jaccard import jaccard_components
 from .language_model import language_model_scores, train_language_model
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import each_row, mix_decisions
+from .oracles import JACCARD_SQL, REPEATS_SQL
 from .quality import fit_quality, quality
 from .suffix_dedup import without_repeats
 from .toxicity import fit_toxicity, toxicity_score
@@ -115,4 +116,6 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op5_jaccard": op5_jaccard, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
 
-ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
+ORACLES = {
+    "op2_suffix_dedup": REPEATS_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_jaccard": JACCARD_SQL, "op9_top_k": TOP_K_SQL,
+}
