@@ -330,3 +330,49 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scan finds in each document as it stands."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return redaction.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "found")
+
+
+@query("SELECT 'Duplicate' AS outcome, count(DISTINCT user_id) AS files FROM events", traces=False)
+def dedupe_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of importing all files a second time."""
+    path, store = _written_traces(spark, sf_dir), _folder(spark, "store")
+    traces.import_traces(spark, path, store)
+    return traces.import_traces(spark, path, store).groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _guid_sql(h: str) -> str:
+    part = lambda a, n: f"substr({h}, {a}, {n})"
+    first = " || ".join(part(a, 2) for a in (7, 5, 3, 1))
+    return f"{first} || '-' || {part(11, 2)} || {part(9, 2)} || '-' || {part(15, 2)} || {part(13, 2)} || '-' || {part(17, 4)} || '-' || {part(21, 12)}"
+
+
+@query(f""", lines AS (SELECT run_id, sequence, '{{"timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') || '","kind":"' || kind || '","actor":"'
+|| CASE WHEN kind IN ('Error', 'ToolResult') THEN 'tool' ELSE 'agent' END || '","summary":"' || summary || '","payload":' || payload || '}}' AS line FROM te),
+files AS (SELECT run_id, sha256(string_agg(line || chr(10), '' ORDER BY sequence) || CASE WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN '{{"cut' || chr(10) ELSE '' END) AS f FROM lines GROUP BY run_id),
+ids AS (SELECT run_id, sha256(f || '|generic-jsonl|1.0.0') AS h FROM files), named AS (SELECT run_id, {_guid_sql('h')} AS id FROM ids),
+events_of AS (SELECT sequence, sha256(line) AS content_sha256, sha256(replace(id, '-', '') || ':' || sequence || ':' || sha256(line)) AS e FROM lines JOIN named USING (run_id))
+SELECT sequence, content_sha256, {_guid_sql('e')} AS event_id FROM events_of""")
+def event_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hashes and ids of all imported events."""
+    none = spark.createDataFrame([], schemas.RUNS)
+    made = traces.import_files(traces.read_trace_files(spark, _written_traces(spark, sf_dir)), none)
+    return made.events.select("sequence", "content_sha256", "event_id")
+
+
+@query("SELECT count(DISTINCT user_id) AS reports FROM events", traces=False)
+def write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all runs, written and read again."""
+    from ..operators import views
+    from .queries import export_report
+
+    folder = _folder(spark, "reports")
+    views.write_reports(export_report(spark, sf_dir), folder)
+    return spark.read.json(folder).filter("schemaVersion = '1.0'").agg(F.count(F.lit(1)).alias("reports"))
+
+
+@query("""SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT run_id, sum(82 + strlen(kind) + strlen(summary) + strlen(payload)
++ CASE WHEN kind IN ('Error', 'ToolResult') THEN 4 ELSE 5 END) + CASE WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN 6 ELSE 0 END AS bytes FROM te GROUP BY run_id)""")
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and size of the written trace files, as a manifest lists them."""
+    found = contracts.manifest_files(spark, _written_traces(spark, sf_dir))
+    return found.agg(F.count(F.lit(1)).alias("files"), F.sum("byte_size").cast("bigint").alias("bytes"))
