@@ -17,9 +17,9 @@ Both send along a common order of segments, so sets stop where they have enough:
 H + 1 segments within what the other has looked at.
 
 What is common is estimated on a bounded sample and decides about cost only. Equal sets are one node from the start.
-Nodes that meet are verified against one leader of the place where they meet rather than with each other, again with
-other leaders, and only pairs that are then still in different components are verified one by one. So large groups of
-near copies are linked without all their pairs, and no link between components is lost.
+Nodes that meet are verified against one leader of the place where they meet, the one with most copies, rather than
+with each other. Only where different components still meet are sets compared with each other, block by block. So
+large groups of near copies are linked without rows for all their pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -39,11 +39,11 @@ from .words import mixed, texts_words
 #: Rows of the sample that common shingles are taken from, sets that hold a common shingle there, and shingles at most.
 SAMPLE, COMMON, MOST_COMMON = 4096, 3, 100_000
 #: Up to this many rows of hashes or ids, they are broadcast.
-BROADCAST = 500_000
+BROADCAST = 100_000
 #: A band's largest set by its smallest, and segments beyond H + 1.
 BAND, SPARE = 1.4, 1.2
-#: Leaders are chosen anew until pairs left over are this many by node, or so many times.
-PAIRS_PER_NODE, ROUNDS = 20, 6
+#: Shingles of a block in which sets are compared with each other.
+BLOCK = 64_000
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -236,10 +236,8 @@ def jaccard_components(
     meeting = checkpointed(
         sent.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("signature")
     )
-    if small(meeting, BROADCAST):
-        meeting = F.broadcast(meeting)
     places = checkpointed(sent.join(meeting, "signature").distinct())
-    linked = _linked(places, _members(texts, nodes, places, k), percent)
+    linked = _linked(places, nodes, _members(texts, nodes, places, k), percent)
     grouped = linked.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
     of_linked = linked.join(grouped, "root").select("node", "root", "component")
     copies = nodes.filter("copies > 1").join(linked, "node", "left_anti")
@@ -310,44 +308,89 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return checkpointed(pairs.join(y, "b").join(x, "a").mapInPandas(meets, "a bigint, b bigint, linked boolean"))
 
 
-def _pairs(found: DataFrame, x: str, y: str) -> DataFrame:
-    return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-
-
-def _linked(places: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _linked(places: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """node, root of all nodes with links, from places(signature, node) where nodes meet."""
-    verified = None
-    labels = places.select("node").distinct().select("node", F.col("node").alias("root"))
-    for turn in range(ROUNDS + 1):
-        at = places.join(labels, "node")
-        open_at = at.groupBy("signature").agg(
-            F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("leader"), F.col("root").alias("leads"))).alias("l"),
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"),
-        ).filter("low <> high").select("signature", "l.leader", "l.leads", "n")
-        open_at = checkpointed(open_at)
-        count, members_of, pairs_of = open_at.agg(
-            F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
-        ).first()
-        if not count:
-            break
-        last = turn == ROUNDS or turn > 1 and pairs_of <= PAIRS_PER_NODE * members_of
-        here = at.join(open_at, "signature")
-        if last:
-            other = here.select("signature", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            met = here.join(other, "signature").filter("root < other_root")
-            pairs = _pairs(met, "node", "other")
-        else:
-            pairs = _pairs(here.filter("root <> leads"), "node", "leader")
-        if verified is not None:
-            pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        made = _verified(pairs, members, percent)
-        verified = made if verified is None else verified.unionByName(made)
-        linked = components(verified.filter("linked").select("a", "b"))
-        labels = checkpointed(
-            labels.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        )
-        if last:
-            break
-    if verified is None:
-        return labels.filter("false")
-    return checkpointed(components(verified.filter("linked").select("a", "b")))
+    own = places.join(nodes.select("node", "copies"), "node")
+    leader = F.min_by("node", F.struct(-F.col("copies"), F.xxhash64("node"))).alias("leader")
+    leaders = checkpointed(own.groupBy("signature").agg(leader))
+    pairs = places.join(leaders, "signature").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    near = _verified(pairs.distinct(), members, percent).filter("linked").select("a", "b")
+    roots = checkpointed(components(near))
+    at = places.join(roots, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
+    still = at.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
+    still = checkpointed(at.join(still, "signature").join(leaders, "signature"))
+    rest = _between(still, members, percent)
+    return checkpointed(components(near.unionByName(rest)))
+
+
+def _between(still: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between nodes of different roots, enough to join all roots that are linked, among the nodes that meet
+    where roots meet, from still(signature, leader, node, root). Nodes that meet, through others too, make a cluster;
+    its sets are dealt to blocks of bounded size, and two blocks are compared by counting shared shingles, so pairs
+    are not made into rows."""
+    spark = still.sparkSession
+    clusters = components(still.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("root", "cluster")
+    rooted = still.groupBy("node").agg(F.first("root").alias("root"))
+    rows = checkpointed(
+        members.join(rooted, "node").join(clusters, "node").select("cluster", "node", "root", "tokens", (F.octet_length("tokens") / 8).cast("bigint").alias("n"))
+    )
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * BLOCK) + 1)
+    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.col("cluster")).alias("task"),
+        (F.col("blocks") == 1).alias("whole"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cluster", "block", "node", "root", "tokens",
+    )
+
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, c in part.groupby("cluster", sort=True):
+            if c["root"].nunique() > 1:
+                x, y = c[c["block"] == key[2]], c[c["block"] == key[3]]
+                found += _joining(x.sort_values("node"), y.sort_values("node"), percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return checkpointed(dealt.groupBy("task", "whole", "i", "j").applyInPandas(compare, "a bigint, b bigint"))
+
+
+def _joining(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of x and of y with different roots, one for each join of roots."""
+    sets = [[np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in (x, y)]
+    sizes = [np.array([len(t) for t in side]) for side in sets]
+    if not len(sizes[0]) or not len(sizes[1]):
+        return []
+    tokens = [np.concatenate(side) for side in sets]
+    shared = np.intersect1d(*(np.unique(t) for t in tokens))
+    both = np.zeros((len(x), len(y)), np.float32)
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    for at in range(0, len(shared), 4096):
+        chunk = shared[at : at + 4096]
+        held = []
+        for t, r, n in zip(tokens, rows, sizes, strict=True):
+            place = np.minimum(np.searchsorted(chunk, t), len(chunk) - 1)
+            hit = chunk[place] == t
+            m = np.zeros((len(n), len(chunk)), np.float32)
+            m[r[hit], place[hit]] = 1
+            held.append(m)
+        both += held[0] @ held[1].T
+    either = sizes[0][:, None] + sizes[1][None] - both
+    root_x, root_y = x["root"].to_numpy(), y["root"].to_numpy()
+    i, j = np.nonzero((100 * both >= percent * either) & (root_x[:, None] != root_y[None]))
+    pairs = np.sort(np.stack([root_x[i], root_y[j]]), axis=0)
+    _, first = np.unique(pairs, axis=1, return_index=True)
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    found, node_x, node_y = [], x["node"].to_numpy(), y["node"].to_numpy()
+    for k in first:
+        p, q = find(int(root_x[i[k]])), find(int(root_y[j[k]]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            found.append((int(node_x[i[k]]), int(node_y[j[k]])))
+    return found
