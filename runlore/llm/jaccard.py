@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small
 from .components import components
+from .hash_files import HashFiles
 from .words import mixed, texts_words
 
 #: Rows of the sample that common shingles are taken from, sets that hold a common shingle there, and shingles at most.
@@ -233,11 +234,15 @@ def jaccard_components(
                 yield pd.DataFrame({"signature": signature.view(np.int64), "node": s.node[doc].view(np.int64)})
 
     sent = texts.select("text").mapInPandas(sends, "signature bigint, node bigint")
-    meeting = checkpointed(
-        sent.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("signature")
-    )
-    places = checkpointed(sent.join(meeting, "signature").distinct())
-    linked = _linked(places, nodes, _members(texts, nodes, places, k), percent)
+    meeting = sent.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    shared = HashFiles.written(meeting.select(F.col("signature").alias("key"), F.lit(0).cast("bigint").alias("value")), n * 16)
+
+    def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in sends(batches):
+            yield b.iloc[shared.find(b["signature"].to_numpy())[0]]
+
+    places = checkpointed(texts.select("text").mapInPandas(meets, "signature bigint, node bigint").distinct())
+    linked = _linked(places, nodes, texts, k, percent)
     grouped = linked.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
     of_linked = linked.join(grouped, "root").select("node", "root", "component")
     copies = nodes.filter("copies > 1").join(linked, "node", "left_anti")
@@ -271,9 +276,23 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
-def _members(texts: DataFrame, nodes: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """node and tokens of each node that meets another one, from one text of the node."""
-    wanted = checkpointed(nodes.join(places.select("node").distinct(), "node").select(F.col("least"), F.col("node").alias("expected")))
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Numbers of tokens by hash. The sum of differences of two sketches is at most the number of tokens in which the
+    sets differ, so it tells most sets apart that are not linked, at a fraction of a set's size."""
+    buckets = 256 if len(tokens) < 2000 else 4096
+    place = (mixed(tokens) >> np.uint64(40)) % np.uint64(4096) // np.uint64(4096 // buckets)
+    return np.bincount(place.astype(np.int64), minlength=buckets).astype(np.uint32)
+
+
+def _folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches in one matrix, longer ones made as short as the shortest."""
+    short = min(map(len, sketches))
+    return np.stack([x.reshape(short, -1).sum(1) for x in sketches]).astype(np.int64)
+
+
+def _members(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, sketch: bool = False) -> DataFrame:
+    """node and tokens (or their sketch) of each wanted node, from one text of the node."""
+    wanted = checkpointed(nodes.join(wanted.select("node").distinct(), "node").select(F.col("least"), F.col("node").alias("expected")))
     if small(wanted, BROADCAST):
         wanted = F.broadcast(wanted)
 
@@ -282,50 +301,62 @@ def _members(texts: DataFrame, nodes: DataFrame, places: DataFrame, k: int) -> D
             for run in _runs(b["text"]):
                 s = shingle_sets(list(b["text"].iloc[run]), k)
                 at = np.flatnonzero(s.node == b["expected"].iloc[run].to_numpy(np.int64).view(np.uint64))
-                made = [s.token[s.first[i] : s.first[i] + s.size[i]].tobytes() for i in at]
-                yield pd.DataFrame({"node": s.node[at].view(np.int64), "tokens": made})
+                sets = [s.token[s.first[i] : s.first[i] + s.size[i]] for i in at]
+                yield pd.DataFrame({"node": s.node[at].view(np.int64), "tokens": [(_sketch(x) if sketch else x).tobytes() for x in sets]})
 
     picked = texts.join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("text", "expected")
     made = picked.mapInPandas(tokens, "node bigint, tokens binary")
     return checkpointed(made.groupBy("node").agg(F.first("tokens").alias("tokens")))
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """a, b and whether they are linked, of different pairs of nodes."""
+def _may_link(x: bytes, y: bytes, percent: int) -> bool:
+    a, b = _folded([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
+    return (100 + percent) * int(np.abs(a - b).sum()) <= (100 - percent) * int(a.sum() + b.sum())
+
+
+def _are_linked(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[place] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _kept(pairs: DataFrame, members: DataFrame, percent: int, holds) -> DataFrame:
+    """The different pairs a, b of nodes for which holds(tokens of a, tokens of b, percent)."""
 
     def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            linked = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[place] == y).sum())
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "linked": linked})
+            yield b.loc[[holds(x, y, percent) for x, y in zip(b["x"], b["y"], strict=True)], ["a", "b"]]
 
     x = members.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = members.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return checkpointed(pairs.join(y, "b").join(x, "a").mapInPandas(meets, "a bigint, b bigint, linked boolean"))
+    return checkpointed(pairs.join(y, "b").join(x, "a").mapInPandas(meets, "a bigint, b bigint"))
 
 
-def _linked(places: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """node, root of all nodes with links, from places(signature, node) where nodes meet."""
+def _linked(places: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, root of all nodes with links, from places(signature, node) where nodes meet. Sketches rule out what is
+    far apart, so that whole sets are only brought together where they may be linked."""
+    sketches = _members(texts, nodes, places, k, sketch=True)
     own = places.join(nodes.select("node", "copies"), "node")
     leader = F.min_by("node", F.struct(-F.col("copies"), F.xxhash64("node"))).alias("leader")
     leaders = checkpointed(own.groupBy("signature").agg(leader))
     pairs = places.join(leaders, "signature").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    near = _verified(pairs.distinct(), members, percent).filter("linked").select("a", "b")
+    likely = _kept(pairs.distinct(), sketches, percent, _may_link)
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node"))
+    near = _kept(likely, _members(texts, nodes, ends, k), percent, _are_linked)
     roots = checkpointed(components(near))
     at = places.join(roots, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
     still = at.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
     still = checkpointed(at.join(still, "signature").join(leaders, "signature"))
-    rest = _between(still, members, percent)
-    return checkpointed(components(near.unionByName(rest)))
+    may = _between(still, sketches, percent, _survivors).select(F.col("a").alias("node")).distinct()
+    rest = still.join(may, "node", "left_semi")
+    found = _between(rest, _members(texts, nodes, may, k), percent, _joining)
+    return checkpointed(components(near.unionByName(found)))
 
 
-def _between(still: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between nodes of different roots, enough to join all roots that are linked, among the nodes that meet
-    where roots meet, from still(signature, leader, node, root). Nodes that meet, through others too, make a cluster;
+def _between(still: DataFrame, members: DataFrame, percent: int, compared) -> DataFrame:
+    """What compared(sets, other sets, percent) gives, a and b, for all pairs of blocks of nodes that meet where roots
+    meet, from still(signature, leader, node, root). Nodes that meet, through others too, make a cluster;
     its sets are dealt to blocks of bounded size, and two blocks are compared by counting shared shingles, so pairs
     are not made into rows."""
     spark = still.sparkSession
@@ -349,12 +380,28 @@ def _between(still: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         for _, c in part.groupby("cluster", sort=True):
             if c["root"].nunique() > 1:
                 x, y = c[c["block"] == key[2]], c[c["block"] == key[3]]
-                found += _joining(x.sort_values("node"), y.sort_values("node"), percent)
+                found += compared(x.sort_values("node"), y.sort_values("node"), percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return checkpointed(dealt.groupBy("task", "whole", "i", "j").applyInPandas(compare, "a bigint, b bigint"))
 
 
+def _survivors(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Each node, twice, whose sketch may be linked with that of a node of another root."""
+    if not len(x) or not len(y):
+        return []
+    whole = _folded([np.frombuffer(t, np.uint32) for t in [*x["tokens"], *y["tokens"]]])
+    a, b = whole[: len(x)], whole[len(x) :]
+    size, root_y, node_y = b.sum(1), y["root"].to_numpy(), y["node"].to_numpy()
+    found = set()
+    for row, root, node in zip(a, x["root"], x["node"], strict=True):
+        near = ((100 + percent) * np.abs(b - row).sum(1) <= (100 - percent) * (size + row.sum())) & (root_y != root)
+        if near.any():
+            found.add(int(node))
+            found.update(node_y[near].tolist())
+    return [(n, n) for n in found]
+
+
 def _joining(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between sets of x and of y with different roots, one for each join of roots."""
     sets = [[np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in (x, y)]
