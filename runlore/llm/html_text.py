@@ -2,10 +2,11 @@
 
 The standard library's parser streams a page once. A line is what stands between two block-level tags. Its ratio is
 the number of its characters outside of links, by the number of its tags. Ratios are smoothed along the page with a
-Gaussian; lines whose smoothed ratio reaches the ratios' standard deviation are content, and carry their region:
-the article (or main) element that they stand in, where a page has such elements, and else all lines of their parent
-element. Lines in elements that say that they are something else (navigation, forms, scripts, adverts, notices,
-reader comments and so on) take no part.
+Gaussian; lines whose smoothed ratio reaches the ratios' standard deviation are content, and carry their region: the
+article that they stand in, outside of articles what their main element holds outside of articles, and else all lines
+of their parent element. An article or main element is carried only by a content line whose own ratio reaches that
+deviation too, so that a teaser isn't carried by its neighbours. Lines in elements that say that they are something
+else (navigation, forms, scripts, adverts, notices, reader comments and so on) take no part.
 """
 
 from __future__ import annotations
@@ -131,16 +132,13 @@ def main_text(html: str | None) -> str:
     lines = [x for x in parser.lines if not x[6]]
     if not lines:
         return ""
-    ratio = smoothed(np.array([x[1] / x[2] for x in lines]))
-    content = ratio >= ratio.std()
-    for key in (4, 5):  # articles, else main elements
-        inside = {x[key] for x in lines if x[key]}
-        if inside:
-            carried = {x[key] for x, c in zip(lines, content, strict=True) if c and x[key]}
-            kept = carried if carried and len(inside) > 1 else inside
-            return " ".join(x[0] for x in lines if x[key] in kept)
-    parents = {x[3] for x, c in zip(lines, content, strict=True) if c}
-    return " ".join(x[0] for x in lines if x[3] in parents)
+    own = np.array([x[1] / x[2] for x in lines])
+    ratio = smoothed(own)
+    content, clear = ratio >= ratio.std(), own >= ratio.std()
+    regions = [(4, x[4]) if x[4] else (5, x[5]) if x[5] else (3, x[3]) for x in lines]
+    chosen = {r for r, c, o in zip(regions, content, clear, strict=True) if c and (o or r[0] == 3)}
+    chosen = chosen or {r for r, c in zip(regions, content, strict=True) if c}
+    return " ".join(x[0] for x, r in zip(lines, regions, strict=True) if r in chosen)
 
 
 def main_text_column(html: str = "html") -> Column:

@@ -185,6 +185,24 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "long text that says something " * 8
+CARD = "<article><h3>Card</h3><p>Read on</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>end</p></div>{CARD}", f"Head {LONG}{LONG}end"),
+        (f"{CARD}<div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>end</p></div>", f"Head {LONG}{LONG}end"),
+        (f"<main>{CARD}<div><p>{LONG}</p><p>end</p></div></main>", f"{LONG}end"),
+        (f"<div><p>{LONG}</p></div><article><p>{LONG}</p><p>end</p></article>", f"{LONG}{LONG}end"),
+        (f"<div><p>{LONG}</p></div><main><p>Read on</p></main>", LONG.strip()),
+    ],
+)
+def test_ratios_choose_the_region(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_smoothing_keeps_the_mean_of_flat_ratios():
     assert html_text.smoothed(np.full(9, 3.0)) == pytest.approx(np.full(9, 3.0))
 
