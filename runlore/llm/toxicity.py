@@ -55,10 +55,10 @@ class ToxicityModel:
 
 def train_toxicity(
     rows: list[tuple[str, int]], share: float | None = None, buckets: int = 1 << 19, dim: int = 4, steps: int = 60,
-    rate: float = 0.1, decay: float = 1e-5, scale: float = 10.0, min_seen: int = 20, seed: int = 1,
+    rate: float = 0.1, decay: float = 1e-5, scale: float = 10.0, min_seen: int = 1, seed: int = 1,
 ) -> ToxicityModel:
     """Fits on (text, label) rows; share: of label 1 where the model is used, to which rows are weighted. Without rows, or with one class only, the model says that class's smoothed share
-    (0.5 without rows). Buckets seen fewer than min_seen times can only be learnt by heart, so they stay at 0. Full-batch steps on the logarithmic loss; the sums run over words, then subwords."""
+    (0.5 without rows). All buckets are learnt, and decay keeps those that few texts hold small; with min_seen, buckets seen fewer times stay at 0. Full-batch steps on the logarithmic loss; the sums run over words, then subwords."""
     y = np.array([r[1] for r in rows], int)
     drawn = (y.sum() + 1) / (len(y) + 2)
     share = min(0.99, max(0.01, drawn if share is None else share))

@@ -167,6 +167,16 @@ def test_toxicity_of_unseen_misspellings(spark, docs, no_docs):
     assert toxicity.train_toxicity([]).scores(["", None, "x"]).tolist() == [0.5] * 3
 
 
+def test_rare_insults_are_learnt_by_default():
+    rng = random.Random(9)
+    bad = ["gorblax", "vexnip", "quzzok", "fyrwump"]  # in 6 of 24 toxic rows each
+    rows = [(" ".join([labelled(rng, True), *[bad[i % 4]] * 3]), 1) for i in range(24)] + [(labelled(rng, True), 0) for _ in range(120)]
+    model = toxicity.train_toxicity(rows)
+    clean = labelled(rng, True)
+    scores = model.scores([clean, *[f"{clean} {w} {w} {w}" for w in bad]])
+    assert all(s > 1.5 * scores[0] for s in scores[1:])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script></head><body><header><h2>Site</h2></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><aside>More</aside>
 <article><h1>A &amp; B</h1><p>First <b>bold</b>er\n  text&nbsp;here.<br>Next</p><form><input><button>Send</button></form><p>Second&eacute; paragraph of the text.</p>
