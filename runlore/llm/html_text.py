@@ -6,7 +6,9 @@ Gaussian; lines whose smoothed ratio reaches the ratios' standard deviation are
 article that they stand in, outside of articles what their main element holds outside of articles, and else all lines
 of their parent element. An article or main element is carried only by a content line whose own ratio reaches that
 deviation too, so that a teaser isn't carried by its neighbours. Lines in elements that say that they are something
-else (navigation, forms, scripts, adverts, notices, reader comments and so on) take no part.
+else (navigation, forms, scripts, adverts, notices, reader comments and so on) take no part. Where only a class, id or
+role says so, an element that holds the page's article or most of its text takes part all the same, and a paragraph
+inside an article or main element goes by its own ratio.
 """
 
 from __future__ import annotations
@@ -41,17 +43,47 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
 _NAME = re.compile(r"[a-z]+")
+#: What follows in a name is about something that is not here, or not this element.
+_ABOUT = re.compile(r"(?:^|(?<=[^a-z]))(?:has|no|with|without)[-_].*")
+#: Readers may write more than the page says, so the amount of their text says nothing.
+COMMENT_NAMES = frozenset("comment comments comentarios commentaires kommentare disqus respond".split())
+
+
+class _Named:
+    """An element whose name says that it is something else: what it holds, and what it stands in."""
+
+    def __init__(self, up: _Named | None, about: int, in_article: bool, comments: bool, itself: bool):
+        self.up, self.about, self.in_article, self.comments, self.itself = up, about, in_article, comments, int(itself)
+        #: Articles and main elements (itself too) in no other such element inside, and characters outside of links;
+        #: then those of all inside, those of the elements that it stands in, and whether it takes part.
+        self.direct, self.plain, self.all, self.over, self.spared = self.itself, 0, 0, 0, True
+
+
+def _settle(named: list[_Named]) -> None:
+    """Decides which elements (in the page's order, the page first) take part: those that stand in none that doesn't,
+    with no article or main beside them, that hold one (and stand in none) or most of the page's text."""
+    for x in reversed(named):
+        x.all += x.direct
+        if x.up:
+            x.up.all += x.all
+            x.up.plain += x.plain
+    for x in named[1:]:
+        x.over = x.up.over + x.up.direct
+        much = 2 * x.plain > named[0].plain and not x.comments
+        x.spared = x.up.spared and x.over == x.about and (much or x.all > x.itself and not x.in_article)
 
 
 class _Lines(HTMLParser):
-    """Collects a page's lines: text, characters outside of links, tags, parent, container, and whether something
-    else than main text."""
+    """Collects a page's lines: text, characters outside of links, tags, parent, innermost article and main, innermost
+    named element (see _Named), and whether in a paragraph that is named so inside an article or main element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: Open elements: tag, number, whether something else, and number of the innermost article and main.
-        self.open: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
-        self.lines: list[tuple[str, int, int, int, int, int, bool]] = []
+        self.named = [_Named(None, 0, False, False, False)]
+        #: Open elements: tag, number, whether something else, number of the innermost article and main, number of
+        #: articles and mains, innermost named element, whether a named paragraph.
+        self.open: list[tuple[str, int, bool, int, int, int, _Named, bool]] = [("", 0, False, 0, 0, 0, self.named[0], False)]
+        self.lines: list[tuple[str, int, int, int, int, int, _Named, bool]] = []
         self.parts: list[str] = []
         self.tags = self.elements = self.links = self.plain = 0
 
@@ -61,17 +93,29 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, _, other, article, main = self.open[-1]
+        _, _, other, article, main, about, named, soft = self.open[-1]
         self.elements += 1
-        names = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _NAME.findall(v.lower())}
+        given = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
+        names = {w for v in given for w in _NAME.findall(_ABOUT.sub("", v))}
         gone = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        other = other or gone or tag in OTHER or bool(names & OTHER_NAMES) and tag not in ("html", "body") or tag == "header" and not article
+        other = other or gone or tag in OTHER or tag == "header" and not article
+        first = not main and (tag == "main" or "main" in names and tag == "div")
+        anchor = not other and (tag == "article" or first)
+        if not other and names & OTHER_NAMES and tag not in ("html", "body"):
+            if tag == "p" and (article or main):
+                soft = True
+            else:
+                named = _Named(named, about, article > 0, bool(names & COMMENT_NAMES), anchor)
+                self.named.append(named)
+        elif anchor:
+            named.direct += 1
+        about += anchor
         if tag == "article":
             article = self.elements
-        if tag == "main" or "main" in names and tag == "div":
-            main = main or self.elements
+        if first:
+            main = self.elements
         self.links += tag == "a"
-        self.open.append((tag, self.elements, other, article, main))
+        self.open.append((tag, self.elements, other, article, main, about, named, soft))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -101,10 +145,13 @@ class _Lines(HTMLParser):
 
     def _break(self):
         text = " ".join("".join(self.parts).split())
-        if text:
-            _, number, other, article, main = self.open[-1]
+        _, _, other, article, main, _, named, soft = self.open[-1]
+        if text and not other:
             number = next((x[1] for x in reversed(self.open) if x[0] in BLOCK and x[0] not in ("p", "li", "td", "tr")), 0)
-            self.lines.append((text, min(self.plain, len(text)), max(1, self.tags), number, article, main, other))
+            plain = min(self.plain, len(text))
+            self.lines.append((text, plain, max(1, self.tags), number, article, main, named, soft))
+            named.plain += plain
+        if text:
             self.tags = 0
         self.parts, self.plain = [], 0
 
@@ -129,7 +176,8 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = [x for x in parser.lines if not x[6]]
+    _settle(parser.named)
+    lines = [x for x in parser.lines if x[6].spared]
     if not lines:
         return ""
     own = np.array([x[1] / x[2] for x in lines])
@@ -138,7 +186,7 @@ def main_text(html: str | None) -> str:
     regions = [(4, x[4]) if x[4] else (5, x[5]) if x[5] else (3, x[3]) for x in lines]
     chosen = {r for r, c, o in zip(regions, content, clear, strict=True) if c and (o or r[0] == 3)}
     chosen = chosen or {r for r, c in zip(regions, content, strict=True) if c}
-    return " ".join(x[0] for x, r in zip(lines, regions, strict=True) if r in chosen)
+    return " ".join(x[0] for x, r, o in zip(lines, regions, clear, strict=True) if r in chosen and (o or not x[7]))
 
 
 def main_text_column(html: str = "html") -> Column:

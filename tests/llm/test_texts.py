@@ -213,6 +213,28 @@ def test_ratios_choose_the_region(page, text):
     assert html_text.main_text(page) == text
 
 
+BODY = f"<h1>Head</h1><p>{LONG}</p><p>end</p>"
+SAID = f"Head {LONG}end"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content has-sidebar'>{BODY}</div>", SAID), (f"<article class='post no-comments'>{BODY}</article>", SAID),
+        (f"<div id='page' class='no-sidebar'>{BODY}</div>", SAID), (f"<div class='with_widget-area'>{BODY}</div>", SAID),
+        (f"<div class='layout sidebar-left'><article>{BODY}</article></div><div class='related'><p>{LONG}</p></div>", SAID),
+        (f"<div class='page widget'>{BODY}</div><div class='related'><p>Read on</p></div>", SAID),
+        (f"<article><h1>Head</h1><p class='notice'>{LONG}</p><p>end</p><p class='share'><a href='/x'>Share</a></p></article>", SAID),
+        (f"<main><div class='widget'><article>{BODY}</article></div></main>", SAID),
+        (f"<article>{BODY}<section class='comments'><article><p>{LONG * 9}</p></article></section></article>", SAID),
+        (f"<article>{BODY}</article><div id='comments'><article><p>{LONG * 9}</p></article></div>", SAID),
+        (f"<article>{BODY}</article><div class='ad-no-border'>{LONG * 9}</div>", SAID),
+    ],
+)
+def test_names_alone_drop_no_main_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_smoothing_keeps_the_mean_of_flat_ratios():
     assert html_text.smoothed(np.full(9, 3.0)) == pytest.approx(np.full(9, 3.0))
 
