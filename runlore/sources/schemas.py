@@ -13,6 +13,8 @@ EVENTS = (
 )
 RUNS = "run_id string, name string, input_sha256 string, adapter string, adapter_version string, imported_at timestamp"
 DIAGNOSTICS = "run_id string, line int, byte_offset bigint, code string, message string"
+#: batch: the number of the stream's batch; none for an import of all files at once.
+OUTCOMES = "path string, run_id string, outcome string, code string, batch bigint"
 EVENT_INDEX = "run_id string, sequence bigint, event_id string, kind string, content_sha256 string"
 CONTEXT = "struct<event_id: string, event_text: string, event_kind: string, tool_name: string>"
 

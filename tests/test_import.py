@@ -77,6 +77,26 @@ def test_twice_is_duplicate_and_a_stream_adds_the_rest(spark, tmp_path):
     assert traces.stored(spark, store, "events", schemas.EVENTS).count() == 3
 
 
+def test_a_stream_stores_each_outcome_once(spark, tmp_path):
+    line, store = b'{"kind":"Message"}', str(tmp_path / "store")
+    path = put(tmp_path / "in", a=line, b=line, c=line + b"\nx", d=b'{"actor":"a long record of the agent"}', e=line * 9)
+    limits = traces.ImportLimits(100, 30, 100, 100)
+    import_traces_stream(spark, path, store, limits).awaitTermination()
+    rows = lambda: sorted((r.path[-7:-6], r.outcome, r.code or "", r.batch) for r in traces.stored(spark, store, "outcomes", schemas.OUTCOMES).collect())
+    expected = [
+        ("a", "Imported", "", 0), ("b", "Duplicate", "", 0), ("c", "Partial", "", 0), ("d", "Rejected", "RECORD_BYTES_LIMIT", 0),
+        ("e", "Rejected", "TOTAL_BYTES_LIMIT", 0),
+    ]
+    assert rows() == expected
+    (tmp_path / "store" / "_stream" / "commits" / "0").unlink()  # as if the batch had failed at its end
+    (tmp_path / "store" / "_stream" / "commits" / ".0.crc").unlink(missing_ok=True)
+    import_traces_stream(spark, path, store, limits).awaitTermination()
+    assert rows() == expected
+    put(tmp_path / "in", f=line)
+    import_traces_stream(spark, path, store, limits).awaitTermination()
+    assert rows() == [*expected, ("f", "Duplicate", "", 1)]
+
+
 def test_empty_files_are_passed_over(spark, tmp_path):
     made = imported(spark, put(tmp_path / "in", a=b"", b=b"\n"))
     assert made.events.count() == 0 and [r.name for r in made.runs.collect()] == ["b.jsonl"]
