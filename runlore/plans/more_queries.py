@@ -303,6 +303,14 @@ def redaction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redaction_totals(rows).filter(F.col("kind").isin("EMAIL", "PHONE"))
 
 
+@query()
+def redaction_totals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements of every kind over all documents, those included that SQL can't say."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    rows = redaction.redact_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return redaction.redaction_totals(rows)
+
+
 @query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?:^|[^\\pL\\pN_.+-])[\\pL\\pN_.+-]+@[\\pL\\pN_-]+(?:\\.[\\pL\\pN_-]+)+')) AS n_email,
 len(regexp_extract_all(coalesce(text, ''), '(?:^|[^\\pL\\pN_])\\+[1-9][0-9 ().-]{8,30}[0-9]')) AS n_phone FROM documents""", traces=False)
 def builtin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

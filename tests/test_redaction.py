@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 
 from runlore.functions import redaction as R
 from runlore.operators import redaction as ops
+from runlore.plans import more_queries  # noqa: F401  registers its queries
+from runlore.plans.queries import QUERIES
 
 PEM = "-----BEGIN {0}PRIVATE KEY-----\nabc\n-----END {0}PRIVATE KEY-----"
 MANY = " ".join([
@@ -104,3 +106,19 @@ def test_columns(spark):
     got = [r.redaction for r in ops.redact_json(bad, "j").collect()]
     assert got[0].error_code == "INPUT_ERROR" and got[1].redacted == '{"secret":"<REDACTED:KEYED:1>"}'
     assert ops.secret_scan(rows.limit(1), "redaction").first().found[0] == "API_TOKEN"
+
+
+PLANTED = {
+    "EMAIL": "a.b@example.org", "PHONE": "+1 (212) 555-0100", "GITHUB_TOKEN": "ghp_" + "a" * 20, "API_TOKEN": "sk-" + "b" * 20, "USER_PATH": "/home/ann/x",
+    "AWS_ACCESS_KEY": "AKIA" + "D" * 16, "ENV_SECRET": "MY_API_KEY_2=z", "PRIVATE_KEY": PEM.format("RSA "), "CONNECTION_PASSWORD": "password = q1",
+}
+
+
+def test_totals_of_all_kinds(spark, tmp_path):
+    kinds = sorted(PLANTED)
+    planted = [[k for j, k in enumerate(kinds) if (i + j) % 3 == 0 for _ in range(1 + (i * j) % 3)] for i in range(20)]
+    rows = [(i, "\n".join(["some prose", *[PLANTED[k] for k in said], "more prose"])) for i, said in enumerate(planted)]
+    spark.createDataFrame([*rows, (20, None), (21, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {(k, sum(k in said for said in planted), sum(said.count(k) for said in planted)) for k in kinds}
+    assert {tuple(r) for r in QUERIES["redaction_totals_all"](spark, str(tmp_path)).collect()} == expected
+    assert {r.kind for r in QUERIES["redaction_totals"](spark, str(tmp_path)).collect()} == {"EMAIL", "PHONE"}
