@@ -13,10 +13,12 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where the cluster names none, as in
-    tests, a temporary one is made and set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is named and all runs in one
+    process, as in tests, a temporary one is made and set; on a cluster that is an error."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not name and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(name or tempfile.mkdtemp(prefix="runlore-checkpoint-"))
     return name or context._jsc.sc().getCheckpointDir().get()
@@ -37,6 +39,11 @@ def hash128(column: Column) -> Column:
     return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(7919), column).alias("b"))
 
 
+def few_parts(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """df in no more partitions than its number of rows is worth. What fits into one needs no shuffles later on."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether df has at most this many rows; reads no more than that of them."""
     return df.limit(most + 1).count() <= most

@@ -17,9 +17,14 @@ Both send along a common order of segments, so sets stop where they have enough:
 H + 1 segments within what the other has looked at.
 
 What is common is estimated on a bounded sample and decides about cost only. Equal sets are one node from the start.
-Nodes that meet are verified against one leader of the place where they meet, the one with most copies, rather than
-with each other. Only where different components still meet are sets compared with each other, block by block. So
-large groups of near copies are linked without rows for all their pairs, and no link between components is lost.
+
+Signatures go out in two passes. The first sends parts of their hashes only, once for each set of a task, and keeps
+those that come twice; nearly all come once and go no further. The second sends signatures that come twice with their
+sets' nodes, and writes the sets that send any. Nodes that meet are verified against one leader of the place where
+they meet, the one with most copies, rather than with each other. Only where different components still meet are sets
+compared with each other: within a cluster of such nodes the sets outside of its largest component are compared with
+all others, in blocks. So large groups of near copies are linked without rows for all their pairs, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small
+from .common import checkpointed, few_parts, small
 from .components import components
+from .hash_files import Repeated
+from .shared_files import new_folder, removed, stored
 from .words import mixed, texts_words
 
 #: Rows of the sample that common shingles are taken from, sets that hold a common shingle there, and shingles at most.
@@ -43,7 +50,9 @@ BROADCAST = 100_000
 #: A band's largest set by its smallest, and segments beyond H + 1.
 BAND, SPARE = 1.4, 1.2
 #: Shingles of a block in which sets are compared with each other.
-BLOCK = 64_000
+BLOCK = 400_000
+#: Parts of signatures that a task sends together, those of a shard on average, and nodes that a task remembers.
+FLUSH, SHARD, MOST_SEEN = 2_000_000, 8_000_000, 400_000
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -88,7 +97,7 @@ def shingle_sets(texts: list[str | None], k: int) -> Sets:
 class Bands:
     """Sizes in bands for a least similarity of percent / 100."""
 
-    def __init__(self, percent: int, largest: int):
+    def __init__(self, percent: int, largest: int = 1 << 31):
         self.percent = percent
         edges = [1]
         while edges[-1] <= largest * 100 // percent + 1:
@@ -219,31 +228,28 @@ def jaccard_components(
     Null and empty texts have no shingles and are linked with nothing, nor are null ids smaller than others; rows that
     repeat are linked as equal sets. An empty table gives an empty result. Shingles are compared by 64-bit hashes."""
     spark = df.sparkSession
-    rows = checkpointed(shingle_keys(df, k, id_col, text))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    n, largest = rows.agg(F.count(F.lit(1)), F.max("n_shingles")).first()
+    folder = new_folder(spark, "jaccard")
+    rows = stored(shingle_keys(df, k, id_col, text), folder, "rows")
+    texts = df.select(F.col(text).alias("text"))
+    n, shingles = rows.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    known = spark.sparkContext.broadcast((Bands(percent, largest or 1), _common(texts.select("text"), n, k)))
-
-    def sends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for run in _runs(b["text"]):
-                s = shingle_sets(list(b["text"].iloc[run]), k)
-                doc, signature = _signatures(s, *known.value)
-                yield pd.DataFrame({"signature": signature.view(np.int64), "node": s.node[doc].view(np.int64)})
-
-    sent = texts.select("text").mapInPandas(sends, "signature bigint, node bigint")
-    meeting = checkpointed(
-        sent.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("signature")
-    )
-    places = checkpointed(sent.join(meeting, "signature").distinct())
-    linked = _linked(places, nodes, _members(texts, nodes, places, k), percent)
-    grouped = linked.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
-    of_linked = linked.join(grouped, "root").select("node", "root", "component")
-    copies = nodes.filter("copies > 1").join(linked, "node", "left_anti")
-    of_copies = copies.select("node", F.col("node").alias("root"), F.col("least").alias("component"))
-    found = checkpointed(of_linked.unionByName(of_copies)).withColumnRenamed("node", "found")
-    if small(found, BROADCAST):
+    known = spark.sparkContext.broadcast((Bands(percent), _common(texts, n, k)))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shingles or 0) // SHARD + 1)
+    again = Repeated.written(_sent(texts, k, known, shards), shards)
+    met = stored(_meeting(texts, k, known, again), folder, "meeting")
+    removed(spark, again.folder)
+    linked = stored(_linked(met, percent, folder), folder, "linked")
+    removed(spark, f"{folder}/meeting")
+    copies = nodes.join(linked, "node", "left").filter("copies > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least")
+    found = stored(copies, folder, "found")
+    component = found.groupBy("root").agg(F.min("least").alias("component"))
+    size = found.count()
+    if size <= BROADCAST:
+        found = few_parts(found, size).join(few_parts(component, size), "root")
+    else:
+        found = found.join(component, "root")
+    found = stored(found.select(F.col("node").alias("found"), "root", "component"), folder, "components")
+    if size <= BROADCAST:
         found = F.broadcast(found)
     same = (F.col("node") == F.col("found")) & (F.col("n_shingles") > 0)
     return rows.join(found, same, "left").select(
@@ -251,6 +257,63 @@ def jaccard_components(
     )
 
 
+def _sent(texts: DataFrame, k: int, known, shards: int) -> DataFrame:
+    """Parts of the signatures of all texts, each node's once for each task, packed for their shards."""
+
+    def sends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        held, n = [], 0
+        for b in batches:
+            for run in _runs(b["text"]):
+                s = _once(shingle_sets(list(b["text"].iloc[run]), k), seen)
+                held.append(_signatures(s, *known.value)[1])
+                n += len(held[-1])
+                if n >= FLUSH:
+                    yield Repeated.packed(np.concatenate(held), shards)
+                    held, n = [], 0
+        if n:
+            yield Repeated.packed(np.concatenate(held), shards)
+
+    return texts.mapInPandas(sends, "shard int, keys binary")
+
+
+def _once(s: Sets, seen: set[int]) -> Sets:
+    """The sets without those whose node stands before or has been seen, as if these were empty."""
+    fresh = np.zeros(len(s.node), bool)
+    for i, node in enumerate(s.node.tolist()):
+        if node not in seen:
+            seen.add(node)
+            fresh[i] = True
+    if len(seen) > MOST_SEEN:
+        seen.clear()
+    return Sets(s.doc, s.token, np.where(fresh, s.size, 0), s.first, s.node)
+
+
+def _meeting(texts: DataFrame, k: int, known, again: Repeated) -> DataFrame:
+    """node, copies, signatures, tokens: sets that send signatures that are sent twice, with how many texts of a run
+    have them, and, where a task sees a node first, their tokens."""
+
+    def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            for run in _runs(b["text"]):
+                s = shingle_sets(list(b["text"].iloc[run]), k)
+                _, back, copies = np.unique(s.node, return_inverse=True, return_counts=True)
+                doc, signature = _signatures(_once(s, set()), *known.value)
+                hit = again.holds(signature)
+                doc, signature = doc[hit], signature[hit]
+                order = np.argsort(doc, kind="stable")
+                doc, signature = doc[order], signature[order].view(np.int64)
+                at, first = np.unique(doc, return_index=True)
+                new = _once(s, seen).size > 0
+                yield pd.DataFrame({
+                    "node": s.node[at].view(np.int64), "copies": copies[back[at]], "signatures": np.split(signature, first[1:]) if len(at) else [],
+                    "tokens": [s.token[s.first[i] : s.first[i] + s.size[i]].tobytes() if new[i] else None for i in at],
+                })
+
+    return texts.mapInPandas(meets, "node bigint, copies bigint, signatures array<bigint>, tokens binary")
+
+
 def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each component of jaccard_components: the one with the smallest id (null last; of several
     such, the one with the smallest text hash; of rows that also repeat id and text, any one). Rows without words all
@@ -271,27 +334,8 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
-def _members(texts: DataFrame, nodes: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """node and tokens of each node that meets another one, from one text of the node."""
-    wanted = checkpointed(nodes.join(places.select("node").distinct(), "node").select(F.col("least"), F.col("node").alias("expected")))
-    if small(wanted, BROADCAST):
-        wanted = F.broadcast(wanted)
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for run in _runs(b["text"]):
-                s = shingle_sets(list(b["text"].iloc[run]), k)
-                at = np.flatnonzero(s.node == b["expected"].iloc[run].to_numpy(np.int64).view(np.uint64))
-                made = [s.token[s.first[i] : s.first[i] + s.size[i]].tobytes() for i in at]
-                yield pd.DataFrame({"node": s.node[at].view(np.int64), "tokens": made})
-
-    picked = texts.join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("text", "expected")
-    made = picked.mapInPandas(tokens, "node bigint, tokens binary")
-    return checkpointed(made.groupBy("node").agg(F.first("tokens").alias("tokens")))
-
-
 def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """a, b and whether they are linked, of different pairs of nodes."""
+    """Those of the pairs (a, b) of different nodes that are linked. Sizes alone rule many out, so they come first."""
 
     def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -301,58 +345,76 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 place = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int((x[place] == y).sum())
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "linked": linked})
+            yield b.loc[linked, ["a", "b"]]
 
     x = members.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = members.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return checkpointed(pairs.join(y, "b").join(x, "a").mapInPandas(meets, "a bigint, b bigint, linked boolean"))
+    m, n = F.octet_length("x"), F.octet_length("y")
+    both = pairs.join(y, "b").join(x, "a").filter((m * 100 >= n * percent) & (n * 100 >= m * percent))
+    return both.mapInPandas(meets, "a bigint, b bigint")
 
 
-def _linked(places: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """node, root of all nodes with links, from places(signature, node) where nodes meet."""
-    own = places.join(nodes.select("node", "copies"), "node")
+def _linked(met: DataFrame, percent: int, folder: str) -> DataFrame:
+    """node, root of all nodes with links, from the sets that meet."""
+    sent = met.select("node", "copies", F.explode("signatures").alias("signature"))
+    places = stored(sent.groupBy("signature", "node").agg(F.sum("copies").alias("copies")), folder, "places")
+    members = met.filter("tokens is not null").groupBy("node").agg(F.first("tokens").alias("tokens"))
     leader = F.min_by("node", F.struct(-F.col("copies"), F.xxhash64("node"))).alias("leader")
-    leaders = checkpointed(own.groupBy("signature").agg(leader))
-    pairs = places.join(leaders, "signature").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    near = _verified(pairs.distinct(), members, percent).filter("linked").select("a", "b")
-    roots = checkpointed(components(near))
-    at = places.join(roots, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
+    leaders = places.groupBy("signature").agg(leader, F.min("node").alias("low"), F.max("node").alias("high"))
+    leaders = stored(leaders.filter("low <> high").select("signature", "leader"), folder, "leaders")
+    near = places.join(leaders, "signature").filter("node <> leader")
+    pairs = stored(near.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), folder, "pairs")
+    near = stored(_verified(pairs, members, percent), folder, "near")
+    roots = stored(components(near), folder, "roots")
+    at = places.join(leaders, "signature").join(roots, "node", "left").select("signature", "node", "leader", F.coalesce("root", "node").alias("root"))
+    at = stored(at, folder, "at")
     still = at.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
-    still = checkpointed(at.join(still, "signature").join(leaders, "signature"))
-    rest = _between(still, members, percent)
-    return checkpointed(components(near.unionByName(rest)))
+    still = stored(at.join(still, "signature"), folder, "still")
+    rest = stored(_between(still, members, percent, folder), folder, "rest")
+    return components(near.unionByName(rest))
 
 
-def _between(still: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _between(still: DataFrame, members: DataFrame, percent: int, folder: str) -> DataFrame:
     """Links a, b between nodes of different roots, enough to join all roots that are linked, among the nodes that meet
-    where roots meet, from still(signature, leader, node, root). Nodes that meet, through others too, make a cluster;
-    its sets are dealt to blocks of bounded size, and two blocks are compared by counting shared shingles, so pairs
-    are not made into rows."""
+    where roots meet, from still(signature, leader, node, root). Nodes that meet, through others too, make a cluster.
+    Its largest root's sets make blocks of one side and all others blocks of another; each block of others meets each
+    block, and two blocks are compared by counting shared shingles, so pairs are not made into rows and what is linked
+    with the largest root already is not compared among itself."""
     spark = still.sparkSession
-    clusters = components(still.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("root", "cluster")
-    rooted = still.groupBy("node").agg(F.first("root").alias("root"))
-    rows = checkpointed(
-        members.join(rooted, "node").join(clusters, "node").select("cluster", "node", "root", "tokens", (F.octet_length("tokens") / 8).cast("bigint").alias("n"))
+    n = still.count()
+    clusters = stored(components(still.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), folder, "clusters").withColumnRenamed("root", "cluster")
+    rooted = few_parts(still, n).groupBy("node").agg(F.first("root").alias("root")).join(few_parts(clusters, n), "node")
+    rows = stored(
+        members.join(rooted, "node").select("cluster", "node", "root", "tokens", (F.octet_length("tokens") / 8).cast("bigint").alias("n")), folder, "clustered"
     )
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    of_root = few_parts(rows.select("cluster", "root", "n"), n).groupBy("cluster", "root").agg(F.sum("n").alias("n"))
+    sizes = of_root.groupBy("cluster").agg(
+        F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")
+    ).filter("roots > 1").select("cluster", "top", F.ceil(F.col("most") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("others"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * BLOCK) + 1)
-    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.col("cluster")).alias("task"),
-        (F.col("blocks") == 1).alias("whole"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cluster", "block", "node", "root", "tokens",
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BLOCK) + 1)
+    is_top, number = F.col("root") == F.col("top"), F.xxhash64("node")
+    dealt = rows.join(sizes, "cluster").withColumn(
+        "block", F.when(is_top, F.pmod(number, F.col("tops"))).otherwise(F.col("tops") + F.pmod(number, F.col("others"))).cast("int")
+    )
+    whole = (F.col("tops") == 1) & (F.col("others") == 1)
+    every = F.sequence(F.when(is_top, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("others") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.when(whole, F.array(F.lit(1))).otherwise(every))).select(
+        F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.col("cluster")).alias("task"), whole.alias("whole"),
+        F.when(whole, 0).otherwise(F.least("block", "other")).alias("i"), F.when(whole, 0).otherwise(F.greatest("block", "other")).alias("j"),
+        "cluster", "block", "node", "root", "tokens",
     )
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, c in part.groupby("cluster", sort=True):
             if c["root"].nunique() > 1:
-                x, y = c[c["block"] == key[2]], c[c["block"] == key[3]]
-                found += _joining(x.sort_values("node"), y.sort_values("node"), percent)
+                c = c.sort_values("node")
+                x, y = (c, c[c["block"] > 0]) if key[1] else (c[c["block"] == key[2]], c[c["block"] == key[3]])
+                found += _joining(x, y, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return checkpointed(dealt.groupBy("task", "whole", "i", "j").applyInPandas(compare, "a bigint, b bigint"))
+    return dealt.groupBy("task", "whole", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def _joining(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
