@@ -22,7 +22,7 @@ class HashFiles:
 
     def __init__(self, folder: str, files: int):
         self.folder, self.files = folder, files
-        #: Number of keys, sum of values, and greatest value.
+        #: Number of keys, sum of values (exact below 2^53), and greatest value.
         self.keys = self.total = self.greatest = 0
 
     @classmethod
@@ -36,13 +36,13 @@ class HashFiles:
             part = part[part["counts"]]
             order = np.lexsort((part["value"], part["key"]))
             put(folder, str(key[0]), part["key"].to_numpy()[order], part["value"].to_numpy()[order])
-            return pd.DataFrame({"n": [len(part)], "total": [int(part["value"].sum())], "most": [int(part["value"].max()) if len(part) else 0]})
+            return pd.DataFrame({"n": [len(part)], "total": [part["value"].to_numpy(float).sum()], "most": [int(part["value"].max()) if len(part) else 0]})
 
         parted = df.select("key", "value", F.pmod("key", F.lit(files)).alias("file"), F.lit(True).alias("counts"))
         every = spark.range(0, files, 1, 1).selectExpr("0L key", "0L value", "id file", "false counts")
-        written = parted.unionByName(every).repartition(files, "file").groupBy("file").applyInPandas(write, "n bigint, total bigint, most bigint")
+        written = parted.unionByName(every).repartition(files, "file").groupBy("file").applyInPandas(write, "n bigint, total double, most bigint")
         out = cls(folder, files)
-        out.keys, out.total, out.greatest = written.agg(F.sum("n"), F.sum("total"), F.max("most")).first()
+        out.keys, out.total, out.greatest = (int(x) for x in written.agg(F.sum("n"), F.sum("total"), F.max("most")).first())
         return out
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,11 +20,15 @@ What is common is estimated on a bounded sample and decides about cost only. Equ
 
 Signatures go out in two passes. The first sends parts of their hashes only, once for each set of a task, and keeps
 those that come twice; nearly all come once and go no further. The second sends signatures that come twice with their
-sets' nodes, and writes the sets that send any. Nodes that meet are verified against one leader of the place where
-they meet, the one with most copies, rather than with each other. Only where different components still meet are sets
-compared with each other: within a cluster of such nodes the sets outside of its largest component are compared with
-all others, in blocks. So large groups of near copies are linked without rows for all their pairs, and no link between
-components is lost.
+sets' nodes, and writes the sets that send any, with a bitmap of each set. Two bitmaps differ in at most as many bits as
+their sets in shingles, so bitmaps tell most sets apart that meet without being linked; only those that may be linked
+are read again, to be verified by their shingles.
+
+Nodes that meet are verified against one leader of the place where they meet, the one with most copies, rather than
+with each other. Only where different components still meet are sets compared with each other: within a cluster of
+such nodes the sets outside of its largest component are compared with all others, in blocks, first by bitmaps and, where
+these allow a link, by shingles. So large groups of near copies are linked without rows for all their pairs, and no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, few_parts, small
 from .components import components
-from .hash_files import Repeated
+from .hash_files import HashFiles, Repeated
 from .shared_files import new_folder, removed, stored
 from .words import mixed, texts_words
 
@@ -49,8 +53,8 @@ SAMPLE, COMMON, MOST_COMMON = 4096, 3, 100_000
 BROADCAST = 100_000
 #: A band's largest set by its smallest, and segments beyond H + 1.
 BAND, SPARE = 1.4, 1.2
-#: Shingles of a block in which sets are compared with each other.
-BLOCK = 400_000
+#: Shingles of a block in which sets are compared with each other, and of one in which their bitmaps are.
+BLOCK, BITMAP_BLOCK = 400_000, 4_000_000
 #: Parts of signatures that a task sends together, those of a shard on average, and nodes that a task remembers.
 FLUSH, SHARD, MOST_SEEN = 2_000_000, 8_000_000, 400_000
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -238,8 +242,10 @@ def jaccard_components(
     again = Repeated.written(_sent(texts, k, known, shards), shards)
     met = stored(_meeting(texts, k, known, again), folder, "meeting")
     removed(spark, again.folder)
-    linked = stored(_linked(met, percent, folder), folder, "linked")
-    removed(spark, f"{folder}/meeting")
+    wanted = lambda nodes, name: _tokens(texts, rows, nodes, k, folder, name)
+    linked = stored(_linked(met, wanted, percent, folder), folder, "linked")
+    for name in ("meeting", *_STEPS):
+        removed(spark, f"{folder}/{name}")
     copies = nodes.join(linked, "node", "left").filter("copies > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least")
     found = stored(copies, folder, "found")
     component = found.groupBy("root").agg(F.min("least").alias("component"))
@@ -289,9 +295,34 @@ def _once(s: Sets, seen: set[int]) -> Sets:
     return Sets(s.doc, s.token, np.where(fresh, s.size, 0), s.first, s.node)
 
 
+def _bitmaps(s: Sets, at: np.ndarray) -> list[bytes]:
+    """Of each set at these places a bit for each shingle by its hash, in the least power of two of bits that is at
+    least twice the set's size."""
+    size = s.size[at]
+    bits = (1 << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64)).astype(np.int64)
+    base = np.cumsum(bits) - bits
+    own = np.repeat(np.arange(len(at)), size)
+    items = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s.first[at], size)
+    marked = np.zeros(int(bits.sum()), bool)
+    marked[base[own] + (mixed(s.token[items] ^ _ODD[50]) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(marked, bitorder="little").tobytes()
+    return [packed[x // 8 : (x + n) // 8] for x, n in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of words) in half as many bits."""
+    half = x.shape[-1] // 2
+    return x[..., :half] | x[..., half:]
+
+
+def _may_link(differ: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of m and n shingles that differ in at least so many may be linked."""
+    return np.maximum(differ, np.abs(m - n)) * (100 + percent) <= (100 - percent) * (m + n)
+
+
 def _meeting(texts: DataFrame, k: int, known, again: Repeated) -> DataFrame:
-    """node, copies, signatures, tokens: sets that send signatures that are sent twice, with how many texts of a run
-    have them, and, where a task sees a node first, their tokens."""
+    """node, copies, n, signatures, bitmap: sets that send signatures that are sent twice, how many texts of a run have
+    them, their size, and, where a task sees a node first, their bitmap."""
 
     def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -305,13 +336,39 @@ def _meeting(texts: DataFrame, k: int, known, again: Repeated) -> DataFrame:
                 order = np.argsort(doc, kind="stable")
                 doc, signature = doc[order], signature[order].view(np.int64)
                 at, first = np.unique(doc, return_index=True)
-                new = _once(s, seen).size > 0
+                new = _once(Sets(s.doc, s.token, s.size[at], s.first[at], s.node[at]), seen).size > 0
+                bitmaps = iter(_bitmaps(s, at[new]))
                 yield pd.DataFrame({
-                    "node": s.node[at].view(np.int64), "copies": copies[back[at]], "signatures": np.split(signature, first[1:]) if len(at) else [],
-                    "tokens": [s.token[s.first[i] : s.first[i] + s.size[i]].tobytes() if new[i] else None for i in at],
+                    "node": s.node[at].view(np.int64), "copies": copies[back[at]], "n": s.size[at],
+                    "signatures": np.split(signature, first[1:]) if len(at) else [], "bitmap": [next(bitmaps) if x else None for x in new],
                 })
 
-    return texts.mapInPandas(meets, "node bigint, copies bigint, signatures array<bigint>, tokens binary")
+    return texts.mapInPandas(meets, "node bigint, copies bigint, n bigint, signatures array<bigint>, bitmap binary")
+
+
+def _tokens(texts: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, folder: str, name: str) -> DataFrame:
+    """node and tokens of these nodes (a column node, stored), read from the texts again. A file of the hashes of one
+    text of each node tells which texts to take, so the others are neither shuffled nor cut to shingles."""
+    n = nodes.count()
+    picked = rows.join(F.broadcast(nodes) if n <= BROADCAST else nodes, "node").groupBy("node").agg(F.min("text_hash").alias("key"))
+    wanted = HashFiles.written(picked.select("key", F.col("node").alias("value")), n)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            at, node = wanted.find(b["text_hash"].to_numpy(np.int64))
+            for run in _runs(b["text"].iloc[at]):
+                s = shingle_sets(list(b["text"].iloc[at[run]]), k)
+                right = s.node == node[run].view(np.uint64)
+                s = _once(Sets(s.doc, s.token, np.where(right, s.size, 0), s.first, s.node), seen)
+                found = np.flatnonzero(s.size)
+                made = [s.token[s.first[i] : s.first[i] + s.size[i]].tobytes() for i in found]
+                yield pd.DataFrame({"node": s.node[found].view(np.int64), "tokens": made})
+
+    hashed = texts.select("text", F.xxhash64("text").alias("text_hash"))
+    read_again = stored(hashed.mapInPandas(read, "node bigint, tokens binary"), folder, name)
+    removed(texts.sparkSession, wanted.folder)
+    return read_again.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,87 +391,140 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of different nodes that are linked. Sizes alone rule many out, so they come first."""
+#: Folders that _linked writes and that nothing needs after it.
+_STEPS = (
+    "places", "bitmaps", "leaders", "pairs", "nodes", "tokens", "near", "roots", "at", "still", "rest", "clusters", "rooted", "clustered",
+    "possible", "possible tokens", "compared",
+)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, data: str, linked) -> DataFrame:
+    """Those of the pairs (a, b) for which linked(x, y) is true of the data (bytes) of their sets (node, n, data)."""
 
     def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            linked = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[place] == y).sum())
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[linked, ["a", "b"]]
-
-    x = members.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    y = members.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    m, n = F.octet_length("x"), F.octet_length("y")
-    both = pairs.join(y, "b").join(x, "a").filter((m * 100 >= n * percent) & (n * 100 >= m * percent))
-    return both.mapInPandas(meets, "a bigint, b bigint")
-
-
-def _linked(met: DataFrame, percent: int, folder: str) -> DataFrame:
-    """node, root of all nodes with links, from the sets that meet."""
+            yield b.loc[[linked(x, y, m, n) for x, y, m, n in zip(b["x"], b["y"], b["m"], b["n"], strict=True)], ["a", "b"]]
+
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col(data).alias("x"))
+    y = sets.select(F.col("node").alias("b"), "n", F.col(data).alias("y"))
+    return pairs.join(y, "b").join(x, "a").mapInPandas(meets, "a bigint, b bigint")
+
+
+def _linked(met: DataFrame, tokens, percent: int, folder: str) -> DataFrame:
+    """node, root of all nodes with links, from the sets that meet; tokens(nodes, name) gives nodes with their tokens."""
+
+    def may_link(x: bytes, y: bytes, m: int, n: int) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        while len(x) != len(y):
+            x, y = (_folded(x), y) if len(x) > len(y) else (x, _folded(y))
+        return bool(_may_link(np.bitwise_count(x ^ y).sum(dtype=np.int64), m, n, percent))
+
+    def link(x: bytes, y: bytes, m: int, n: int) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = int((x[np.minimum(np.searchsorted(x, y), m - 1)] == y).sum())
+        return 100 * both >= percent * (m + n - both)
+
     sent = met.select("node", "copies", F.explode("signatures").alias("signature"))
     places = stored(sent.groupBy("signature", "node").agg(F.sum("copies").alias("copies")), folder, "places")
-    members = met.filter("tokens is not null").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    bitmaps = met.filter("bitmap is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    bitmaps = stored(bitmaps, folder, "bitmaps")
     leader = F.min_by("node", F.struct(-F.col("copies"), F.xxhash64("node"))).alias("leader")
     leaders = places.groupBy("signature").agg(leader, F.min("node").alias("low"), F.max("node").alias("high"))
     leaders = stored(leaders.filter("low <> high").select("signature", "leader"), folder, "leaders")
     near = places.join(leaders, "signature").filter("node <> leader")
-    pairs = stored(near.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), folder, "pairs")
-    near = stored(_verified(pairs, members, percent), folder, "near")
+    pairs = near.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    pairs = stored(_compared(pairs, bitmaps, "bitmap", may_link), folder, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = tokens(stored(nodes, folder, "nodes"), "tokens")
+    near = stored(_compared(pairs, members.withColumn("n", (F.octet_length("tokens") / 8).cast("bigint")), "tokens", link), folder, "near")
     roots = stored(components(near), folder, "roots")
     at = places.join(leaders, "signature").join(roots, "node", "left").select("signature", "node", "leader", F.coalesce("root", "node").alias("root"))
     at = stored(at, folder, "at")
     still = at.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("signature")
-    still = stored(at.join(still, "signature"), folder, "still")
-    rest = stored(_between(still, members, percent, folder), folder, "rest")
+    still = stored(at.join(still, "signature").select("node", "leader", "root").distinct(), folder, "still")
+    rest = stored(_between(still, bitmaps, tokens, percent, folder), folder, "rest")
     return components(near.unionByName(rest))
 
 
-def _between(still: DataFrame, members: DataFrame, percent: int, folder: str) -> DataFrame:
+def _between(still: DataFrame, bitmaps: DataFrame, tokens, percent: int, folder: str) -> DataFrame:
     """Links a, b between nodes of different roots, enough to join all roots that are linked, among the nodes that meet
-    where roots meet, from still(signature, leader, node, root). Nodes that meet, through others too, make a cluster.
-    Its largest root's sets make blocks of one side and all others blocks of another; each block of others meets each
-    block, and two blocks are compared by counting shared shingles, so pairs are not made into rows and what is linked
-    with the largest root already is not compared among itself."""
-    spark = still.sparkSession
-    n = still.count()
-    clusters = stored(components(still.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), folder, "clusters").withColumnRenamed("root", "cluster")
-    rooted = few_parts(still, n).groupBy("node").agg(F.first("root").alias("root")).join(few_parts(clusters, n), "node")
-    rows = stored(
-        members.join(rooted, "node").select("cluster", "node", "root", "tokens", (F.octet_length("tokens") / 8).cast("bigint").alias("n")), folder, "clustered"
-    )
-    of_root = few_parts(rows.select("cluster", "root", "n"), n).groupBy("cluster", "root").agg(F.sum("n").alias("n"))
+    where roots meet, from still(node, leader, root). Nodes that meet, through others too, make a cluster. Its sets are
+    compared by bitmaps; those that may be linked with a set of another root are compared by shingles."""
+    clusters = stored(components(still.select(F.col("node").alias("a"), F.col("leader").alias("b"))), folder, "clusters")
+    clusters = clusters.withColumnRenamed("root", "cluster")
+    rooted = stored(still.select("node", "root").distinct().join(clusters, "node"), folder, "rooted")
+    rows = stored(bitmaps.join(rooted, "node"), folder, "clustered")
+
+    def possible(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = [_possible(x, y, percent) for x, y in _sides(key, part)]
+        return pd.DataFrame({"node": np.concatenate(found or [np.zeros(0, np.int64)])})
+
+    def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = [link for x, y in _sides(key, part) for link in _joining(x, y, percent)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    keys = ("task", "whole", "i", "j")
+    nodes = _dealt(rows, BITMAP_BLOCK).groupBy(*keys).applyInPandas(possible, "node bigint").distinct()
+    nodes = stored(nodes, folder, "possible")
+    of_nodes = rows.drop("bitmap").join(tokens(nodes, "possible tokens"), "node")
+    return _dealt(stored(of_nodes, folder, "compared"), BLOCK).groupBy(*keys).applyInPandas(join, "a bigint, b bigint")
+
+
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """rows(cluster, node, root, n, ..) of clusters of several roots, as often as they are compared, with task, whole, i, j:
+    a cluster's largest root makes blocks of about size shingles on one side and all other roots on another. Each block of
+    others meets each block, so sets that are of the largest root all are not compared with each other. Clusters of
+    one block of either kind go whole, several to a task."""
+    spark = rows.sparkSession
+    of_root = rows.groupBy("cluster", "root").agg(F.sum("n").alias("n"))
     sizes = of_root.groupBy("cluster").agg(
-        F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")
-    ).filter("roots > 1").select("cluster", "top", F.ceil(F.col("most") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("others"))
+        F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")
+    ).filter("roots > 1").select(
+        "cluster", "top", F.ceil(F.col("most") / size).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("most")) / size).cast("int").alias("others")
+    )
     total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BLOCK) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * size) + 1)
     is_top, number = F.col("root") == F.col("top"), F.xxhash64("node")
-    dealt = rows.join(sizes, "cluster").withColumn(
-        "block", F.when(is_top, F.pmod(number, F.col("tops"))).otherwise(F.col("tops") + F.pmod(number, F.col("others"))).cast("int")
-    )
     whole = (F.col("tops") == 1) & (F.col("others") == 1)
+    block = F.when(is_top, F.pmod(number, F.col("tops"))).otherwise(F.col("tops") + F.pmod(number, F.col("others"))).cast("int")
     every = F.sequence(F.when(is_top, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("others") - 1)
-    dealt = dealt.withColumn("other", F.explode(F.when(whole, F.array(F.lit(1))).otherwise(every))).select(
-        F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.col("cluster")).alias("task"), whole.alias("whole"),
+    return rows.join(sizes, "cluster").withColumn("block", block).withColumn("other", F.explode(F.when(whole, F.array(F.lit(1))).otherwise(every))).select(
+        *rows.columns, "block", whole.alias("whole"), F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.col("cluster")).alias("task"),
         F.when(whole, 0).otherwise(F.least("block", "other")).alias("i"), F.when(whole, 0).otherwise(F.greatest("block", "other")).alias("j"),
-        "cluster", "block", "node", "root", "tokens",
     )
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, c in part.groupby("cluster", sort=True):
-            if c["root"].nunique() > 1:
-                c = c.sort_values("node")
-                x, y = (c, c[c["block"] > 0]) if key[1] else (c[c["block"] == key[2]], c[c["block"] == key[3]])
-                found += _joining(x, y, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("task", "whole", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+def _sides(key: tuple, part: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """The blocks that meet in a task, by cluster."""
+    _, whole, i, j = key
+    for _, c in part.groupby("cluster", sort=True):
+        if c["root"].nunique() > 1:
+            c = c.sort_values("node")
+            yield (c, c[c["block"] > 0]) if whole else (c[c["block"] == i], c[c["block"] == j])
+
+
+def _possible(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> np.ndarray:
+    """Nodes of x and y that may be linked with a node of the other that has another root, by their bitmaps."""
+    found, classes = set(), {}
+    for width, c in y.groupby(y["bitmap"].map(len)):
+        rows = np.frombuffer(b"".join(c["bitmap"]), np.uint64).reshape(len(c), -1)
+        classes[width // 8] = rows, _folded(rows) if rows.shape[1] > 1 else rows, c["n"].to_numpy(), c["root"].to_numpy(), c["node"].to_numpy()
+    for node, root, n, bitmap in zip(x["node"], x["root"], x["n"], x["bitmap"], strict=True):
+        own = np.frombuffer(bitmap, np.uint64)
+        for words, (rows, folded, sizes, roots, nodes) in classes.items():  # sizes of linked sets are within one class
+            if words == len(own):
+                differ = np.bitwise_count(rows ^ own)
+            elif words == 2 * len(own):
+                differ = np.bitwise_count(folded ^ own)
+            elif 2 * words == len(own):
+                differ = np.bitwise_count(rows ^ _folded(own))
+            else:
+                continue
+            hit = _may_link(differ.sum(1, dtype=np.int64), n, sizes, percent) & (roots != root)
+            if hit.any():
+                found.add(node)
+                found.update(nodes[hit].tolist())
+    return np.array(sorted(found), np.int64)
 
 
 def _joining(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
