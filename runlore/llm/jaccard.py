@@ -56,7 +56,7 @@ BAND, SPARE = 1.4, 1.2
 #: Shingles of a block in which sets are compared with each other, and of one in which their bitmaps are.
 BLOCK, BITMAP_BLOCK = 400_000, 4_000_000
 #: Parts of signatures that a task sends together, those of a shard on average, and nodes that a task remembers.
-FLUSH, SHARD, MOST_SEEN = 2_000_000, 8_000_000, 400_000
+FLUSH, SHARD, MOST_SEEN = 500_000, 8_000_000, 100_000
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,7 +180,7 @@ def _send(sets, bands, rare, kind, at, band, need, out):
     return at[~enough], band[~enough], need[~enough]
 
 
-def _runs(texts: pd.Series, most: int = 3_000_000) -> Iterator[slice]:
+def _runs(texts: pd.Series, most: int = 1_000_000) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "") + 1
