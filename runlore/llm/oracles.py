@@ -27,7 +27,13 @@ spans AS (SELECT r, k, min(p) AS s, max(p) + 399 AS e FROM numbered GROUP BY r,
 gaps AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s - 1 AS z FROM spans
          UNION ALL SELECT d.r, coalesce(max(e), 0), any_value(octet_length(b)) FROM d LEFT JOIN spans ON spans.r = d.r GROUP BY d.r),
 kept AS (SELECT gaps.r, string_agg(substring(hex(b), 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS x FROM gaps JOIN d ON d.r = gaps.r GROUP BY gaps.r),
-sums AS (SELECT r, sum(e - s + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
-SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
-FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r
+sums AS (SELECT r, sum(e - s + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+w2 AS (SELECT r, p, hash(array_slice(b, p, p + 255)) AS h
+       FROM (SELECT r, b, unnest(range(1, octet_length(b) - 254)) AS p FROM d WHERE octet_length(b) >= 256)),
+starts2 AS (SELECT r, p FROM w2 WHERE h IN (SELECT h FROM w2 GROUP BY h HAVING count(*) > 1)),
+passages AS (SELECT r, sum(least(256, coalesce(q - p, 256))) AS n_passage_bytes
+             FROM (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS q FROM starts2) GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256,
+       coalesce(n_passage_bytes, 0) AS n_passage_bytes, CAST(n_passage_bytes IS NOT NULL AS INTEGER) AS has_passage
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r LEFT JOIN passages ON passages.r = d.r
 """

@@ -1,15 +1,17 @@
 """Removal of every byte covered by a long string that occurs elsewhere too, by column-wise construction.
 
 Whole texts are far too many suffixes to sort together, and most of them are alike nothing. So the texts are first
-cut to collections of short documents that can hold a repeat. Of each window of LENGTH bytes the GRAM-byte string with
+cut to collections of short documents that can hold a repeat. Of each window of PASSAGE bytes the GRAM-byte string with
 the smallest hash is its anchor; equal windows have equal anchors at equal places. An anchor that occurs once can't
-belong to a repeated window. Around each occurrence of the others stands a document: the bytes that windows with that
-anchor can reach. All documents of an anchor are aligned at it, so windows that are equal start in the same column.
+belong to a repeated window. Around each occurrence of the others stands a document: the bytes that strings of LENGTH
+bytes that start with such a window can reach. All documents of an anchor are aligned at it, so strings that are equal
+start in the same column. Strings of LENGTH bytes are removed; that shorter ones, of PASSAGE bytes, are shared is only
+reported.
 
 A collection takes in one symbol of each of its documents in a round, from the last column to the first. Each round
 updates the order of the documents' suffixes (the rows of the collection's Burrows-Wheeler transform that start in
 this column: a stable sort by the new symbol) and the common prefixes of neighbours (one more than the least between
-neighbours with the same symbol, else none). A suffix is repeated when it shares LENGTH bytes with a neighbour. Rows
+neighbours with the same symbol, else none). A suffix repeats a string when it shares its bytes with a neighbour. Rows
 of the transform that start in other columns could only tell again what their own rounds have told, so they are not
 kept, and a round costs time in proportion to the documents. Columns are read and written one after the other.
 
@@ -31,58 +33,54 @@ from .common import checkpointed
 from .hash_files import HashFiles
 from .words import mixed
 
-LENGTH, GRAM = 400, 200
-_LEFT = LENGTH - GRAM
+LENGTH, PASSAGE, GRAM = 400, 256, 128
+_LEFT = PASSAGE - GRAM
+_STARTS = _LEFT + 1
 COLUMNS = LENGTH + _LEFT
 #: Documents of one anchor that are built into one collection, bytes of a collection, and documents that a task
 #: remembers having sent.
 HOT, COLLECTION, MOST_SEEN = 20_000, 12_000_000, 400_000
-_WINDOWS = LENGTH - GRAM + 1
-_CHUNK, _REACH = 2_000_000, 2 * LENGTH
+_CHUNK, _REACH = 400_000, 2 * LENGTH
 _BASE = 0xD1B54A32D192ED03
 _POWERS = [
     np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_CHUNK + 2 * _REACH, b, np.uint64)]))
     for b in (_BASE, pow(_BASE, -1, 1 << 64))
 ]
 _BYTE = np.random.default_rng(99).integers(0, 1 << 64, 256, np.uint64)
-_NONE = np.uint64(0)
+_KIND = 1 << 20
 
 
-def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
-    """The least or greatest of each n neighbours."""
-    f, pad = (np.minimum, ~_NONE) if least else (np.maximum, _NONE)
-    size = len(x) - n + 1
-    whole = np.full(-(-len(x) // n) * n, pad, np.uint64)
-    whole[: len(x)] = x
-    blocks = whole.reshape(-1, n)
-    ahead = f.accumulate(blocks, axis=1).ravel()
-    back = f.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(back[:size], ahead[n - 1 : n - 1 + size])
+def _sliding(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
+    """f (the least or greatest) of each n neighbours, of which it takes twice as many in each step."""
+    have = 1
+    while 2 * have <= n:
+        x = f(x[:-have], x[have:])
+        have *= 2
+    return f(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For texts laid end to end, in runs: places of anchors, their hashes, first and last place of their documents
     (last exclusive), and the documents' hashes."""
     starts = np.concatenate([[0], ends[:-1]])
-    for a in range(0, len(raw), _CHUNK):
+    for a in range(0, len(raw), _CHUNK):  # chunks that stay in a processor's cache
         b = min(len(raw), a + _CHUNK)
         low, high = max(0, a - _REACH), min(len(raw), b + _REACH)
         part = raw[low:high]
-        if len(part) < LENGTH:
+        if len(part) < PASSAGE:
             continue
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * _POWERS[0][: len(part)], out=total[1:])
         grams = mixed((total[GRAM:] - total[:-GRAM]) * _POWERS[1][: len(part) - GRAM + 1])
-        least = _sliding(grams, _WINDOWS, True)
+        rank = np.maximum((grams >> np.uint64(32)).astype(np.uint32), 1)
+        least = _sliding(rank, _STARTS, np.minimum)
         first, last = np.searchsorted(ends, low, "right"), np.searchsorted(starts, high, "left")
         bounds = np.clip(np.append(starts[first:last], ends[last - 1]) - low, 0, len(part))
-        edge = np.zeros(len(part) + 1, bool)  # windows that reach over a text's end don't count
-        edge[bounds] = True
-        crossed = np.concatenate([[0], np.cumsum(edge)])
-        at = np.arange(len(least))
-        least[(crossed[at + LENGTH] - crossed[at + 1]) > 0] = _NONE
-        most = _sliding(np.concatenate([np.zeros(_WINDOWS - 1, np.uint64), least, np.zeros(_WINDOWS - 1, np.uint64)]), _WINDOWS, False)
-        place = np.flatnonzero((most[: len(grams)] == grams) & (grams != _NONE))
+        for e in np.unique(bounds).tolist():  # windows that reach over a text's end don't count
+            least[max(0, e - PASSAGE + 1) : e] = 0
+        pad = np.zeros(_STARTS - 1, np.uint32)
+        most = _sliding(np.concatenate([pad, least, pad]), _STARTS, np.maximum)
+        place = np.flatnonzero(most == rank)
         place = place[(place + low >= a) & (place + low < b)]
         text = np.searchsorted(ends, place + low, "right")
         left = np.maximum(place - _LEFT, starts[text] - low)
@@ -108,11 +106,12 @@ def _runs(texts: pd.Series, most: int = 2_000_000) -> Iterator[tuple[int, list[b
         yield start, run
 
 
-def repeats(columns: np.ndarray, left: np.ndarray, right: np.ndarray, copies: np.ndarray) -> np.ndarray:
+def repeats(columns: np.ndarray, left: np.ndarray, right: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
     """For documents that stand in the rows of columns (bytes left to right of COLUMNS): in which of the first columns
-    a string of LENGTH bytes starts that is in another document at the same place too, or in a copy of its own."""
-    n, starts = len(columns), COLUMNS - LENGTH + 1
-    found = np.zeros((starts, n), bool)
+    a string of LENGTH bytes starts that is in another document at the same place too, or in a copy of its own, and
+    then the same of PASSAGE bytes."""
+    n, lengths = len(columns), (LENGTH, PASSAGE)
+    found = np.zeros((2, _STARTS, n), bool)
     order = np.arange(n)
     until = np.zeros(n, np.int64)  # where the common prefix with the neighbour before ends
     for c in range(COLUMNS - 1, -1, -1):
@@ -130,13 +129,23 @@ def repeats(columns: np.ndarray, left: np.ndarray, right: np.ndarray, copies: np
             ends = np.minimum.reduceat(np.append(until, 0), spans)[::2]
             fresh[at] = np.maximum(ends, c + 1)
         order, until = order[by], fresh
-        if c < starts:
-            long = until - c >= LENGTH
+        for kind, length in enumerate(lengths if c < _STARTS else ()):
+            long = until - c >= length
             here = long.copy()
             here[:-1] |= long[1:]
-            found[c, order] = here
-    column = np.arange(starts)[:, None]
-    return (found | (copies > 1) & (left <= column) & (column + LENGTH <= right)).T
+            found[kind, c, order] = here
+    column = np.arange(_STARTS)[:, None]
+    again = (copies > 1) & (left <= column)
+    return [(f | again & (column + length <= right)).T for f, length in zip(found, lengths, strict=True)]
+
+
+def _values(found: list[np.ndarray], keys: np.ndarray) -> pd.DataFrame:
+    """Rows key, value of each run of columns in which repeated strings start, first those of LENGTH, then of PASSAGE."""
+    out = []
+    for kind, f in enumerate(found):
+        row, first, last = _spans(f)
+        out.append(pd.DataFrame({"key": keys[row], "value": kind * _KIND + first * 1024 + last}))
+    return pd.concat(out)
 
 
 def _spans(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +170,7 @@ def repeated_strings(docs: DataFrame, text: str = "text") -> HashFiles:
                     yield pd.DataFrame({"key": key.view(np.int64), "value": n})
 
     counts = texts.mapInPandas(anchored, "key bigint, value bigint").groupBy("key").agg(F.sum("value").alias("value"))
-    known = HashFiles.written(counts.filter("value > 1"), size * 2 // _WINDOWS)
+    known = HashFiles.written(counts.filter("value > 1"), size * 2 // _STARTS)
     shards = max(8, math.ceil(known.total * COLUMNS / COLLECTION))
 
     def documents(hot: bool):
@@ -198,8 +207,7 @@ def repeated_strings(docs: DataFrame, text: str = "text") -> HashFiles:
         for row, start, data in zip(columns, left, rows["bytes"], strict=True):
             row[start : start + len(data)] = np.frombuffer(data, np.uint8)
         found = repeats(np.asfortranarray(columns), left, right, copies[rows["document"]].to_numpy())
-        row, first, last = _spans(found)
-        return pd.DataFrame({"key": rows["document"].to_numpy()[row], "value": first * 1024 + last})
+        return _values(found, rows["document"].to_numpy())
 
     pairs = "key bigint, value bigint"
     found = documents(hot=False).withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(build, pairs)
@@ -208,26 +216,26 @@ def repeated_strings(docs: DataFrame, text: str = "text") -> HashFiles:
     return HashFiles.written(found, known.total)
 
 
-def _windows(document: bytes, anchor: int, start: int) -> np.ndarray:
-    """Hashes of the windows of a document with their anchor and column. Documents of a text overlap, but none of its
-    windows is twice at the same anchor and column."""
+def _windows(document: bytes, anchor: int, start: int, length: int) -> np.ndarray:
+    """Hashes of the strings of this length that start in the first columns of a document, with their anchor and column.
+    Documents of a text overlap, but none of its strings is twice at the same anchor and column."""
     raw = np.frombuffer(document, np.uint8)
-    n = max(0, len(raw) - LENGTH + 1)
+    n = min(max(0, len(raw) - length + 1), _STARTS - start)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _POWERS[0][: len(raw)], out=total[1:])
-    window = mixed((total[LENGTH:] - total[:-LENGTH]) * _POWERS[1][:n]) if n else np.zeros(0, np.uint64)
-    place = np.uint64(anchor % (1 << 64)) + (start + np.arange(n)).astype(np.uint64)
+    window = mixed((total[length : length + n] - total[:n]) * _POWERS[1][:n]) if n else np.zeros(0, np.uint64)
+    place = np.uint64((anchor + length) % (1 << 64)) + (start + np.arange(n)).astype(np.uint64)
     return mixed(window + mixed(place)).view(np.int64)
 
 
 def _counted(documents: DataFrame) -> DataFrame:
-    """Runs of columns in which repeated strings start, by counting the windows of documents: counts meet before the
-    shuffle, and repeated windows are looked up in files, so neither documents nor windows are brought together."""
+    """Runs of columns in which repeated strings start, by counting the strings of documents: counts meet before the
+    shuffle, and repeated strings are looked up in files, so neither documents nor strings are brought together."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [_windows(*x) for x in zip(b["bytes"], b["anchor"], b["start"], strict=True)]
-            copies = np.repeat(b["copies"].to_numpy(), [len(x) for x in made])
+            made = [_windows(*x, n) for n in (LENGTH, PASSAGE) for x in zip(b["bytes"], b["anchor"], b["start"], strict=True)]
+            copies = np.repeat(np.tile(b["copies"].to_numpy(), 2), [len(x) for x in made])
             key, back = np.unique(np.concatenate(made or [np.zeros(0, np.int64)]), return_inverse=True)
             yield pd.DataFrame({"key": key, "value": np.bincount(back, copies, len(key)).astype(np.int64)})
 
@@ -238,54 +246,60 @@ def _counted(documents: DataFrame) -> DataFrame:
     )
     once = checkpointed(once.filter("bytes is not null").repartition(parts, "document"))
     counts = once.mapInPandas(windows, "key bigint, value bigint").groupBy("key").agg(F.sum("value").alias("value"))
-    again = HashFiles.written(counts.filter("value > 1"), once.count() * _WINDOWS)
+    again = HashFiles.written(counts.filter("value > 1"), once.count() * 2 * _STARTS)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [_windows(*x) for x in zip(b["bytes"], b["anchor"], b["start"], strict=True)]
-            row = np.repeat(np.arange(len(b)), [len(x) for x in made])
-            column = np.concatenate([s + np.arange(len(x)) for s, x in zip(b["start"], made, strict=True)] or [np.zeros(0, np.int64)])
-            at = again.find(np.concatenate(made or [np.zeros(0, np.int64)]))[0]
-            found = np.zeros((len(b), COLUMNS - LENGTH + 1), bool)
-            found[row[at], column[at].astype(np.int64)] = True
-            row, first, last = _spans(found)
-            yield pd.DataFrame({"key": b["document"].to_numpy()[row], "value": first * 1024 + last})
+            found = []
+            for length in (LENGTH, PASSAGE):
+                made = [_windows(*x, length) for x in zip(b["bytes"], b["anchor"], b["start"], strict=True)]
+                row = np.repeat(np.arange(len(b)), [len(x) for x in made])
+                column = np.concatenate([s + np.arange(len(x)) for s, x in zip(b["start"], made, strict=True)] or [np.zeros(0, np.int64)])
+                at = again.find(np.concatenate(made or [np.zeros(0, np.int64)]))[0]
+                found.append(np.zeros((len(b), _STARTS), bool))
+                found[-1][row[at], column[at].astype(np.int64)] = True
+            yield _values(found, b["document"].to_numpy())
 
     return once.mapInPandas(runs, "key bigint, value bigint")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_bytes, spans (array of start and end, in bytes, of maximal removed runs), kept (binary) of each row: bytes
-    covered by a string of LENGTH bytes that starts anywhere else too, in this text or another, are removed. Strings
-    don't reach across texts and are judged on the texts as they are.
+    """id, n_bytes, spans (array of start and end, in bytes, of maximal removed runs), kept (binary), passages (array of start
+    and end) of each row: bytes covered by a string of LENGTH bytes that starts anywhere else too, in this text or another, are
+    removed. Strings don't reach across texts and are judged on the texts as they are. Passages are covered by strings of
+    PASSAGE bytes that start anywhere else too; they are told and not removed.
 
     A null text is an empty one; texts shorter than LENGTH stay whole; rows that repeat remove each other's bytes;
     an empty table gives an empty result. Kept bytes may cut a character in two."""
     found = repeated_strings(df, text)
 
+    def edges(mask: np.ndarray) -> list[dict]:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+        return [{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for start, run in _runs(b["text"]):
                 raw, ends = _laid(run)
-                change = np.zeros(len(raw) + 1, np.int32)
+                change = np.zeros((2, len(raw) + 1), np.int32)
                 for place, _, _, _, document in anchors(raw, ends):
                     at, value = found.find(document.view(np.int64))
+                    kind, value = value // _KIND, value % _KIND
                     first = place[at] - _LEFT + value // 1024
-                    np.add.at(change, first, 1)
-                    np.add.at(change, first + value % 1024 - value // 1024 + LENGTH, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                    np.add.at(change, (kind, first), 1)
+                    np.add.at(change, (kind, first + value % 1024 - value // 1024 + np.where(kind == 0, LENGTH, PASSAGE)), -1)
+                gone, shared = np.cumsum(change[:, :-1], axis=1) > 0
                 rows = []
                 for e, t in zip(ends, run, strict=True):
-                    mask = gone[e - len(t) : e]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                    kept = raw[e - len(t) : e][~mask].tobytes() if len(edge) else t
-                    rows.append((len(t), [{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)], kept))
-                out = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
+                    own = slice(e - len(t), e)
+                    spans = edges(gone[own])
+                    rows.append((len(t), spans, raw[own][~gone[own]].tobytes() if spans else t, edges(shared[own])))
+                out = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept", "passages"])
                 out.insert(0, "id", b["id"].iloc[start : start + len(run)].to_numpy())
                 yield out
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(cut, f"id {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    kind, pieces = rows.schema["id"].dataType.simpleString(), "{} array<struct<start: bigint, end: bigint>>"
+    return rows.mapInPandas(cut, f"id {kind}, n_bytes bigint, {pieces.format("spans")}, kept binary, {pieces.format("passages")}")
 
 

@@ -106,6 +106,7 @@ def test_repeated_strings(docs, corpus, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     raw = [(r[1] or "").encode() for r in corpus]
     seen = Counter(t[p : p + 400] for t in raw for p in range(len(t) - 399))
+    short = Counter(t[p : p + 256] for t in raw for p in range(len(t) - 255))
     expected = Counter()
     for r, t in zip(corpus, raw, strict=True):
         gone, reach = bytearray(len(t)), 0
@@ -115,12 +116,13 @@ def test_repeated_strings(docs, corpus, hot, monkeypatch):
                 gone[start : p + 400] = b"\1" * (p + 400 - start)
                 reach = p + 400
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(t)))
-        expected[(r[0], len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())] += 1
+        shared = {q for p in range(len(t) - 255) if short[t[p : p + 256]] > 1 for q in range(p, p + 256)}
+        expected[(r[0], len(t), sum(gone), spans, len(shared), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())] += 1
     got = Counter(
-        (r.id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+        (r.id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), sum(s.end - s.start for s in r.passages), hashlib.sha256(r.kept).hexdigest())
         for r in suffix_dedup.without_repeats(docs).collect()
     )
-    assert got == expected and sum(n for (_, _, gone, _, _), n in got.items() if gone) > 10
+    assert got == expected and sum(n for (_, _, gone, _, _, _), n in got.items() if gone) > 10
 
 
 def test_anchors_across_chunks(monkeypatch):
