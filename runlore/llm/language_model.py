@@ -5,7 +5,8 @@ context (of context and word for the few contexts that are so frequent that they
 merges its blocks and stores its bigrams as a sorted array of 64-bit hashes with their counts; what the lower order
 and the contexts need goes on, as blocks again, to shards by word, which store a sorted array of word hashes with
 counts. The files lie in the folder that driver and executors share; scoring workers map them into memory and look up
-sorted batches of hashes, so a worker's own memory stays bounded while the model grows with the corpus.
+sorted batches of hashes, so a worker's own memory stays bounded while the model grows with the corpus. Each shard has
+a file, also where it holds nothing, so one that is missing is an error.
 
 A file's content depends on the corpus alone and is put in place by a rename, so a task that runs again after an
 executor is lost writes the same file.
@@ -14,18 +15,16 @@ executor is lost writes the same file.
 from __future__ import annotations
 
 import math
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .hash_files import by_number
+from .shared_files import arrays, new_folder, put
 from .words import mixed, pair_hash, texts_words
 
 #: Hashes of the marks before and after a text.
@@ -34,35 +33,6 @@ START, END = np.uint64(0x51A2B3C4D5E6F701), np.uint64(0x0E1D2C3B4A596877)
 SHARD_BYTES, WORD_SHARDS_PER, FLUSH = 24_000_000, 4, 3_000_000
 
 
-def _local(folder: str) -> str:
-    url = urlparse(folder)
-    if url.scheme not in ("", "file"):
-        raise ValueError("the model's files are mapped into memory: spark.checkpoint.dir must be a mounted folder")
-    return url.path
-
-
-def _put(path: str, *arrays: np.ndarray) -> None:
-    """Arrays one after the other, behind their lengths and widths."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.uint64)
-    with open(made := f"{path}.{uuid.uuid4().hex}", "wb") as out:
-        out.write(head.tobytes())
-        for a in arrays:
-            out.write(np.ascontiguousarray(a).tobytes())
-            out.write(b"\0" * (-a.nbytes % 8))
-    os.replace(made, path)
-
-
-def _mapped(path: str) -> list[np.ndarray]:
-    whole = np.memmap(path, np.uint8, "r")
-    n = int(whole[:8].view(np.uint64)[0])
-    head = whole[8 : 8 + 16 * n].view(np.uint64).astype(int)
-    at, out = 8 + 16 * n, []
-    for length, width in head.reshape(n, 2):
-        out.append(whole[at : at + length * width].view(f"u{width}"))
-        at += length * width + -length * width % 8
-    return out
-
-
 def _narrow(x: np.ndarray) -> bytes:
     """Whole numbers in the narrowest width that holds them, behind that width."""
     width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
@@ -130,8 +100,8 @@ class LanguageModel:
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Columns count, continuations, and contexts' words of count 1, 2 and more, of each of different hashes."""
         out = np.zeros((5, len(hashes)), np.int64)
-        for s, at in _by_shard((mixed(hashes) % np.uint64(self.word_shards)).astype(np.int64)):
-            keys, *columns = self._file("words", s)
+        for s, at in by_number((mixed(hashes) % np.uint64(self.word_shards)).astype(np.int64)):
+            keys, *columns = arrays(self.folder, f"words-{s}")
             place, hit = _found(keys, hashes[at])
             for row, column in zip(out, columns, strict=True):
                 row[at[hit]] = column[place]
@@ -141,8 +111,8 @@ class LanguageModel:
         """The counts of different bigrams."""
         out = np.zeros(len(context), np.int64)
         key = pair_hash(context, word)
-        for s, at in _by_shard(_shard(context, word, self.heavy, self.shards)):
-            keys, counts, big_at, big = self._file("bigrams", s)
+        for s, at in by_number(_shard(context, word, self.heavy, self.shards)):
+            keys, counts, big_at, big = arrays(self.folder, f"bigrams-{s}")
             place, hit = _found(keys, key[at])
             found = counts[place].astype(np.int64)
             over = np.flatnonzero(found == 255)
@@ -150,12 +120,6 @@ class LanguageModel:
             out[at[hit]] = found
         return out
 
-    def _file(self, kind: str, shard: int) -> list[np.ndarray]:
-        path = f"{self.folder}/{kind}-{shard}"
-        if path not in _maps:
-            _maps[path] = _mapped(path) if os.path.exists(path) else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * (5 if kind == "words" else 3)
-        return _maps[path]
-
     def score(self, texts: list[str | None]) -> pd.DataFrame:
         """n_tokens, n_known, base_score, score of each text."""
         context, word, n = _bigrams(texts)
@@ -185,13 +149,6 @@ def _taken(count: np.ndarray, discounts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], discounts])[np.minimum(count, 3)]
 
 
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for at in np.split(order, cuts) if len(order) else []:
-        yield int(shard[at[0]]), at
-
-
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in sorted keys of those wanted that are there, and which of them are."""
     order = np.argsort(wanted)
@@ -201,10 +158,6 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return place[hit], hit
 
 
-#: Of a Python worker.
-_maps: dict[str, list[np.ndarray]] = {}
-
-
 def train_language_model(docs: DataFrame, text: str = "text") -> LanguageModel:
     """Counts all words of all texts (null: empty) in lower case and stores the model's files in the shared folder.
     An empty table gives a model under which only texts' ends and one unknown word exist."""
@@ -213,8 +166,7 @@ def train_language_model(docs: DataFrame, text: str = "text") -> LanguageModel:
     size = texts.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(16, math.ceil(size / SHARD_BYTES))
     word_shards = max(4, math.ceil(shards / WORD_SHARDS_PER))
-    model = LanguageModel(f"{_local(shared_dir(spark))}/language-model-{uuid.uuid4().hex}", shards, word_shards, _heavy(texts, shards))
-    os.makedirs(model.folder, exist_ok=True)
+    model = LanguageModel(new_folder(spark, "language-model"), shards, word_shards, _heavy(texts, shards))
     folder, heavy = model.folder, model.heavy
 
     def blocks(context: np.ndarray, word: np.ndarray) -> Iterator[dict]:
@@ -251,12 +203,12 @@ def train_language_model(docs: DataFrame, text: str = "text") -> LanguageModel:
         hashes = pair_hash(context, word)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        keys, sums = hashes[first], np.add.reduceat(count[order], first)
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        keys, sums = hashes[first], np.add.reduceat(count[order], first) if len(first) else count
         context, word = context[order[first]], word[order[first]]
         del hashes, order, count, first
         over = np.flatnonzero(sums >= 255)
-        _put(f"{folder}/bigrams-{key[0]}", keys, np.minimum(sums, 255).astype(np.uint8), over.astype(np.uint64), sums[over].astype(np.uint64))
+        put(folder, f"bigrams-{key[0]}", keys, np.minimum(sums, 255).astype(np.uint8), over.astype(np.uint64), sums[over].astype(np.uint64))
         of_context = _sums(context, sums, *((sums == k).astype(np.int64) for k in (1, 2)), (sums > 2).astype(np.int64))
         of_word = _sums(word, np.ones(len(word), np.int64))
         found = [(sums == k).sum() for k in (1, 2, 3, 4)]
@@ -279,7 +231,7 @@ def train_language_model(docs: DataFrame, text: str = "text") -> LanguageModel:
         if END in words:  # it is no context, and each start has its end
             at = int(np.searchsorted(words, END))
             count[at] = 0
-        _put(f"{folder}/words-{key[0]}", words, count.astype(np.uint64), continued.astype(np.uint32), *(x.astype(np.uint32) for x in (one, two, more)))
+        put(folder, f"words-{key[0]}", words, count.astype(np.uint64), continued.astype(np.uint32), *(x.astype(np.uint32) for x in (one, two, more)))
         is_word = (words != START) & (words != END)
         found = np.sum([np.asarray(x, np.int64) for x in rows["found"]], axis=0)
         made = {
@@ -291,13 +243,17 @@ def train_language_model(docs: DataFrame, text: str = "text") -> LanguageModel:
     block = "shard int, contexts binary, runs binary, words binary, counts binary"
     part = "shard int, contexts binary, words binary, columns array<binary>, found array<bigint>"
     total = "texts bigint, tokens bigint, words bigint, continuations bigint, found array<bigint>, continued array<bigint>"
+    nothing = F.lit(_narrow(np.zeros(0, np.int64)))
+    every = spark.range(0, shards, 1, 1).select(
+        F.col("id").cast("int").alias("shard"), F.lit(b"").alias("contexts"), nothing.alias("runs"), F.lit(b"").alias("words"), nothing.alias("counts")
+    )
     rows = (
-        texts.mapInPandas(counted, block).groupBy("shard").applyInPandas(store_bigrams, part)
-        .groupBy("shard").applyInPandas(store_words, total).collect()  # one row for each shard of words
+        texts.mapInPandas(counted, block).unionByName(every).repartition(shards, "shard").groupBy("shard").applyInPandas(store_bigrams, part)
+        .repartition(word_shards, "shard").groupBy("shard").applyInPandas(store_words, total).collect()  # one row for each shard of words
     )
-    if not rows:
-        return model
     ends = sum(r["texts"] for r in rows)
+    if not ends:
+        return model
     model.tokens = sum(r["tokens"] for r in rows) + ends
     model.vocabulary = sum(r["words"] for r in rows) + 1
     model.continuations = sum(r["continuations"] for r in rows)
@@ -311,10 +267,10 @@ def train_language_model(docs: DataFrame, text: str = "text") -> LanguageModel:
 
 def _set_end(model: LanguageModel, ends: int) -> None:
     """The end's count, which is the number of texts, in the file of its shard."""
-    path = f"{model.folder}/words-{int(mixed(np.array([END]))[0] % np.uint64(model.word_shards))}"
-    columns = [np.array(x) for x in _mapped(path)]
+    name = f"words-{int(mixed(np.array([END]))[0] % np.uint64(model.word_shards))}"
+    columns = [np.array(x) for x in arrays(model.folder, name)]
     columns[1][np.searchsorted(columns[0], END)] = ends
-    _put(path, *columns)
+    put(model.folder, name, *columns)
 
 
 def _parts(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str | None]]:
