@@ -1,17 +1,20 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
-Every vector is keyed by its nearest pivot and its distance to it; vectors of a pivot with distances between two edges
-make a cell, an annulus. For a query q and a cell with distances r0 to r1 from pivot p, the triangle inequality gives
-each member x a distance from q of at least gap = max(0, d(q,p) - r1, r0 - d(q,p)), and with |x| <= m
+Vectors are lifted by one coordinate, x' = (x, sqrt(M^2 - |x|^2)) with M the largest norm, and queries by a zero, so that
+all lifted rows have norm M and the best product is the least distance. Every row is keyed by its nearest pivot and its
+distance to it; rows of a pivot with distances between two edges make a cell, an annulus. For a query q and a cell
+with distances r0 to r1 from pivot p, the triangle inequality gives each member x' a distance from q of at least
+gap = max(0, d(q,p) - r1, r0 - d(q,p)), and with |x| <= m
 
-    q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= min((|q|^2 + m^2 - gap^2) / 2, |q| m).
+    q.x = (|q|^2 + M^2 - |q - x'|^2) / 2 <= min((|q|^2 + M^2 - gap^2) / 2, |q| m).
 
 A query first meets the cells of greatest bound that hold enough rows, which gives it a k-th score, and then those of
 its other cells whose bound reaches that score; the others can't hold a better row. Pivots and edges are fitted on a
-bounded sample, all rows are indexed, and bounds come from all rows, so results are exact.
+bounded sample, all rows are indexed, and bounds come from all rows, so results are exact. How much the bounds rule
+out is up to the data: nothing where vectors point in all directions alike, in many dimensions.
 
 Cells are met in blocks: rows and queries are dealt to blocks of bounded size, and each pair of blocks is one matrix
-product.
+product. A cell's rows go to those groups of queries only that ask for it.
 """
 
 from __future__ import annotations
@@ -43,14 +46,20 @@ def usable(vector: Column) -> Column:
 
 @dataclass
 class Index:
-    """Pivots (one row each), the distances that part each pivot's annuli, and what is known of the cells."""
+    """Lifted pivots (one row each), the distances that part each pivot's annuli, the square of the largest norm, and what
+    is known of the cells."""
 
     pivots: np.ndarray
     edges: np.ndarray
+    square: float = 0.0
     cells: pd.DataFrame | None = None
 
+    def lifted(self, vectors: np.ndarray) -> np.ndarray:
+        rest = np.maximum(0, self.square - (vectors**2).sum(1))
+        return np.hstack([vectors, np.sqrt(rest)[:, None]])
+
     def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and distance to the cell's pivot of each vector."""
+        """Cell and distance to the cell's pivot of each lifted vector."""
         d = self.distances(vectors)
         pivot = d.argmin(1)
         near = d[np.arange(len(d)), pivot]
@@ -62,14 +71,14 @@ class Index:
         return np.sqrt(np.maximum(square, 0))
 
     def bounds(self, vectors: np.ndarray) -> np.ndarray:
-        """Of each vector and cell, a number that no member's score exceeds."""
+        """Of each query and cell, a number that no member's score exceeds."""
         c = self.cells
-        d = self.distances(vectors)[:, c["cell"].to_numpy() // (self.edges.shape[1] + 1)]
+        d = self.distances(np.hstack([vectors, np.zeros((len(vectors), 1))]))[:, c["cell"].to_numpy() // (self.edges.shape[1] + 1)]
         gap = np.maximum(0, np.maximum(d - c["most"].to_numpy(), c["least"].to_numpy() - d))
         gap = np.maximum(0, gap * (1 - 1e-9) - 1e-6)  # what rounding may have added
         norm = np.sqrt((vectors**2).sum(1))[:, None]
         top = c["norm"].to_numpy()[None]
-        return np.minimum((norm**2 + top**2 - gap**2) / 2, norm * top) * (1 + np.sign(norm * top) * 1e-9) + 1
+        return np.minimum((norm**2 + self.square - gap**2) / 2, norm * top) * (1 + np.sign(norm * top) * 1e-9) + 1
 
 
 def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
@@ -80,9 +89,10 @@ def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def fit_index(sample: np.ndarray, pivots: int, rings: int, steps: int = 8) -> Index:
-    """Pivots as means of nearest sample rows, from spread-out starts; edges as quantiles of distances. Equal
+def fit_index(sample: np.ndarray, pivots: int, rings: int, square: float, steps: int = 8) -> Index:
+    """Pivots as means of nearest lifted sample rows, from spread-out starts; edges as quantiles of distances. Equal
     inputs give equal results."""
+    sample = Index(sample, sample, square).lifted(sample)
     start = [0]
     d = ((sample - sample[0]) ** 2).sum(1)
     for _ in range(min(pivots, len(sample)) - 1):
@@ -97,7 +107,7 @@ def fit_index(sample: np.ndarray, pivots: int, rings: int, steps: int = 8) -> In
     near, d = index.place(sample)
     shares = np.arange(1, rings) / rings
     edges = [np.quantile(d[near == p], shares) if (near == p).any() else np.zeros(rings - 1) for p in range(len(centres))]
-    return Index(centres, np.array(edges).reshape(len(centres), rings - 1))
+    return Index(centres, np.array(edges).reshape(len(centres), rings - 1), square)
 
 
 def top_k(
@@ -113,8 +123,9 @@ def top_k(
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows = checkpointed(rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * factor)).alias("v")))
-    n, dim, largest = rows.agg(
-        F.count(F.lit(1)), F.max(F.size("v")), F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0)))
+    norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    n, dim, square, largest = rows.agg(
+        F.count(F.lit(1)), F.max(F.size("v")), F.max(norm), F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0)))
     ).first()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not n:
@@ -127,14 +138,14 @@ def top_k(
     pivots = pivots or min(MAX_PIVOTS, max(4, n // 8192))
     rings = rings or min(MAX_RINGS, max(2, n // (pivots * 2048)))
     block = block or min(8192, max(256, n // 64))
-    index = fit_index(matrix, pivots, rings)
+    index = fit_index(matrix, pivots, rings, square or 0.0)
     shared = spark.sparkContext.broadcast(index)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             packed = [np.asarray(v, np.int64).tobytes() for v in b["v"]]
             m = _matrix(packed, dim)
-            cell, distance = shared.value.place(m)
+            cell, distance = shared.value.place(shared.value.lifted(m))
             yield pd.DataFrame({"id": b["id"], "vec": packed, "cell": cell, "distance": distance, "norm": np.sqrt((m**2).sum(1))})
 
     members = checkpointed(
@@ -143,7 +154,7 @@ def top_k(
     cells = members.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"), F.max("norm").alias("norm")
     ).orderBy("cell").toPandas()  # at most MAX_PIVOTS * MAX_RINGS rows, of any input
-    directory = spark.sparkContext.broadcast(Index(index.pivots, index.edges, cells))
+    directory = spark.sparkContext.broadcast(Index(index.pivots, index.edges, index.square, cells))
     blocks = {int(c): max(1, math.ceil(m / block)) for c, m in zip(cells["cell"], cells["n"], strict=True)}
     pieces = F.broadcast(spark.createDataFrame([*blocks.items()], "cell int, pieces int"))
     queries = members.filter(is_query).select("id", "vec").distinct()
@@ -179,8 +190,9 @@ def top_k(
             "id", "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
             F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part"),
         )
-        dealt = of_row if groups == 1 else of_row.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        dealt = dealt.withColumn("part", F.lit(0)) if groups == 1 else dealt
+        asked = checkpointed(asked)
+        parts = asked.select(F.col("cell").alias("of"), F.col("part").alias("part")).distinct()
+        dealt = of_row.join(parts, F.col("cell") == F.col("of")).drop("of")
         keys = ("cell", "piece", "part")
         return dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, schema)
 
