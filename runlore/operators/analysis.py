@@ -85,3 +85,8 @@ def alert_index(alerts: DataFrame) -> DataFrame:
 def alert_summary(alerts: DataFrame) -> DataFrame:
     """code, alerts, runs: over all runs."""
     return alerts.groupBy("code").agg(F.count(F.lit(1)).alias("alerts"), F.countDistinct("run_id").alias("runs"))
+
+
+def alerts_by_run(alerts: DataFrame) -> DataFrame:
+    """run_id, code, alerts: what alert_summary tells, run by run."""
+    return alerts.groupBy("run_id", "code").agg(F.count(F.lit(1)).alias("alerts"))

@@ -143,16 +143,45 @@ def build_manifest(examples: DataFrame, requested: int, retried: int = 0) -> Dat
     )
 
 
+#: What a manifest says beside its counts and files.
+VERSIONS = ("config_version", "prompt_version", "redaction_version")
+
+
+def complete_manifest(counts: DataFrame, files: DataFrame, versions: dict[str, str], created_at: Column) -> DataFrame:
+    """The whole manifest, from the row of build_manifest and files as manifest_files lists them: schema_version, files in
+    order of paths, VERSIONS, created_at (a time, written in UTC) and the manifest_id of all that. A data set's files stand
+    in its one manifest, so they are gathered in one row."""
+    listed = files.agg(F.sort_array(F.collect_list(F.struct("path", "sha256", "byte_size"))).alias("files"))
+    one = F.lit(1).alias("one")
+    whole = counts.select(one, "*").join(listed.select(one, "*"), "one").drop("one").select(
+        F.lit("1.0.0").alias("schema_version"), F.date_format(F.to_utc_timestamp(created_at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "*",
+        *[F.lit(versions.get(v)).cast("string").alias(v) for v in VERSIONS],
+    )
+    return whole.withColumn("manifest_id", manifest_id(whole))
+
+
+#: Every column of a manifest.
+MANIFEST = (
+    "schema_version", "manifest_id", "created_at", "files", "split_counts", "source_counts", "split_source_counts", "quarantined_source_counts", "status_counts",
+    "class_counts", "requested_count", "completed_count", "accepted_count", "retried_count", "quarantined_count", *VERSIONS,
+)
+
+
 def _sum(counts: Column) -> Column:
     return F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
 _PORTABLE = r"^[^/\\:\x00-\x1f\x7f-\x9f]*[^/\\:\x00-\x1f\x7f-\x9f. ](/[^/\\:\x00-\x1f\x7f-\x9f]*[^/\\:\x00-\x1f\x7f-\x9f. ])*$"
+_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"
 _RESERVED = r"(?i)(^|/)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|/|$)"
 
 
 def validate_manifest(manifests: DataFrame) -> DataFrame:
-    """violations of each manifest row (as build_manifest makes them; with files and manifest_id these too)."""
+    """violations of each manifest row, as complete_manifest makes them. A row that lacks a column or value of MANIFEST has
+    FIELDS; checks of columns that aren't there don't pass."""
+    given = manifests.columns
+    types = dict(build_types()) | {c: "string" for c in ("schema_version", "manifest_id", "created_at", *VERSIONS)}
+    manifests = manifests.withColumns({c: F.lit(None).cast(types[c]) for c in MANIFEST if c not in given})
     m = F.col
     rows = columns = F.lit(True)
     for s in SPLITS:
@@ -169,13 +198,25 @@ def validate_manifest(manifests: DataFrame) -> DataFrame:
         & (m("status_counts")["quarantined"] == m("quarantined_count")),
         "QUARANTINED_SOURCES": _sum(m("quarantined_source_counts")) == m("quarantined_count"), "ROWS": rows, "COLUMNS": columns,
     }
-    if "files" in manifests.columns:
-        paths = F.transform("files", lambda f: F.lower(f["path"]))
-        portable = F.forall("files", lambda f: f["path"].rlike(_PORTABLE) & ~f["path"].rlike(_RESERVED) & f["sha256"].rlike(SHA256) & (f["byte_size"] >= 0))
-        checks |= {"PATHS": (F.size(paths) > 0) & _unique(paths), "FILES": portable}
-    if "manifest_id" in manifests.columns:
-        checks["MANIFEST_ID"] = m("manifest_id") == manifest_id(manifests)
-    return manifests.withColumn("violations", _codes(checks))
+    paths = F.transform("files", lambda f: F.lower(f["path"]))
+    portable = F.forall("files", lambda f: f["path"].rlike(_PORTABLE) & ~f["path"].rlike(_RESERVED) & f["sha256"].rlike(SHA256) & (f["byte_size"] >= 0))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(False))
+    there = F.forall(F.array(*[m(c).isNotNull() for c in MANIFEST]), lambda x: x)
+    checks |= {
+        "FIELDS": there & (m("schema_version") == "1.0.0") & ~F.exists(F.array(*VERSIONS), blank) & m("created_at").rlike(_UTC),
+        "PATHS": (F.size(paths) > 0) & _unique(paths), "FILES": portable, "MANIFEST_ID": m("manifest_id") == manifest_id(manifests.select(*MANIFEST)),
+    }
+    checks = {code: F.coalesce(ok, F.lit(False)) for code, ok in checks.items()}
+    found = manifests.withColumn("violations", _codes(checks))
+    return found.select(*given, "violations")
+
+
+def build_types() -> dict[str, str]:
+    """Types of a manifest's counts and files."""
+    one = "map<string,bigint>"
+    counts = {c: one for c in ("split_counts", "source_counts", "quarantined_source_counts", "status_counts", "class_counts")}
+    totals = {c: "bigint" for c in ("requested_count", "completed_count", "accepted_count", "retried_count", "quarantined_count")}
+    return counts | totals | {"split_source_counts": f"map<string,{one}>", "files": "array<struct<path:string,sha256:string,byte_size:bigint>>"}
 
 
 def manifest_id(manifests: DataFrame) -> Column:
@@ -189,7 +230,12 @@ def manifest_id(manifests: DataFrame) -> Column:
     return made(F.to_json(F.struct(*[c for c in manifests.columns if c not in ("manifest_id", "violations")]), {"ignoreNullFields": "false"}))
 
 
-def manifest_files(spark, path: str) -> DataFrame:
-    """path (the name relative to the folder), sha256 and byte_size of each file at path."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"))
+def manifest_files(spark, path: str, root: str | None = None) -> DataFrame:
+    """path (relative to root), sha256 and byte_size of each file at path, in folders below it too. root: a folder above
+    them; the path itself, or what of it stands before its first pattern, if none is given."""
+    pattern = next((i for i, c in enumerate(path) if c in "*?[{"), None)
+    root = root or (path if pattern is None else path[: path.rfind("/", 0, pattern)])
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    above = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substring("path", len(above) + 2, 1 << 30).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"))

@@ -1,4 +1,5 @@
-"""Redaction of columns in Arrow batches, reports, and a scan for what is left."""
+"""Redaction of columns, reports, and a scan for what is left: texts by the fixed policy in Spark expressions, JSON values
+and rules of one's own in Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.redaction import BUILTINS, Policy, RedactionError, Redactor
+from . import text_redaction
 
 REPORT = (
     "redacted string, version string, config_hash string, input_hash string, output_hash string, counts map<string, int>, total int, "
@@ -36,7 +38,11 @@ def _reports(policy: Policy | None, json: bool) -> Column:
 def redact_text(df: DataFrame, col: str, policy: Policy | None = None, into: str = "redaction") -> DataFrame:
     """df with a struct column: the redacted text and its report (see REPORT). Rows that can't be redacted have an
     error_code and no text; a null text has a null report."""
-    return df.withColumn(into, _reports(policy, False)(F.col(col)))
+    if policy is not None and policy != Policy():
+        return df.withColumn(into, _reports(policy, False)(F.col(col)))
+    rare = text_redaction.holds_marks(F.col(col))
+    by_engine = _reports(None, False)(F.when(rare, F.col(col)))
+    return df.withColumn(into, F.when(rare, by_engine).otherwise(text_redaction.reports(F.col(col))))
 
 
 def redact_json(df: DataFrame, col: str, policy: Policy | None = None, into: str = "redaction") -> DataFrame:
@@ -58,7 +64,10 @@ def secret_scan(df: DataFrame, col: str, policy: Policy | None = None, into: str
         redactor = Redactor(policy)
         return pd.Series([sorted(redactor.scan(v)) if v is not None else [] for v in values])
 
-    return df.withColumn(into, found.asNondeterministic()(F.col(col)))
+    if policy is not None and policy != Policy():
+        return df.withColumn(into, found.asNondeterministic()(F.col(col)))
+    rare = text_redaction.holds_marks(F.col(col))
+    return df.withColumn(into, F.when(rare, found.asNondeterministic()(F.when(rare, F.col(col)))).otherwise(text_redaction.scanned(F.col(col))))
 
 
 def builtin_counts(df: DataFrame, col: str, kinds: tuple[str, ...] = ("EMAIL", "PHONE")) -> DataFrame:

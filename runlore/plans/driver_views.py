@@ -127,3 +127,10 @@ def stored_runs(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.min("name").alias("name"), F.min("timestamp").alias("imported_at")).select(
         "run_id", "name", F.sha2("name", 256).alias("input_sha256"), F.lit(ADAPTER).alias("adapter"), F.lit(ADAPTER_VERSION).alias("adapter_version"), "imported_at"
     )
+
+
+def guid_sql(h: str) -> str:
+    """SQL for the GUID of a hex digest, as guid_from_hash makes it."""
+    part = lambda a, n: f"substr({h}, {a}, {n})"
+    first = " || ".join(part(a, 2) for a in (7, 5, 3, 1))
+    return f"{first} || '-' || {part(11, 2)} || {part(9, 2)} || '-' || {part(15, 2)} || {part(13, 2)} || '-' || {part(17, 4)} || '-' || {part(21, 12)}"

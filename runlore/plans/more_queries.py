@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, candidates, contracts, redaction
 from ..sources import schemas, traces
 from ..streaming.traces import import_traces_stream
-from .driver_views import stored_events, stored_runs, table, trace_events
+from .driver_views import guid_sql, stored_events, stored_runs, table, trace_events
 from .queries import query
 
 
@@ -73,8 +73,9 @@ WHERE user_id % 3 <> 0 GROUP BY user_id HAVING count(*) > 70 UNION ALL
 SELECT 'run-' || user_id, 'RECORD_COUNT_LIMIT' FROM events WHERE user_id % 3 = 0 GROUP BY user_id HAVING count(*) + 1 > 70""", traces=False)
 def enforce_import_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of more than 70 records are rejected as a whole."""
-    lines = traces.split_records(traces.read_trace_files(spark, _written_traces(spark, sf_dir)))
-    found = traces.enforce_import_limits(lines, traces.parse_records(lines), traces.ImportLimits(records=70))
+    limits = traces.ImportLimits(records=70)
+    lines = traces.split_records(traces.read_trace_files(spark, _written_traces(spark, sf_dir)), limits)
+    found = traces.enforce_import_limits(lines, traces.parse_records(lines), limits)
     return found.select(F.regexp_extract("path", "run=(run-[0-9]+)", 1).alias("run_id"), "code")
 
 
@@ -184,7 +185,11 @@ def build_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("event_kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("context_before")).cast("bigint").alias("before"))
 
 
-@query()
+@query(f"""SELECT {guid_sql('e')} AS event_id, '{{"actor":"' || CASE WHEN kind IN ('Error', 'ToolResult') THEN 'tool' ELSE 'agent' END || '","artifacts":[],"contentSha256":"' || hash
+|| '","id":"' || {guid_sql('e')} || '","kind":"' || kind || '","payload":{{"k":' || k || '}},"runId":"' || {guid_sql('r')} || '","sequence":' || sequence
+|| ',"source":{{"adapter":"generic-jsonl","byteOffset":' || 100 * sequence || ',"inputSha256":"' || r || '","jsonPointer":"/","line":' || sequence + 1 || ',"relativePath":"' || run_id
+|| '.jsonl"}},"summary":"' || summary || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}' AS event_text
+FROM (SELECT *, sha256(event_id) AS e, sha256(run_id) AS r, json_extract_string(payload, '$.k') AS k FROM texts)""")
 def canonical_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.canonical_event_text(stored_events(spark, sf_dir)).select("event_id", "event_text")
 
@@ -268,6 +273,13 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.build_manifest(_examples(spark, sf_dir), docs.count())
 
 
+def _whole_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents' examples, with the written trace files as its files."""
+    files = contracts.manifest_files(spark, _written_traces(spark, sf_dir))
+    given = {v: "1" for v in contracts.VERSIONS}
+    return contracts.complete_manifest(_manifest(spark, sf_dir), files, given, F.lit("2026-01-01").cast("timestamp"))
+
+
 @query(_EXAMPLES_SQL + """SELECT count(*) AS completed_count, count(*) FILTER (yes) AS accepted_count, count(*) FILTER (NOT yes) AS quarantined_count,
 count(*) FILTER (yes AND split = 'train') AS train, count(*) FILTER (source = 'live') AS live, count(*) FILTER (yes AND split = 'test' AND source = 'fake') AS test_fake,
 count(*) FILTER (NOT yes AND source = 'fixture') AS quarantined_fixture, count(*) FILTER (yes) AS plans, CAST(0 AS BIGINT) AS verifies FROM x""", traces=False)
@@ -282,7 +294,7 @@ def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT '' AS violations, count(*) AS requested_count FROM documents", traces=False)
 def validate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.validate_manifest(_manifest(spark, sf_dir)).select(F.concat_ws(",", "violations").alias("violations"), "requested_count")
+    return contracts.validate_manifest(_whole_manifest(spark, sf_dir)).select(F.concat_ws(",", "violations").alias("violations"), "requested_count")
 
 
 @query()
@@ -348,18 +360,12 @@ def dedupe_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.import_traces(spark, path, store).groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
 
 
-def _guid_sql(h: str) -> str:
-    part = lambda a, n: f"substr({h}, {a}, {n})"
-    first = " || ".join(part(a, 2) for a in (7, 5, 3, 1))
-    return f"{first} || '-' || {part(11, 2)} || {part(9, 2)} || '-' || {part(15, 2)} || {part(13, 2)} || '-' || {part(17, 4)} || '-' || {part(21, 12)}"
-
-
 @query(f""", lines AS (SELECT run_id, sequence, '{{"timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') || '","kind":"' || kind || '","actor":"'
 || CASE WHEN kind IN ('Error', 'ToolResult') THEN 'tool' ELSE 'agent' END || '","summary":"' || summary || '","payload":' || payload || '}}' AS line FROM te),
 files AS (SELECT run_id, sha256(string_agg(line || chr(10), '' ORDER BY sequence) || CASE WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN '{{"cut' || chr(10) ELSE '' END) AS f FROM lines GROUP BY run_id),
-ids AS (SELECT run_id, sha256(f || '|generic-jsonl|1.0.0') AS h FROM files), named AS (SELECT run_id, {_guid_sql('h')} AS id FROM ids),
+ids AS (SELECT run_id, sha256(f || '|generic-jsonl|1.0.0') AS h FROM files), named AS (SELECT run_id, {guid_sql('h')} AS id FROM ids),
 events_of AS (SELECT sequence, sha256(line) AS content_sha256, sha256(replace(id, '-', '') || ':' || sequence || ':' || sha256(line)) AS e FROM lines JOIN named USING (run_id))
-SELECT sequence, content_sha256, {_guid_sql('e')} AS event_id FROM events_of""")
+SELECT sequence, content_sha256, {guid_sql('e')} AS event_id FROM events_of""")
 def event_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hashes and ids of all imported events."""
     none = spark.createDataFrame([], schemas.RUNS)
@@ -384,3 +390,144 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and size of the written trace files, as a manifest lists them."""
     found = contracts.manifest_files(spark, _written_traces(spark, sf_dir))
     return found.agg(F.count(F.lit(1)).alias("files"), F.sum("byte_size").cast("bigint").alias("bytes"))
+
+
+@query("""SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN sequence < 1 THEN 'LINE' END, CASE WHEN sequence % 5 = 0 THEN 'BYTE_OFFSET' END,
+CASE WHEN sequence % 7 = 0 THEN 'CODE' END, CASE WHEN sequence % 3 = 0 THEN 'MESSAGE' END], lambda x: x IS NOT NULL)) AS code FROM te WHERE kind = 'Error') GROUP BY code""")
+def validate_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of diagnostics with defects at every third, fifth, ... place."""
+    every = lambda n, bad, good: F.when(F.col("sequence") % n == 0, F.lit(bad)).otherwise(F.lit(good))
+    said = trace_events(spark, sf_dir).filter("kind = 'Error'").select(
+        "run_id", F.col("sequence").cast("int").alias("line"), every(5, -1, 7).cast("bigint").alias("byte_offset"), every(7, " ", "INVALID_JSON").alias("code"),
+        every(3, "", "Record is not a JSON object.").alias("message"),
+    )
+    return audit.validate_diagnostics(said).select(F.explode("violations").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(DISTINCT user_id) AS runs, CASE WHEN count(DISTINCT user_id) > 10 THEN 'RUN_COUNT_LIMIT' END AS code FROM events", traces=False)
+def preflight_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stops an export of more than ten runs."""
+    return audit.preflight(_runs_json(spark, sf_dir), limits=audit.PreflightLimits(runs=10)).select("runs", "code")
+
+
+@query("""SELECT CASE kind WHEN 'Error' THEN 'SOURCE_CATEGORY,EXAMPLE_ID' WHEN 'FileChange' THEN 'EXAMPLE_ID' WHEN 'Status' THEN 'EMPTY_FIELD,EXAMPLE_ID' ELSE '' END AS violations,
+count(*) AS n FROM te GROUP BY 1""")
+def candidate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of gated candidates of which those of some kinds have been changed."""
+    made = candidates.candidate_gate(_candidates(spark, sf_dir))
+    where = lambda kind, bad, c: F.when(F.col("event_kind") == kind, F.lit(bad)).otherwise(F.col(c))
+    bad = made.withColumns({
+        "source_category": where("Error", "other", "source_category"), "example_id": where("FileChange", "0" * 64, "example_id"),
+        "license_or_consent": where("Status", "", "license_or_consent"),
+    })
+    found = contracts.validate_candidates(bad).select(F.concat_ws(",", "violations").alias("violations"))
+    return found.groupBy("violations").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_EXAMPLES_SQL + """SELECT sha256(CAST(doc_id AS VARCHAR)) AS example_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN yes THEN '' ELSE 'STATE,' END || 'CONFIDENCE'
+WHEN 1 THEN CASE WHEN yes THEN '' ELSE 'STATE,' END || 'EVIDENCE' ELSE '' END AS violations FROM x""", traces=False)
+def example_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of examples of which two in five have been changed."""
+    place = F.pmod("doc_id", F.lit(5))
+    bad = _examples(spark, sf_dir).withColumns({
+        "confidence": F.when(place == 0, 1.5).otherwise(F.col("confidence")),
+        "evidence_event_ids": F.when(place == 1, F.array(F.lit("foreign"))).otherwise(F.col("evidence_event_ids")),
+    })
+    return contracts.validate_examples(bad).select("example_id", F.concat_ws(",", "violations").alias("violations"))
+
+
+@query("""SELECT * FROM (VALUES ('none', ''), ('requested', 'LIFECYCLE,MANIFEST_ID'), ('path', 'PATHS,MANIFEST_ID'), ('id', 'MANIFEST_ID'), ('version', 'FIELDS,MANIFEST_ID'))
+t(changed, violations), (SELECT count(*) AS completed_count FROM documents), (SELECT count(DISTINCT user_id) AS files FROM events)""", traces=False)
+def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole manifest over all documents and the written trace files, and four that have been changed."""
+    whole = _whole_manifest(spark, sf_dir).withColumn("changed", F.explode(F.array(*map(F.lit, ("none", "requested", "path", "id", "version")))))
+    where = lambda name, bad, c: F.when(F.col("changed") == name, bad).otherwise(F.col(c))
+    upper = F.transform(F.slice("files", 1, 1), lambda f: f.withField("path", F.upper(f["path"])))
+    bad = whole.withColumns({
+        "requested_count": where("requested", F.lit(0).cast("bigint"), "requested_count"), "files": where("path", F.concat("files", upper), "files"),
+        "manifest_id": where("id", F.lit("0" * 64), "manifest_id"), "prompt_version": where("version", F.lit(None).cast("string"), "prompt_version"),
+    })
+    return contracts.validate_manifest(bad).select(
+        "changed", F.concat_ws(",", "violations").alias("violations"), "completed_count",
+        (F.size("files") - (F.col("changed") == "path").cast("int")).cast("bigint").alias("files"),
+    )
+
+
+@query("""SELECT 'run=' || run_id AS folder, CAST(sum(82 + strlen(kind) + strlen(summary) + strlen(payload)
++ CASE WHEN kind IN ('Error', 'ToolResult') THEN 4 ELSE 5 END) + CASE WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN 6 ELSE 0 END AS BIGINT) AS byte_size FROM te GROUP BY run_id""")
+def manifest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative paths of the written trace files, without the names that Spark gives them, and their sizes."""
+    found = contracts.manifest_files(spark, _written_traces(spark, sf_dir))
+    return found.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "byte_size")
+
+
+@query("""SELECT run_id, CASE WHEN n > 70 THEN 'Rejected' WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN 'Partial' ELSE 'Imported' END AS outcome,
+CASE WHEN n > 70 THEN 'RECORD_COUNT_LIMIT' END AS code FROM (SELECT run_id, events + CASE WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS n FROM runs)""")
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the streaming import of all files, of which those of more than 70 records are rejected."""
+    path, store = _written_traces(spark, sf_dir), _folder(spark, "store")
+    import_traces_stream(spark, path, store, traces.ImportLimits(records=70)).awaitTermination()
+    return traces.stored(spark, store, "outcomes", schemas.OUTCOMES).select(F.regexp_extract("path", "run=(run-[0-9]+)", 1).alias("run_id"), "outcome", "code")
+
+
+@query("SELECT count(DISTINCT user_id) AS pages FROM events", traces=False)
+def write_html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all runs as escaped pages, written and read again."""
+    from ..operators import views
+    from .queries import export_report
+
+    folder = _folder(spark, "pages")
+    views.write_reports(export_report(spark, sf_dir), folder, "html")
+    sound = "value LIKE '<!doctype html>%&quot;schemaVersion&quot;:&quot;1.0&quot;%</pre>' AND instr(value, '\"schemaVersion') = 0"
+    return spark.read.text(folder).filter(sound).agg(F.count(F.lit(1)).alias("pages"))
+
+
+_PEM = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+#: Lines with a secret, what is left of them, the kind in reports, and that in scans where it is another.
+_PLANTED = (
+    ("mail a.b@example.org now", "mail <REDACTED:EMAIL:1> now", "EMAIL", None), ("call +1 (212) 555-0100", "call <REDACTED:PHONE:1>", "PHONE", None),
+    (_PEM, "<REDACTED:PRIVATE_KEY:1>", "PRIVATE_KEY", None), ("Bearer abcdefgh12", "<REDACTED:AUTH:1>", "AUTH", None),
+    ("eyJabcdefg.abcdefg.abcdefg", "<REDACTED:JWT:1>", "JWT", None), ("ghp_" + "a" * 20, "<REDACTED:GITHUB_TOKEN:1>", "GITHUB_TOKEN", None),
+    ("sk-" + "b" * 20, "<REDACTED:API_TOKEN:1>", "API_TOKEN", None), ("AIza" + "c" * 35, "<REDACTED:GOOGLE_API_KEY:1>", "GOOGLE_API_KEY", None),
+    ("AKIA" + "D" * 16, "<REDACTED:AWS_ACCESS_KEY:1>", "AWS_ACCESS_KEY", None), ("https://user:pw@host/", "https://<REDACTED:URI_PASSWORD:1>@host/", "URI_PASSWORD", None),
+    ("cd /home/ann/x", "cd <REDACTED:USER_PATH:1>/x", "USER_PATH", None), ("password = 'x y'", "password = '<REDACTED:CONNECTION_PASSWORD:1>'", "CONNECTION_PASSWORD", "ASSIGNMENT"),
+    ("  MY_API_KEY_2=z; rest", "  MY_API_KEY_2=<REDACTED:ENV_SECRET:1>; rest", "ENV_SECRET", "ASSIGNMENT"),
+    ("AWS_SECRET_ACCESS_KEY=abc", "AWS_SECRET_ACCESS_KEY=<REDACTED:AWS_SECRET:1>", "AWS_SECRET", "ASSIGNMENT"), ("<REDACTED:NOPE:4>", "<REDACTED:KEYED:1>", "KEYED", "PLACEHOLDER"),
+)
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their summary and two planted lines, by place in their run."""
+    lines, n = F.array(*[F.lit(x[0]) for x in _PLANTED]), len(_PLANTED)
+    at = lambda k: F.element_at(lines, (F.pmod(F.col("sequence") + k, F.lit(n)) + 1).cast("int"))
+    return trace_events(spark, sf_dir).select("run_id", "sequence", F.concat_ws("\n", "summary", at(0), at(7)).alias("text"))
+
+
+def _list_sql(values: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+_PLANTED_SQL = f""", planted AS (SELECT run_id, sequence, summary, sequence % {len(_PLANTED)} + 1 AS i, (sequence + 7) % {len(_PLANTED)} + 1 AS j, {_list_sql([x[1] for x in _PLANTED])} AS shown,
+{_list_sql([x[2] for x in _PLANTED])} AS kinds, {_list_sql([x[3] or x[2] for x in _PLANTED])} AS seen FROM te) """
+
+
+@query(_PLANTED_SQL + """SELECT run_id, sequence, concat_ws(chr(10), summary, shown[i], shown[j]) AS redacted, CAST(2 AS INTEGER) AS total, true AS passed,
+array_to_string(list_sort([kinds[i], kinds[j]]), ',') AS kinds, CAST(NULL AS VARCHAR) AS error_code FROM planted""")
+def redact_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all events with planted secrets of every kind, redacted."""
+    rows = redaction.redact_text(_planted(spark, sf_dir), "text")
+    kinds = F.concat_ws(",", F.array_sort(F.map_keys("redaction.counts"))).alias("kinds")
+    return rows.select("run_id", "sequence", "redaction.redacted", "redaction.total", "redaction.passed", kinds, "redaction.error_code")
+
+
+@query(_PLANTED_SQL + "SELECT kind, count(*) AS rows, count(*) AS replacements FROM (SELECT unnest([kinds[i], kinds[j]]) AS kind FROM planted) GROUP BY kind")
+def redaction_totals_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements of every kind over the planted texts."""
+    return redaction.redaction_totals(redaction.redact_text(_planted(spark, sf_dir), "text"))
+
+
+@query(_PLANTED_SQL + "SELECT run_id, sequence, array_to_string(list_sort(list_distinct([seen[i], seen[j]])), ',') AS found FROM planted")
+def scan_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan finds in the planted texts as they stand."""
+    found = redaction.secret_scan(_planted(spark, sf_dir), "text")
+    return found.select("run_id", "sequence", F.concat_ws(",", "found").alias("found"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, classify, detect, views
-from .driver_views import TRACE_SQL, conversation_events, trace_events, trace_runs
+from .driver_views import TRACE_SQL, conversation_events, guid_sql, trace_events, trace_runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,21 +109,30 @@ def analyze_runs(spark, sf_dir):
     return analysis.analyze_runs(runs.unionByName(empty), events, F.lit("2026-01-01").cast("timestamp"), _requested(spark, sf_dir)).outcomes
 
 
-@query()
+_HASHES_SQL = """, steps AS (SELECT run_id, string_agg('{"sequence":' || sequence || ',"event_id":"' || event_id || '","label":"' || label || '","confidence":' || confidence || '}', ','
+ORDER BY sequence) AS s FROM labelled GROUP BY run_id),
+numbered AS (SELECT *, '{"ordinal":' || row_number() OVER (PARTITION BY run_id ORDER BY code) - 1 || ',"code":"' || code || '","severity":"' || severity || '","start_sequence":' || s
+|| ',"end_sequence":' || e || ',"evidence_event_ids":["' || replace(ev, ',', '","') || '"]' AS j FROM alerts),
+found AS (SELECT run_id, string_agg(j || '}', ',' ORDER BY code) AS a FROM numbered GROUP BY run_id),
+hashes AS (SELECT run_id, s, sha256('{"run_id":"' || run_id || '","steps":[' || s || ']' || coalesce(',"alerts":[' || a || ']', '') || '}') AS content_sha256
+FROM steps LEFT JOIN found USING (run_id)) """
+
+
+@query(_HASHES_SQL + "SELECT run_id, content_sha256 FROM hashes")
 def analysis_content_hash(spark, sf_dir):
     return _stored(spark, sf_dir)[2].analyses.select("run_id", "content_sha256")
 
 
 def _history(events: DataFrame) -> DataFrame:
-    """A revision for each event whose sequence is a multiple of ten, two of them at the same time."""
-    rows = events.filter("sequence % 10 = 0").select("run_id", F.col("timestamp").alias("created_at"), "sequence")
+    """A revision for each event, two of them at the same time."""
+    rows = events.select("run_id", F.col("timestamp").alias("created_at"), "sequence")
     twice = rows.withColumn("ingest_ordinal", F.explode(F.array(F.col("sequence"), F.col("sequence") + 1)))
     return twice.withColumn("analysis_id", F.concat_ws("/", "run_id", F.col("ingest_ordinal").cast("string"))).drop("sequence")
 
 
 @query("""SELECT run_id, arg_max(created_at, (created_at, o)) AS created_at, arg_max(o, (created_at, o)) AS ingest_ordinal,
 arg_max(run_id || '/' || o, (created_at, o)) AS analysis_id
-FROM (SELECT run_id, timestamp AS created_at, unnest([sequence, sequence + 1]) AS o FROM te WHERE sequence % 10 = 0) GROUP BY run_id""")
+FROM (SELECT run_id, timestamp AS created_at, unnest([sequence, sequence + 1]) AS o FROM te) GROUP BY run_id""")
 def latest_analysis(spark, sf_dir):
     return analysis.latest_analysis(_history(trace_events(spark, sf_dir)))
 
@@ -203,8 +212,24 @@ def compare_runs(spark, sf_dir):
     )
 
 
-@query()
+_EXPLAINED = " ".join(f"WHEN '{d.code}' THEN '{d.explanation}'" for d in detect.DETECTORS)
+_TIME = "strftime(imported_at, '%Y-%m-%dT%H:%M:%S.%g')"
+_REPORT_SQL = _HASHES_SQL.rstrip() + f""", told AS (SELECT run_id, string_agg(j || ',"explanation":"' || CASE code {_EXPLAINED} END || '"}}', ',' ORDER BY code) AS t FROM numbered GROUP BY run_id),
+ids AS (SELECT *, sha256(run_id || ':' || content_sha256 || ':' || regexp_replace(strftime(imported_at, '%Y-%m-%d %H:%M:%S.%f'), '[.]?0+$', '')) AS h,
+sha256('{{"InputSha256":"' || sha256(run_id) || '","ContentSha256":"' || content_sha256 || '"}}') AS identity FROM hashes JOIN runs USING (run_id) LEFT JOIN told USING (run_id))
+SELECT run_id, identity AS content_identity_sha256, '{{"schemaVersion":"1.0","run":{{"run_id":"' || run_id || '","name":"' || run_id || '","input_sha256":"' || sha256(run_id)
+|| '","adapter":"generic-jsonl","adapter_version":"1.0.0","imported_at":"' || {_TIME} || '"}},"analysis":{{"analysis_id":"' || {guid_sql('h')} || '","status":"Completed","created_at":"' || {_TIME}
+|| '","classifier_id":"{analysis.CLASSIFIER_ID}","classifier_version":"{analysis.CLASSIFIER_VERSION}","content_sha256":"' || content_sha256 || '","classifications":[' || s || ']'
+|| coalesce(',"alerts":[' || t || ']', '') || '}},"disclaimer":"{views.DISCLAIMER}","contentIdentitySha256":"' || identity || '"}}' AS report FROM ids"""
+
+
+@query(_REPORT_SQL)
 def export_report(spark, sf_dir):
     runs, _, made = _stored(spark, sf_dir)
     revisions = made.analyses.withColumn("ingest_ordinal", F.lit(0))
     return views.export_report(runs, runs, revisions, made.classifications, made.alerts)
+
+
+@query("SELECT run_id, code, count(*) AS alerts FROM alerts GROUP BY ALL")
+def alerts_by_run(spark, sf_dir):
+    return analysis.alerts_by_run(detect.detect_all(_labelled(spark, sf_dir)))

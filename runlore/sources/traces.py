@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import strict_json
 from ..operators.analysis import guid_from_hash
-from .schemas import EVENT_KINDS
+from .schemas import EVENT_KINDS, RUNS
 
 ADAPTER, ADAPTER_VERSION = "generic-jsonl", "1.0.0"
 EPOCH = "1970-01-01T00:00:00Z"
-_BLANK = "^[\\x09-\\x0D\\x20\\x85\\xA0]*$"
+_BLANK = re.compile(rb"[\x09-\x0D\x20\x85\xA0]*")
+_RUN = re.compile(rb"[^\n]+")
 _ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}([.,]\d{1,7})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 _OFFSET = r"(Z|[+-]\d{2}:\d{2})$"
 
@@ -42,9 +45,32 @@ def run_id(adapter: str = ADAPTER, version: str = ADAPTER_VERSION) -> Column:
 
 def read_trace_files(spark: SparkSession, path: str, limits: ImportLimits = ImportLimits()) -> DataFrame:
     """path, length, content, input_sha256, name and run_id of each file up to the limit of bytes; others stand in
-    oversize_files. The filter on length keeps Spark from reading the content of larger ones."""
+    oversize_files. The filter on length keeps Spark from reading the content of larger ones. The binary reader passes
+    over empty files, so those are listed by another reader, by name alone; they have no content, but are imports."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= limits.total_bytes)
-    return _described(files.select("path", "length", "content"))
+    files = files.select("path", "length", "content")
+    empty = _empty_files(spark, path)
+    if empty:
+        made = spark.createDataFrame([(p,) for p in empty], "path string")
+        files = files.unionByName(made.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
+    return _described(files)
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of files without a byte at a path or pattern, from the listing alone; hidden names don't count."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, open_ = [], list(store.globStatus(where) or [])
+    while open_:
+        entry = open_.pop()
+        name = entry.getPath().getName()
+        if entry.isDirectory():
+            if not name.startswith(("_", ".")):
+                open_ += list(store.listStatus(entry.getPath()))
+        elif entry.getLen() == 0 and not name.startswith(("_", ".")):
+            found.append(entry.getPath().toString())
+    return sorted(found)
 
 
 def oversize_files(spark: SparkSession, path: str, limits: ImportLimits = ImportLimits()) -> DataFrame:
@@ -53,20 +79,52 @@ def oversize_files(spark: SparkSession, path: str, limits: ImportLimits = Import
     return files.filter(F.col("length") > limits.total_bytes).select("path", F.lit("TOTAL_BYTES_LIMIT").alias("code"))
 
 
-def split_records(files: DataFrame) -> DataFrame:
-    """All lines of files: path, line (from 1), byte_offset, raw_bytes (a trailing CR counts), blank, record (bytes
-    without the line's end). What follows the last LF is a line if it is not empty. One character of ISO-8859-1 is
-    one byte, so text functions count and cut bytes; a file is one window of bounded size."""
-    lines = F.split(F.decode("content", "ISO-8859-1"), "\n", -1)
-    rows = files.select("path", "run_id", "name", "input_sha256", F.posexplode(lines).alias("at", "raw"))
-    w = Window.partitionBy("path").orderBy("at")
-    rows = rows.withColumn("byte_offset", (F.sum(F.length("raw") + 1).over(w) - F.length("raw") - 1).cast("bigint"))
-    rows = rows.withColumn("last", F.lead("at").over(w).isNull()).filter(~(F.col("last") & (F.col("raw") == "")))
-    text = F.when(F.col("raw").endswith("\r"), F.expr("substring(raw, 1, length(raw) - 1)")).otherwise(F.col("raw"))
-    return rows.select(
-        "path", "run_id", "name", "input_sha256", (F.col("at") + 1).cast("int").alias("line"), "byte_offset",
-        F.length("raw").cast("bigint").alias("raw_bytes"), text.rlike(_BLANK).alias("blank"), F.encode(text, "ISO-8859-1").alias("record"),
-    )
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches have a bounded number of bytes, as single values can be very large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+
+
+def _lines(content: bytes, most: int) -> Iterator[tuple[int, int, bytes]]:
+    """Line (from 1), byte offset and bytes of each line that is not empty, as long as no more than so many of them are
+    not blank. Runs of line feeds are counted and skipped, not cut."""
+    line, before, records = 1, 0, 0
+    for found in _RUN.finditer(content):
+        line += content.count(b"\n", before, found.start())
+        before = found.start()
+        raw = found.group()
+        yield line, before, raw
+        records += not _BLANK.fullmatch(raw)
+        if records > most:
+            return
+
+
+def split_records(files: DataFrame, limits: ImportLimits = ImportLimits()) -> DataFrame:
+    """Lines of files: path, line (from 1), byte_offset, raw_bytes (a trailing CR counts), blank, record (bytes
+    without the line's end). Blank lines count but have no row unless they are beyond the limit of a record's bytes, which
+    rejects their file; a record beyond it has no bytes here. Files stop one line after the limit of records, as what follows can't
+    change that they are rejected, so lines never take more room than their file. Each file is cut by itself, in Python."""
+    out = "path string, run_id string, name string, input_sha256 string, line int, byte_offset bigint, raw_bytes bigint, blank boolean, record binary"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, run, name, sha, content in zip(*(b[c] for c in ("path", "run_id", "name", "input_sha256", "content")), strict=True):
+                rows, held = [], 0
+                for line, offset, raw in _lines(content, limits.records):
+                    blank, long = bool(_BLANK.fullmatch(raw)), len(raw) > limits.record_bytes
+                    if not blank or long:
+                        record = b"" if long else raw[:-1] if raw.endswith(b"\r") else raw
+                        rows.append((path, run, name, sha, line, offset, len(raw), blank, record))
+                        held += len(record) + 200
+                    if held > 8 << 20:
+                        yield pd.DataFrame(rows, columns=_LINE)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=_LINE)
+
+    bounded_batches(files.sparkSession)
+    return files.select("path", "run_id", "name", "input_sha256", "content").mapInPandas(cut, out)
+
+
+_LINE = ["path", "run_id", "name", "input_sha256", "line", "byte_offset", "raw_bytes", "blank", "record"]
 
 
 def _parse(record: bytes) -> tuple:
@@ -171,11 +229,17 @@ class Imported:
         return self.events.select("run_id", "sequence", "event_id", "kind", "content_sha256")
 
 
-def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> Imported:
+def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None, keep: str | None = None) -> Imported:
     """The import of described files against stored runs. Nothing of a rejected file is stored; a file of bad lines
-    alone is stored as Partial without events."""
-    lines = split_records(files)
+    alone is stored as Partial without events. keep: a new folder for the parsed lines, so that files are cut and parsed
+    once however often they are used."""
+    lines = split_records(files, limits)
     parsed = parse_records(lines)
+    if keep:
+        parsed.write.parquet(f"{keep}/parsed")
+        lines.filter(F.col("raw_bytes") > limits.record_bytes).write.parquet(f"{keep}/long")
+        parsed = files.sparkSession.read.schema(parsed.schema).parquet(f"{keep}/parsed")
+        lines = files.sparkSession.read.schema(lines.schema).parquet(f"{keep}/long")
     rejected = enforce_import_limits(lines, parsed, limits)
     kept = files.join(rejected.select("path"), "path", "left_anti")
     firsts = dedupe_imports(kept, existing_runs)
@@ -204,26 +268,57 @@ def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimit
     return Imported(outcomes.unionByName(refused), runs, events, diagnostics)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(spark: SparkSession, store: str, name: str, schema: str) -> DataFrame:
-    """A table of the store; empty where nothing is stored yet."""
-    try:
+    """A table of the store; empty where nothing is stored yet, an error where it can't be read.
+
+    A run counts once, with the import that has the smallest import_id of those that stored it; rows of other tables count
+    where their import is the one of their run. So what an import left that failed before its runs were stored is never seen,
+    nor is what a second import stored that ran beside the first."""
+    if not exists(spark, f"{store}/{name}"):
+        return spark.createDataFrame([], schema)
+    if name == "outcomes":
         return spark.read.schema(schema).parquet(f"{store}/{name}")
-    except AnalysisException:
+    runs = spark.read.schema(f"{RUNS}, import_id string").parquet(f"{store}/runs") if exists(spark, f"{store}/runs") else None
+    if runs is None:
         return spark.createDataFrame([], schema)
+    names = [x.name for x in spark.createDataFrame([], schema).schema]
+    if name == "runs":
+        whole = runs.groupBy("run_id").agg(F.min_by(F.struct(*runs.columns), "import_id").alias("r"))
+        return whole.select("r.*").select(*names)
+    first = runs.groupBy("run_id").agg(F.min("import_id").alias("import_id"))
+    rows = spark.read.schema(f"{schema}, import_id string").parquet(f"{store}/{name}")
+    return rows.join(first, ["run_id", "import_id"], "left_semi").select(*names)
 
 
-def store_import(made: Imported, store: str) -> None:
-    """Appends an import's rows; runs go last, as a run that is stored is complete."""
+def store_import(made: Imported, store: str, import_id: str) -> None:
+    """Appends an import's rows under its id. Runs go last: they make the others count."""
     for name, rows in (("events", made.events), ("diagnostics", made.diagnostics), ("event_index", made.event_index), ("runs", made.runs)):
-        rows.write.mode("append").parquet(f"{store}/{name}")
+        rows.withColumn("import_id", F.lit(import_id)).write.mode("append").parquet(f"{store}/{name}")
 
 
-def import_traces(spark: SparkSession, path: str, store: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> DataFrame:
-    """Imports all files at path into the store and returns their outcomes."""
-    from .schemas import RUNS
+def new_import_id() -> str:
+    return uuid.uuid4().hex
 
-    made = import_files(read_trace_files(spark, path, limits), stored(spark, store, "runs", RUNS), limits, imported_at)
+
+def import_traces(spark: SparkSession, path: str, store: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> DataFrame:
+    """Imports all files at path into the store and returns their outcomes. One that failed can be repeated: its rows
+    without runs don't count."""
+    number = new_import_id()
+    keep = f"{store}/_importing-{number}"
+    made = import_files(read_trace_files(spark, path, limits), stored(spark, store, "runs", RUNS), limits, imported_at, keep)
     too_large = oversize_files(spark, path, limits).select("path", F.lit(None).cast("string").alias("run_id"), F.lit("Rejected").alias("outcome"), "code")
     made.outcomes.unionByName(too_large).write.mode("overwrite").parquet(f"{store}/outcomes")  # before its runs are stored
-    store_import(made, store)
+    store_import(made, store, number)
+    removed(spark, keep)
     return spark.read.schema(made.outcomes.schema).parquet(f"{store}/outcomes")

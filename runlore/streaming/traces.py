@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.schemas import BINARY_FILES, OUTCOMES, RUNS
-from ..sources.traces import ImportLimits, _described, import_files, store_import, stored
+from ..sources.traces import ImportLimits, _described, import_files, new_import_id, removed, store_import, stored
 
 
 def import_traces_stream(spark: SparkSession, directory: str, store: str, limits: ImportLimits = ImportLimits()) -> StreamingQuery:
     """Imports the files of a directory that have not been seen, then stops. A batch that runs again after a failure
-    finds its runs stored, so identity keeps it from storing them twice. Outcomes of all files are appended to the
-    store's outcomes before the runs, with the batch's number, in one file, so that they are there as a whole or not at
-    all; a batch that runs again keeps those of its first time."""
+    finds what runs it has stored, and imports the others under a new id, under which alone their rows count. Outcomes of all
+    files are appended to the store's outcomes before the runs, with the batch's number, in one file, so that they are there
+    as a whole or not at all; a batch that runs again keeps those of its first time. Spark's stream of binary files passes
+    over empty files."""
 
     def batch(files: DataFrame, number: int) -> None:
         session = files.sparkSession
         small = _described(files.select("path", "length", "content").filter(files["length"] <= limits.total_bytes))
-        made = import_files(small, stored(session, store, "runs", RUNS), limits)
+        import_id = new_import_id()
+        keep = f"{store}/_importing-{import_id}"
+        made = import_files(small, stored(session, store, "runs", RUNS), limits, keep=keep)
         if stored(session, store, "outcomes", OUTCOMES).filter(F.col("batch") == number).isEmpty():
             none = F.lit(None).cast("string").alias("run_id")
             too_large = files.filter(files["length"] > limits.total_bytes).select(
@@ -27,7 +30,8 @@ def import_traces_stream(spark: SparkSession, directory: str, store: str, limits
             )
             outcomes = made.outcomes.unionByName(too_large).withColumn("batch", F.lit(number).cast("bigint"))
             outcomes.repartition(1).write.mode("append").parquet(f"{store}/outcomes")
-        store_import(made, store)
+        store_import(made, store, import_id)
+        removed(session, keep)
 
     files = spark.readStream.format("binaryFile").schema(BINARY_FILES).load(directory)
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{store}/_stream").trigger(availableNow=True).start()

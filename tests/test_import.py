@@ -97,6 +97,52 @@ def test_a_stream_stores_each_outcome_once(spark, tmp_path):
     assert rows() == [*expected, ("f", "Duplicate", "", 1)]
 
 
-def test_empty_files_are_passed_over(spark, tmp_path):
+def test_empty_files_are_runs(spark, tmp_path):
     made = imported(spark, put(tmp_path / "in", a=b"", b=b"\n"))
-    assert made.events.count() == 0 and [r.name for r in made.runs.collect()] == ["b.jsonl"]
+    assert made.events.count() == 0 and sorted(r.name for r in made.runs.collect()) == ["a.jsonl", "b.jsonl"]
+    assert {o.outcome for o in made.outcomes.collect()} == {"Imported"}
+
+
+def test_line_feeds_alone_take_no_room(spark, tmp_path):
+    data = b"\n" * (32 << 20) + b'{"actor":"a"}\n' + b"\r\n" * 1000 + b'{"actor":"b"}'
+    events = imported(spark, put(tmp_path / "in", a=data)).events.orderBy("sequence").collect()
+    assert [(e.actor, e.source.line, e.source.byte_offset) for e in events] == [
+        ("a", (32 << 20) + 1, 32 << 20), ("b", (32 << 20) + 1002, (32 << 20) + 14 + 2000),
+    ]
+
+
+def test_many_bad_records_are_rejected(spark, tmp_path):
+    path = put(tmp_path / "in", a=b"x\n" * 100_001 + b"y" * 5_000_000)
+    outcome = traces.import_traces(spark, path, str(tmp_path / "store")).collect()
+    assert [(o.outcome, o.code) for o in outcome] == [("Rejected", "RECORD_COUNT_LIMIT")]
+
+
+@pytest.mark.parametrize("fails_at", ["events", "diagnostics", "runs"])
+def test_a_failed_import_can_be_repeated(spark, tmp_path, fails_at, monkeypatch):
+    path, store = put(tmp_path / "in", a=b'{"actor":"a"}\n{"actor":"b"}\nx'), str(tmp_path / "store")
+    made = traces.import_files(traces.read_trace_files(spark, path), traces.stored(spark, store, "runs", schemas.RUNS))
+    for name, rows in (("events", made.events), ("diagnostics", made.diagnostics), ("event_index", made.event_index), ("runs", made.runs)):
+        if name == fails_at:
+            break
+        rows.withColumn("import_id", F.lit("0")).write.mode("append").parquet(f"{store}/{name}")
+    assert traces.stored(spark, store, "events", schemas.EVENTS).count() == 0
+    for outcome in ("Partial", "Duplicate"):
+        assert [o.outcome for o in traces.import_traces(spark, path, store).collect()] == [outcome]
+        count = lambda name, schema: traces.stored(spark, store, name, schema).count()
+        assert (count("events", schemas.EVENTS), count("diagnostics", schemas.DIAGNOSTICS), count("event_index", schemas.EVENT_INDEX)) == (2, 1, 2)
+
+
+def test_imports_beside_each_other_count_once(spark, tmp_path):
+    path, store = put(tmp_path / "in", a=b'{"actor":"a"}', b=b'{"actor":"b"}'), str(tmp_path / "store")
+    for number in ("2", "1", "3"):  # each before the others have stored a run
+        made = traces.import_files(traces.read_trace_files(spark, path), spark.createDataFrame([], schemas.RUNS))
+        traces.store_import(made, store, number)
+    assert traces.stored(spark, store, "runs", schemas.RUNS).count() == 2
+    assert traces.stored(spark, store, "events", schemas.EVENTS).count() == 2
+
+
+def test_a_store_that_cannot_be_read_is_an_error(spark, tmp_path):
+    (tmp_path / "store" / "runs").mkdir(parents=True)
+    (tmp_path / "store" / "runs" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        traces.stored(spark, str(tmp_path / "store"), "runs", schemas.RUNS).collect()

@@ -153,14 +153,19 @@ def test_manifest(spark):
     m = manifest.first()
     assert (m.completed_count, m.accepted_count, m.quarantined_count) == (3, 2, 1) and m.split_counts == {"train": 1, "validation": 0, "test": 1}
     assert m.split_source_counts["test"] == {"fake": 1, "fixture": 0, "live": 0} and m.status_counts["quarantined"] == 1 and len(m.class_counts) == 6
-    files = F.array(F.struct(F.lit("a/b.jsonl").alias("path"), F.lit("0" * 64).alias("sha256"), F.lit(1).cast("bigint").alias("byte_size")))
-    whole = manifest.withColumn("files", files)
-    whole = whole.withColumn("manifest_id", contracts.manifest_id(whole))
+    files = spark.createDataFrame([("a/b.jsonl", "0" * 64, 1)], "path string, sha256 string, byte_size bigint")
+    given = {v: "1" for v in contracts.VERSIONS}
+    whole = contracts.complete_manifest(manifest, files, given, F.lit("2026-01-01").cast("timestamp"))
+    assert sorted(whole.columns) == sorted(contracts.MANIFEST)
+    assert whole.first().created_at == "2026-01-01T00:00:00Z"
     assert contracts.validate_manifest(whole).first().violations == []
     defects = {
         "LIFECYCLE": {"requested_count": F.lit(1).cast("bigint")}, "FILES": {"files": F.transform("files", lambda f: f.withField("path", F.lit("con.txt")))},
         "PATHS": {"files": F.concat("files", F.transform("files", lambda f: f.withField("path", F.lit("A/b.jsonl"))))}, "TOTALS": {"accepted_count": F.lit(1).cast("bigint")},
     }
+    for column in ("files", "manifest_id", "created_at", "prompt_version"):
+        assert "FIELDS" in contracts.validate_manifest(whole.drop(column)).first().violations
+    assert {"FIELDS", "FILES", "PATHS", "MANIFEST_ID"} <= set(contracts.validate_manifest(manifest).first().violations)
     for code, change in defects.items():
         assert code in contracts.validate_manifest(whole.withColumns(change)).first().violations
     assert contracts.build_manifest(rows.filter("false"), 0).first().completed_count == 0
@@ -182,3 +187,12 @@ def test_canonical_json():
     for bad in ("", "[]", "{", '{"a"}', '{"a":1 "b":2}', '{,}', '{"a":1}}'):
         with pytest.raises(strict_json.BadJson):
             list(strict_json.members(bad))
+
+
+def test_manifest_files_have_relative_paths(spark, tmp_path):
+    for name in ("a/x.jsonl", "b/x.jsonl", "x.jsonl"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    listed = lambda *x: sorted(r.path for r in contracts.manifest_files(spark, *x).collect())
+    assert listed(str(tmp_path)) == ["a/x.jsonl", "b/x.jsonl", "x.jsonl"] == listed(f"{tmp_path}/", str(tmp_path))
+    assert listed(f"{tmp_path}/*/*.jsonl") == ["a/x.jsonl", "b/x.jsonl"] and listed(f"{tmp_path}/a", str(tmp_path)) == ["a/x.jsonl"]
