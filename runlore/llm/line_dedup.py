@@ -22,12 +22,12 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate_lines(
-    df: DataFrame, text: str = "text", site: Column | str = "source", ratio: float = 0.1, min_pages: int = 5
+    df: DataFrame, text: str = "text", site: Column | str = "source", ratio: float = 0.1, min_pages: int = 2
 ) -> DataFrame:
     """One row per boilerplate line: site, line (its two hashes), pages, site_pages.
 
-    Lines are compared after trimming spaces; blank lines are never boilerplate. min_pages: a line on fewer pages
-    stays, as ratios of small sites say little. A null site is a site of its own; a null text has no lines but counts
+    Lines are compared after trimming spaces; blank lines are never boilerplate. min_pages: a line of one page alone
+    repeats nothing, though on a site of few pages it exceeds the ratio, as all of the site's lines do. A null site is a site of its own; a null text has no lines but counts
     as a page; equal rows count as pages each."""
     site = F.col(site) if isinstance(site, str) else site
     pages = df.select(site.alias("site"), F.col(text).alias("text"))
@@ -43,10 +43,10 @@ def boilerplate_lines(
 
 
 def drop_boilerplate_lines(
-    df: DataFrame, text: str = "text", site: Column | str = "source", ratio: float = 0.1, min_pages: int = 5
+    df: DataFrame, text: str = "text", site: Column | str = "source", ratio: float = 0.1, min_pages: int = 2, counts: bool = True
 ) -> DataFrame:
-    """df without the boilerplate lines of each row's site, plus n_lines and n_removed (long; such columns of df are
-    replaced). What is left of a text keeps its order and line breaks; a text of boilerplate alone becomes empty, a
+    """df without the boilerplate lines of each row's site, plus, with counts, n_lines and n_removed (long; such columns of
+    df are replaced; without counts all columns of df stay). What is left of a text keeps its order and line breaks; a text of boilerplate alone becomes empty, a
     null text stays null with 0 lines; an empty table stays empty."""
     site = F.col(site) if isinstance(site, str) else site
     bad = checkpointed(
@@ -54,7 +54,7 @@ def drop_boilerplate_lines(
     )
     if (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_LINES:
         bad = F.broadcast(bad)
-    names = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
+    names = [c for c in df.columns if not counts or c.lower() not in ("n_lines", "n_removed")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), site.alias("of"), F.col(text).alias("whole"))
     lines = _lines(F.col("whole"))
     good = F.filter(lines, lambda x: ~F.array_contains(F.col("bad"), hash128(F.trim(x))))
@@ -67,7 +67,8 @@ def drop_boilerplate_lines(
     }
     n_lines = F.when(F.col("whole").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_lines"))
     n_good = F.when(F.col("whole").isNull(), F.lit(0).cast("bigint")).otherwise(F.size("good").cast("bigint"))
-    return cleaned.select(*[kept[c] for c in names], n_lines.alias("n_lines"), (n_lines - n_good).alias("n_removed"))
+    told = [n_lines.alias("n_lines"), (n_lines - n_good).alias("n_removed")] if counts else []
+    return cleaned.select(*[kept[c] for c in names], *told)
 
 
 LINE_DEDUP_SQL = r"""
@@ -78,7 +79,7 @@ totals AS (SELECT source, count(*) AS site_pages FROM pages GROUP BY source),
 seen AS (SELECT source, trim(line, ' ') AS line, count(DISTINCT r) AS pages FROM lines
          WHERE trim(line, ' ') <> '' GROUP BY ALL),
 bad AS (SELECT s.source, s.line FROM seen s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source
-        WHERE s.pages >= 5 AND s.pages > t.site_pages * CAST(0.1 AS DOUBLE)),
+        WHERE s.pages >= 2 AND s.pages > t.site_pages * CAST(0.1 AS DOUBLE)),
 marked AS (SELECT l.r, l.line, l.pos, b.line IS NOT NULL AS gone
            FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.line),
 joined AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,

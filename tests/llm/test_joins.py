@@ -142,7 +142,7 @@ def test_lines(docs, corpus):
         for line in (r[1] or "").split("\n"):
             if line.strip(" "):
                 holders[(r[3], line.strip(" "))].add(i)
-    bad = {k for k, v in holders.items() if len(v) >= 5 and len(v) > 0.1 * pages[k[0]]}
+    bad = {k for k, v in holders.items() if len(v) >= 2 and len(v) > 0.1 * pages[k[0]]}
     expected = Counter()
     for r in corpus:
         lines = r[1].split("\n") if r[1] is not None else []
