@@ -5,7 +5,7 @@ the number of its characters outside of links, by the number of its tags. Ratios
 Gaussian; lines whose smoothed ratio reaches the ratios' standard deviation are content, and carry their region: the
 article that they stand in, outside of articles what their main element holds outside of articles, and else all lines
 of their parent element. An article or main element is carried only by a content line whose own ratio reaches that
-deviation too, so that a teaser isn't carried by its neighbours. Lines in elements that say that they are something
+deviation too, so that a teaser isn't carried by its neighbours, and a line that is all link carries nothing. Lines in elements that say that they are something
 else (navigation, forms, scripts, adverts, notices, reader comments and so on) take no part. Where only a class, id or
 role says so, an element that holds the page's article or most of its text takes part all the same, and a paragraph
 inside an article or main element goes by its own ratio.
@@ -39,6 +39,19 @@ BLOCK = frozenset(
     "tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre form fieldset legend figure figcaption address hr br center "
     "details summary dialog menu select option textarea button noscript template hgroup".split()
 )
+#: Elements whose end HTML takes as read where such a start tag comes, and those that it doesn't reach out of.
+_CELLS, _GROUPS = frozenset({"td", "th"}), frozenset({"thead", "tbody", "tfoot"})
+IMPLIED = {
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "option": (frozenset({"option"}), frozenset({"select", "datalist"})), "td": (_CELLS, frozenset({"table", "tr"})), "th": (_CELLS, frozenset({"table", "tr"})),
+    "tr": (_CELLS | {"tr"}, frozenset({"table"})), **{g: (_CELLS | _GROUPS | {"tr"}, frozenset({"table"})) for g in _GROUPS},
+}
+#: Start tags that end an open paragraph.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre section summary table ul".split()
+)
+_P_SCOPE = frozenset("button caption table td th template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
@@ -91,6 +104,10 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self._break()
         self.tags += 1
+        if tag in ENDS_P:
+            self._end(frozenset({"p"}), _P_SCOPE)
+        if tag in IMPLIED:
+            self._end(*IMPLIED[tag])
         if tag in VOID:
             return
         _, _, other, article, main, about, named, soft = self.open[-1]
@@ -130,8 +147,22 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self._break()
         if at:
-            self.links -= sum(x[0] == "a" for x in self.open[at:])
-            del self.open[at:]
+            self._leave(at)
+
+    def _end(self, ended, bounds):
+        """Leaves open elements of these tags, the outermost too, that no bound stands around."""
+        at = 0
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] in bounds:
+                break
+            if self.open[i][0] in ended:
+                at = i
+        if at:
+            self._leave(at)
+
+    def _leave(self, at):
+        self.links -= sum(x[0] == "a" for x in self.open[at:])
+        del self.open[at:]
 
     def handle_data(self, data):
         self.parts.append(data)
@@ -184,7 +215,7 @@ def main_text(html: str | None) -> str:
     ratio = smoothed(own)
     content, clear = ratio >= ratio.std(), own >= ratio.std()
     regions = [(4, x[4]) if x[4] else (5, x[5]) if x[5] else (3, x[3]) for x in lines]
-    chosen = {r for r, c, o in zip(regions, content, clear, strict=True) if c and (o or r[0] == 3)}
+    chosen = {r for r, c, o, x in zip(regions, content, clear, own, strict=True) if c and (o or r[0] == 3 and x > 0)}
     chosen = chosen or {r for r, c in zip(regions, content, strict=True) if c}
     return " ".join(x[0] for x, r, o in zip(lines, regions, clear, strict=True) if r in chosen and (o or not x[7]))
 

@@ -244,3 +244,28 @@ def test_page_column(spark):
     assert [r.t[:5] for r in rows.select(html_text.main_text_column().alias("t")).collect()] == ["A & B", ""]
     assert rows.filter("false").select(html_text.main_text_column()).count() == 0
     assert isinstance(pd.Series(dtype=object), pd.Series)
+
+
+LONG = "The page speaks at length about what its readers came for, in whole sentences, one after the other. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p class="ad">Buy now<p>{LONG}<p>Second: {LONG}</article>', f"{LONG}Second: {LONG}"),
+        (f'<main><p>{LONG}</p><ul><li class="share">Share<li>First of the items<li>Second of them</ul></main>', f"{LONG}First of the items Second of them"),
+        (f'<nav>Home</nav><div class="main-content alert"><p>{LONG * 3}</p></div>', LONG * 3),
+        (f'<div><section class="related work"><p>{LONG * 2}</p></section><section><p>{LONG}</p></section></div>', LONG * 3),
+        (f"<article><p>{LONG}<table><tr><td>One cell<td>another<tr><td>and a last one</table><dl><dt>word<dd>what it means</dl></article>", f"{LONG}One cell another and a last one word what it means"),
+    ],
+)
+def test_ends_that_html_takes_as_read(page, text):
+    assert html_text.main_text(page) == text.strip()
+
+
+def test_ratios_decide_where_no_element_does(monkeypatch):
+    links = "".join(f'<div><a href="/{i}">A teaser of another page, number {i}</a></div>' for i in range(9))
+    page = f"<body><div>{links}</div><div><p>{LONG * 3}</p><p>{LONG * 2}</p></div><div>{links}</div></body>"
+    assert html_text.main_text(page) == (LONG * 5).strip()
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma=1.0: np.ones(len(ratios)) * (len(ratios) > 0))
+    assert html_text.main_text(page) != (LONG * 5).strip()
