@@ -103,7 +103,7 @@ class Repeated:
             return pd.DataFrame({"n": [len(again)]})
 
         every = spark.range(0, shards, 1, 1).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"))
-        df.unionByName(every).groupBy("shard").applyInPandas(write, "n bigint").agg(F.sum("n")).first()
+        df.unionByName(every).repartition(shards, "shard").groupBy("shard").applyInPandas(write, "n bigint").agg(F.sum("n")).first()
         return cls(folder, shards)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:

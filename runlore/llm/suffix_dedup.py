@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .hash_files import HashFiles
+from .shared_files import removed
 from .words import mixed
 
 LENGTH, PASSAGE, GRAM = 400, 256, 128
@@ -210,10 +211,12 @@ def repeated_strings(docs: DataFrame, text: str = "text") -> HashFiles:
         return _values(found, rows["document"].to_numpy())
 
     pairs = "key bigint, value bigint"
-    found = documents(hot=False).withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(build, pairs)
+    found = documents(hot=False).withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition(shards, "shard").groupBy("shard").applyInPandas(build, pairs)
     if known.greatest > HOT:
         found = found.unionByName(_counted(documents(hot=True)))
-    return HashFiles.written(found, known.total)
+    made = HashFiles.written(found, known.total)
+    removed(docs.sparkSession, known.folder)
+    return made
 
 
 def _windows(document: bytes, anchor: int, start: int, length: int) -> np.ndarray:
