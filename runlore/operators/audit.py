@@ -109,7 +109,9 @@ def load_run_json(runs_json: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     data_json). A run with a violation yields nothing else: INVALID_JSON (not strict, a key repeats, a number is not
     finite), UNKNOWN_KEYS (missing or additional ones), METADATA (JSON and columns differ)."""
     from ..sources.schemas import EVENTS
+    from ..sources.traces import bounded_batches
 
+    bounded_batches(runs_json.sparkSession)
     event = EVENTS
     shape = f"code string, events array<struct<{event}>>, diagnostics array<struct<line: int, byte_offset: bigint, code: string, message: string>>"
 
