@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pairs of tokens and pieces of text that a worker remembers at most (pieces: until a batch goes beyond).
-MOST_PAIRS, MOST_PIECES = 1_000_000, 800_000
+MOST_PAIRS, MOST_PIECES = 700_000, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,8 +39,9 @@ class Vocabulary:
         self.joined: dict[tuple[int, int], int] = {}
         #: Tokens that merges lead to; others stand for a whole match only.
         self.reached: dict[bytes, int] = {}
-        #: Pairs of tokens that were looked at before, and whether they may stand side by side.
-        self.adjoining: dict[tuple[int, int], bool] = {}
+        #: Pairs of tokens (as one number) that were looked at before, and whether they may stand side by side.
+        self.adjoining: dict[int, bool] = {}
+        self.width = max(ranks.values()).bit_length()
         #: By last byte, the lengths of tokens that end in it, short ones first.
         ends: dict[int, set[int]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -128,7 +129,7 @@ class PrefixEncoding:
     def _extend(self, start: int, stop: int) -> None:
         """The entries from start to before stop. One token only fits each, so short ones are tried first."""
         data, last, v = self.data, self.last, self.vocabulary
-        ends, rank_of, known = v.ends, v.reached.get, v.adjoining
+        ends, rank_of, known, width = v.ends, v.reached.get, v.adjoining, v.width
         for end in range(start, stop):
             for length in ends[data[end - 1]]:
                 if length >= end:
@@ -140,12 +141,12 @@ class PrefixEncoding:
                 token = rank_of(data[end - length : end])
                 if token is None:
                     continue
-                pair = (last[end - length], token)
+                pair = last[end - length] << width | token
                 fits = known.get(pair)
                 if fits is None:
                     if len(known) >= MOST_PAIRS:
                         known.clear()
-                    fits = known[pair] = v.may_adjoin(*pair)
+                    fits = known[pair] = v.may_adjoin(last[end - length], token)
                 if fits:
                     last.append(token)
                     break
@@ -189,11 +190,11 @@ class Codec:
 def bpe_codes(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> Column:
     """A struct column of a whole text (null: empty): n_tokens, token_ids (array<int>), decoded (binary; equals the
     text's bytes). The vocabulary has a fixed size and is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared, name = df.sparkSession.sparkContext.broadcast((ranks, pattern)), _name(ranks, pattern)
 
     @F.pandas_udf("n_tokens bigint, token_ids array<int>, decoded binary")
     def coded(texts: pd.Series) -> pd.DataFrame:
-        codec = _codec(shared)
+        codec = _codec(shared, name)
         rows = [(len(x), x, codec.decode(s)) for s in codec.encode(texts) for x in [list(map(int, s.split()))]]
         return pd.DataFrame(rows, columns=["n_tokens", "token_ids", "decoded"])
 
@@ -203,11 +204,11 @@ def bpe_codes(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
 def bpe_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> Column:
     """A struct column of a whole text (null: empty): n_tokens, ids_sha256 (of the decimal ids joined by one space),
     decoded_sha256 (of the bytes that the ids decode to), without moving ids and bytes out of the workers."""
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared, name = df.sparkSession.sparkContext.broadcast((ranks, pattern)), _name(ranks, pattern)
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(_digests(_codec(shared), texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame(list(_digests(_codec(shared, name), texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests.asNondeterministic()(F.col(text))
 
@@ -218,12 +219,17 @@ def _digests(codec: Codec, texts: pd.Series) -> Iterator[tuple[int, str, str]]:
         yield (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), decoded
 
 
-#: Of a Python worker, as building the merge tables takes a second.
-_codecs: dict[int, Codec] = {}
+def _name(ranks: dict[bytes, int], pattern: str) -> str:
+    """The same for the same vocabulary and pattern alone."""
+    return hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
 
-def _codec(shared) -> Codec:
-    key = id(shared.value)
-    if key not in _codecs:
-        _codecs[key] = Codec(*shared.value)
-    return _codecs[key]
+#: Of a Python worker, as building the merge tables takes a second: the codec that it used last.
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(shared, name: str) -> Codec:
+    if name not in _codecs:
+        _codecs.clear()
+        _codecs[name] = Codec(*shared.value)
+    return _codecs[name]

@@ -90,7 +90,7 @@ def labelled_sample(
     return [(r["t"], r["y"]) for r in found.select("t", "y").toLocalIterator()], 0.5 if share is None else share
 
 
-def text_runs(texts: pd.Series, most: int = 2_000_000) -> Iterator[list[str | None]]:
+def text_runs(texts: pd.Series, most: int = 700_000) -> Iterator[list[str | None]]:
     """The texts of a batch in runs of bounded total length, or of one text."""
     run, size = [], 0
     for t in texts:

@@ -18,6 +18,8 @@ from .common import shared_dir
 
 #: Bytes of files out of other stores that a worker keeps.
 KEEP = 512_000_000
+#: Folders whose files a worker keeps mapped; those of older ones are let go.
+FOLDERS = 2
 _MAGIC = 0x52C3A11E
 
 
@@ -53,11 +55,15 @@ def put(folder: str, name: str, *arrays: np.ndarray) -> None:
 def arrays(folder: str, name: str) -> list[np.ndarray]:
     """The arrays of a file, as unsigned numbers of their widths."""
     key = f"{folder}/{name}"
-    if key in _maps:
-        return _maps[key]
+    if key in _maps.get(folder, {}):
+        return _maps[folder][key]
     store, path = _store(key)
     if isinstance(store, fs.LocalFileSystem):
-        return _maps.setdefault(key, _split(np.memmap(path, np.uint8, "r"), key))
+        if folder not in _maps:
+            while len(_maps) >= FOLDERS:
+                _maps.popitem(last=False)
+            _maps[folder] = {}
+        return _maps[folder].setdefault(key, _split(np.memmap(path, np.uint8, "r"), key))
     if key not in _read:
         with store.open_input_file(path) as file:
             _read[key] = _split(np.frombuffer(file.read(), np.uint8), key)
@@ -80,7 +86,7 @@ def _split(whole: np.ndarray, key: str) -> list[np.ndarray]:
 
 
 #: Of a Python worker.
-_maps: dict[str, list[np.ndarray]] = {}
+_maps: OrderedDict[str, dict[str, list[np.ndarray]]] = OrderedDict()
 _read: OrderedDict[str, list[np.ndarray]] = OrderedDict()
 
 
