@@ -202,8 +202,9 @@ def label_share(spark, sf_dir):
 FROM runs x JOIN runs y ON CAST(substr(y.run_id, 5) AS BIGINT) = CAST(substr(x.run_id, 5) AS BIGINT) + 1""")
 def compare_runs(spark, sf_dir):
     """Each run beside that of the next user, where there is one."""
-    runs, events, made = _stored(spark, sf_dir)
-    metrics = views.run_metrics(runs, events, made.classifications, made.alerts)
+    events = trace_events(spark, sf_dir)
+    runs, labelled = trace_runs(events), classify.label_steps(events)
+    metrics = views.run_metrics(runs, events, labelled, detect.detect_all(labelled))  # one revision each, so ids tell nothing
     following = F.concat(F.lit("run-"), (F.substring("run_id", 5, 20).cast("bigint") + 1).cast("string"))
     pairs = runs.select(F.col("run_id").alias("left_run_id"), following.alias("right_run_id"))
     plans = lambda s: F.coalesce(F.col(f"{s}_label_counts")["Plan"], F.lit(0)).cast("bigint").alias(f"{s}_plans")
