@@ -50,5 +50,6 @@ def small(df: DataFrame, most: int) -> bool:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches have few rows, as texts can be very long."""
+    """From now on Arrow batches have few rows and a bounded number of bytes, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
