@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,12 @@ def small_batches(spark: SparkSession) -> None:
     """From now on Arrow batches have few rows and a bounded number of bytes, as texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def let_go() -> None:
+    """Gives memory that a worker has freed back to the system, as idle workers stay beside their executor: that of Arrow's
+    pool, and, where the C library can, that of the heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

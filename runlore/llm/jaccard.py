@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few_parts, small
+from .common import checkpointed, few_parts, let_go, small
 from .components import components
 from .hash_files import HashFiles, Repeated
 from .shared_files import new_folder, removed, stored
@@ -180,7 +180,7 @@ def _send(sets, bands, rare, kind, at, band, need, out):
     return at[~enough], band[~enough], need[~enough]
 
 
-def _runs(texts: pd.Series, most: int = 1_000_000) -> Iterator[slice]:
+def _runs(texts: pd.Series, most: int = 300_000) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "") + 1
@@ -279,6 +279,7 @@ def _sent(texts: DataFrame, k: int, known, shards: int) -> DataFrame:
                     held, n = [], 0
         if n:
             yield Repeated.packed(np.concatenate(held), shards)
+        let_go()
 
     return texts.mapInPandas(sends, "shard int, keys binary")
 
@@ -342,6 +343,7 @@ def _meeting(texts: DataFrame, k: int, known, again: Repeated) -> DataFrame:
                     "node": s.node[at].view(np.int64), "copies": copies[back[at]], "n": s.size[at],
                     "signatures": np.split(signature, first[1:]) if len(at) else [], "bitmap": [next(bitmaps) if x else None for x in new],
                 })
+        let_go()
 
     return texts.mapInPandas(meets, "node bigint, copies bigint, n bigint, signatures array<bigint>, bitmap binary")
 
@@ -404,6 +406,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, data: str, linked) -> DataFrame
     def meets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.loc[[linked(x, y, m, n) for x, y, m, n in zip(b["x"], b["y"], b["m"], b["n"], strict=True)], ["a", "b"]]
+        let_go()
 
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col(data).alias("x"))
     y = sets.select(F.col("node").alias("b"), "n", F.col(data).alias("y"))
