@@ -87,7 +87,7 @@ class Repeated:
         shard, key = shard[keep], key[keep]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.zeros(1, np.int64)
         runs = list(zip(cuts[:-1], cuts[1:], strict=True))
-        return pd.DataFrame({"shard": [int(shard[a]) for a, _ in runs], "keys": [key[a:b].tobytes() for a, b in runs]})
+        return pd.DataFrame({"shard": [int(shard[a]) for a, _ in runs], "keys": pd.Series([key[a:b].tobytes() for a, b in runs], dtype=object)})
 
     @classmethod
     def written(cls, df: DataFrame, shards: int) -> Repeated:

@@ -284,6 +284,12 @@ def _sent(texts: DataFrame, k: int, known, shards: int) -> DataFrame:
     return texts.mapInPandas(sends, "shard int, keys binary")
 
 
+def _values(found: list) -> pd.Series:
+    """A column of arrays or bytes. Without a kind named, pandas takes one without rows for a column of floats, which Arrow
+    does not turn into the column that is due."""
+    return pd.Series(found, dtype=object)
+
+
 def _once(s: Sets, seen: set[int]) -> Sets:
     """The sets without those whose node stands before or has been seen, as if these were empty."""
     fresh = np.zeros(len(s.node), bool)
@@ -339,9 +345,10 @@ def _meeting(texts: DataFrame, k: int, known, again: Repeated) -> DataFrame:
                 at, first = np.unique(doc, return_index=True)
                 new = _once(Sets(s.doc, s.token, s.size[at], s.first[at], s.node[at]), seen).size > 0
                 bitmaps = iter(_bitmaps(s, at[new]))
+                signatures = np.split(signature, first[1:]) if len(at) else []
                 yield pd.DataFrame({
                     "node": s.node[at].view(np.int64), "copies": copies[back[at]], "n": s.size[at],
-                    "signatures": np.split(signature, first[1:]) if len(at) else [], "bitmap": [next(bitmaps) if x else None for x in new],
+                    "signatures": _values(signatures), "bitmap": _values([next(bitmaps) if x else None for x in new]),
                 })
         let_go()
 
@@ -365,7 +372,7 @@ def _tokens(texts: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, folder:
                 s = _once(Sets(s.doc, s.token, np.where(right, s.size, 0), s.first, s.node), seen)
                 found = np.flatnonzero(s.size)
                 made = [s.token[s.first[i] : s.first[i] + s.size[i]].tobytes() for i in found]
-                yield pd.DataFrame({"node": s.node[found].view(np.int64), "tokens": made})
+                yield pd.DataFrame({"node": s.node[found].view(np.int64), "tokens": _values(made)})
 
     hashed = texts.select("text", F.xxhash64("text").alias("text_hash"))
     read_again = stored(hashed.mapInPandas(read, "node bigint, tokens binary"), folder, name)

@@ -194,7 +194,7 @@ def repeated_strings(docs: DataFrame, text: str = "text") -> HashFiles:
                         at, n, again = at[first][new], n[new], seen[new] > 0  # bytes go once, and no more copies than tell
                         yield pd.DataFrame({
                             "document": document[at].view(np.int64), "anchor": hashes[at].view(np.int64), "start": (_LEFT - (place[at] - left[at])).astype(np.int32),
-                            "bytes": [None if x else raw[y:z].tobytes() for x, y, z in zip(again, left[at], right[at], strict=True)], "copies": n,
+                            "bytes": pd.Series([None if x else raw[y:z].tobytes() for x, y, z in zip(again, left[at], right[at], strict=True)], dtype=object), "copies": n,
                         })
 
         return texts.mapInPandas(made, "document bigint, anchor bigint, start int, bytes binary, copies bigint")

@@ -61,6 +61,16 @@ def test_one_of_each_component_stays(docs, corpus):
     assert kept.count() == wordless + sum(bool(shingles(corpus[g[0]][1], 5)) for g in groups)
 
 
+def test_texts_without_a_repeated_signature(spark):
+    """Runs of texts that meet nothing, and a table of texts of which none meets another."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**12, 60))) for i in range(40)] + [(40, None), (41, "")]
+    alone = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = jaccard.jaccard_components(alone, 3, 90).collect()
+    assert sorted((r.id, r.component_id) for r in found) == [(i, i) for i in range(42)]
+    assert jaccard.drop_near_duplicates(alone, 5, 80).count() == 42
+
+
 def test_empty_joins(no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0 and jaccard.drop_near_duplicates(no_docs).count() == 0
     assert suffix_dedup.without_repeats(no_docs).count() == 0 and line_dedup.drop_boilerplate_lines(no_docs).count() == 0

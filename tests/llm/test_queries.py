@@ -1,13 +1,17 @@
 """The contract columns of the queries over the smallest tables, against plain Python."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
 from math import log10
 
+import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 
-from runlore.llm import queries
+from runlore.llm import bpe, queries
 from runlore.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +60,29 @@ def test_op3(spark):
     assert len(rows) == table(spark, SF, "pages").count() and all(r.n_chars == len(r.text) and r.text == r.text.strip() for r in rows)
 
 
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op5_jaccard", "op9_top_k"])
+def test_against_sql(spark, name):
+    """Queries with SQL, over the smallest tables, against DuckDB's rows."""
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    rows = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(rows)
+
+
+def test_op6(spark, texts):
+    df = queries.op6_bpe(spark, SF)
+    assert kinds(df, 4) == ["doc_id:bigint", "n_tokens:bigint", "ids_sha256:string", "decoded_sha256:string"]
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    for r in df.collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids)).encode()), digest(texts[r.doc_id].encode()))
+
+
 def test_op7(spark, texts):
     df = queries.op7_quality(spark, SF)
     assert kinds(df, 6) == ["doc_id:bigint", "n_words:bigint", "word_chars:bigint", "n_symbols:bigint", "n_dup_lines:bigint", "n_repeat_words:bigint"]
