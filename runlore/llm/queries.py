@@ -9,14 +9,17 @@ from .common import small_batches, table
 from .bpe import bpe_digests, read_ranks
 from .html_text import main_text_column
 from .jaccard import jaccard_components
+from .language_id import fit_language_id, language
 from .language_model import language_model_scores, train_language_model
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import each_row, mix_decisions
 from .oracles import JACCARD_SQL, REPEATS_SQL
+from .prefix_trie import conversation_keys, prefix_nodes, with_shared_starts
 from .quality import fit_quality, quality
 from .suffix_dedup import without_repeats
 from .toxicity import fit_toxicity, toxicity_score
 from .vector_search import TOP_K_SQL, top_k
+from .whitening import whitened
 
 
 def _remainder(doc_id: Column, n: int) -> Column:
@@ -115,7 +118,30 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op5_jaccard": op5_jaccard, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the 32 leading components: vec_id, component, n, deviation, whitened,
+    explained, identity_error."""
+    found = whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children,
+    n_leaves, saved_tokens, ends_sha256."""
+    return prefix_nodes(with_shared_starts(conversation_keys(table(spark, sf_dir, "conversations"))))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out: doc_id, held_out, lang_pred, score. A null
+    id is not held out, nor is it learnt from."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_id(docs, where=_remainder(F.col("doc_id"), 4) != 2)
+    scored = docs.select("doc_id", language(docs, model).alias("x"))
+    return scored.select("doc_id", F.coalesce(_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "x.lang_pred", "x.score")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op5_jaccard": op5_jaccard, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score, "op11_whitening": op11_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_language_id": op13_language_id}
 
 ORACLES = {
     "op2_suffix_dedup": REPEATS_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_jaccard": JACCARD_SQL, "op9_top_k": TOP_K_SQL,
