@@ -92,9 +92,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        if not self.languages:
-            return np.zeros((len(texts), 0))
+    def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text those of all languages, and whether it has a letter."""
         bucket, n = gram_buckets(texts)
         rows, sums = self.row[bucket], np.zeros((len(texts), len(self.languages)))
         some = np.flatnonzero(n)
@@ -102,7 +101,8 @@ class LanguageModel:
         for c in range(len(self.languages)):
             if len(some):
                 sums[some, c] = np.add.reduceat(self.weights[c][rows], starts, dtype=np.float64)
-        return _softmax((sums * (SCALE / np.maximum(n, 1))[:, None] + self.bias) / self.temperature)
+        values = (sums * (SCALE / np.maximum(n, 1))[:, None] + self.bias) / self.temperature
+        return _softmax(values) if self.languages else sums, n > 0
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -233,20 +233,13 @@ def language(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        model, names, scores = shared.value, [], []
+        names, scores = [], []
         for run in text_runs(texts, RUN):
-            p = model.probabilities(run)
-            if p.shape[1]:
-                best = p.argmax(axis=1)
-                names += [model.languages[i] for i in best]
-                scores += p[np.arange(len(run)), best].tolist()
-            else:
-                names += [UNKNOWN] * len(run)
-                scores += [0.0] * len(run)
+            p, lettered = shared.value.probabilities(run)
+            best = p.argmax(axis=1) if p.shape[1] else np.zeros(len(run), int)
+            lettered &= p.shape[1] > 0
+            names += [shared.value.languages[i] if ok else UNKNOWN for i, ok in zip(best, lettered, strict=True)]
+            scores += [float(own[i]) if ok else 0.0 for own, i, ok in zip(p, best, lettered, strict=True)]
         return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    lettered = F.coalesce(F.col(text).rlike(_LETTER), F.lit(False))
-    found = predicted.asNondeterministic()(F.col(text))
-    return F.struct(
-        F.when(lettered, found["lang_pred"]).otherwise(UNKNOWN).alias("lang_pred"), F.when(lettered, found["score"]).otherwise(0.0).alias("score")
-    )
+    return predicted.asNondeterministic()(F.col(text))  # so that it is not computed once for each of its fields

@@ -137,8 +137,8 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language_id(docs, where=_remainder(F.col("doc_id"), 4) != 2)
-    scored = docs.select("doc_id", language(docs, model).alias("x"))
-    return scored.select("doc_id", F.coalesce(_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "x.lang_pred", "x.score")
+    held_out = F.coalesce(_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return docs.select("doc_id", held_out, language(docs, model).alias("x")).select("doc_id", "held_out", "x.*")
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_line_dedup": op4_line_dedup, "op5_jaccard": op5_jaccard, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_top_k": op9_top_k, "op10_lm_score": op10_lm_score, "op11_whitening": op11_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_language_id": op13_language_id}
