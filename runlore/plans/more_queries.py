@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, candidates, contracts, redaction
-from ..sources import schemas, traces
+from ..sources import commit_log, schemas, traces
 from ..streaming.traces import import_traces_stream
 from .driver_views import guid_sql, stored_events, stored_runs, table, trace_events
 from .queries import query
@@ -79,6 +79,44 @@ def enforce_import_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "run=(run-[0-9]+)", 1).alias("run_id"), "code")
 
 
+_IMPORTS_SQL = """SELECT run_id, n, CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 AS bad FROM (SELECT run_id, events + CASE WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS n FROM runs)"""
+
+
+@query(f""", files AS ({_IMPORTS_SQL})
+SELECT 0 AS import, run_id, CASE WHEN n > 70 THEN 'Rejected' WHEN bad THEN 'Partial' ELSE 'Imported' END AS outcome, CASE WHEN n > 70 THEN 'RECORD_COUNT_LIMIT' END AS code FROM files
+UNION ALL SELECT 1, run_id, CASE WHEN n <= 70 THEN 'Duplicate' WHEN bad THEN 'Partial' ELSE 'Imported' END, NULL FROM files
+UNION ALL SELECT 2, run_id, 'Duplicate', NULL FROM files
+UNION ALL SELECT 3, run_id, CASE WHEN n > 60 THEN 'Rejected' ELSE 'Duplicate' END, CASE WHEN n > 60 THEN 'RECORD_COUNT_LIMIT' END FROM files""")
+def store_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three imports of all files and a stream over them have told, as one store keeps it: the first rejects files of more
+    than 70 records, the second and third take all, the stream rejects those of more than 60."""
+    path, store = _written_traces(spark, sf_dir), _folder(spark, "store")
+    for limits in (traces.ImportLimits(records=70), traces.ImportLimits(), traces.ImportLimits()):
+        traces.import_traces(spark, path, store, limits)
+    import_traces_stream(spark, path, store, traces.ImportLimits(records=60)).awaitTermination()
+    done = commit_log.commits(spark, store)
+    number = F.create_map(*[x for c in done for x in (F.lit(c.id), F.lit(c.number))])[F.col("import_id")]
+    rows = commit_log.read(spark, store, "outcomes", schemas.OUTCOMES, done)
+    return rows.select(number.alias("import"), F.regexp_extract("path", "run=(run-[0-9]+)", 1).alias("run_id"), "outcome", "code")
+
+
+@query("""SELECT run_id, CAST(s + 1 AS INTEGER) AS line, s AS sequence, byte_offset FROM (
+SELECT run_id, sequence AS s, CAST(sum(strlen(line) + 1) OVER (PARTITION BY run_id ORDER BY sequence) - strlen(line) - 1 AS BIGINT) AS byte_offset FROM (
+SELECT *, '{"timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') || '","kind":"' || kind || '","actor":"' || CASE WHEN kind IN ('Error', 'ToolResult') THEN 'tool' ELSE 'agent' END
+|| '","summary":"' || summary || '","payload":' || payload || '}' AS line FROM te))""")
+def split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and byte offsets of all records, of files that are cut in ranges of 2,000 bytes by tasks of their own."""
+    conf, name = spark.conf, "spark.sql.files.maxPartitionBytes"
+    before, path = conf.get(name), _written_traces(spark, sf_dir)
+    conf.set(name, "2000")
+    try:
+        made = traces.import_paths(spark, path, spark.createDataFrame([], schemas.RUNS), _folder(spark, "ranges"))
+    finally:
+        conf.set(name, before)
+    paths = made.outcomes.select("run_id", F.regexp_extract("path", "run=(run-[0-9]+)", 1).alias("name"))
+    return made.events.join(paths, "run_id").select(F.col("name").alias("run_id"), "source.line", "sequence", "source.byte_offset")
+
+
 def _damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A store with defects by rule: index rows of run numbers 7, 17, ... have another kind at sequence 1 and lack
     sequence 2; runs 5, 15, ... are missing; sources of runs 3, 13, ... are foreign."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import strict_json
 from ..operators.analysis import guid_from_hash
+from . import commit_log, line_ranges
+from .commit_log import exists, removed
 from .schemas import EVENT_KINDS, RUNS
 
 ADAPTER, ADAPTER_VERSION = "generic-jsonl", "1.0.0"
@@ -73,7 +77,7 @@ def _empty_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
-def oversize_files(spark: SparkSession, path: str, limits: ImportLimits = ImportLimits()) -> DataFrame:
+def oversize_files(spark: SparkSession, path: str | list[str], limits: ImportLimits = ImportLimits()) -> DataFrame:
     """path and code of files beyond the limit of bytes; their content is not read."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     return files.filter(F.col("length") > limits.total_bytes).select("path", F.lit("TOTAL_BYTES_LIMIT").alias("code"))
@@ -187,7 +191,7 @@ def assign_sequence(events: DataFrame) -> DataFrame:
 
 def event_identity(events: DataFrame) -> DataFrame:
     """content_sha256 of the record's bytes, and an event_id that follows from run, sequence and content."""
-    hashed = events.withColumn("content_sha256", F.sha2("record", 256))
+    hashed = events if "content_sha256" in events.columns else events.withColumn("content_sha256", F.sha2("record", 256))
     whole = F.concat_ws(":", F.replace("run_id", F.lit("-"), F.lit("")), F.col("sequence").cast("string"), F.col("content_sha256"))
     return hashed.withColumn("event_id", guid_from_hash(F.sha2(whole, 256)))
 
@@ -229,22 +233,20 @@ class Imported:
         return self.events.select("run_id", "sequence", "event_id", "kind", "content_sha256")
 
 
-def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None, keep: str | None = None) -> Imported:
-    """The import of described files against stored runs. Nothing of a rejected file is stored; a file of bad lines
-    alone is stored as Partial without events. keep: a new folder for the parsed lines, so that files are cut and parsed
-    once however often they are used."""
+def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> Imported:
+    """The import of files that are read whole (read_trace_files) against stored runs, each cut by one task. Nothing is kept
+    on the way, so contents are read for each of its frames; import_paths is the way for a store."""
     lines = split_records(files, limits)
     parsed = parse_records(lines)
-    if keep:
-        parsed.write.parquet(f"{keep}/parsed")
-        lines.filter(F.col("raw_bytes") > limits.record_bytes).write.parquet(f"{keep}/long")
-        parsed = files.sparkSession.read.schema(parsed.schema).parquet(f"{keep}/parsed")
-        lines = files.sparkSession.read.schema(lines.schema).parquet(f"{keep}/long")
     rejected = enforce_import_limits(lines, parsed, limits)
-    kept = files.join(rejected.select("path"), "path", "left_anti")
-    firsts = dedupe_imports(kept, existing_runs)
-    new = firsts.filter("first").select("path")
-    mine = project_events(parsed.join(new, "path", "left_semi"))
+    firsts = dedupe_imports(files.join(rejected.select("path"), "path", "left_anti"), existing_runs)
+    new = files.join(firsts.filter("first").select("path"), "path", "left_semi")
+    mine = project_events(parsed.join(new.select("path"), "path", "left_semi"))
+    return _imported(assign_sequence(mine.filter("code is null")).unionByName(mine.filter("code is not null"), allowMissingColumns=True), new, firsts, rejected, imported_at)
+
+
+def _imported(mine: DataFrame, new: DataFrame, firsts: DataFrame, rejected: DataFrame, imported_at: Column | None) -> Imported:
+    """From the projected lines, numbered where they are valid, of new files."""
     diagnostics = mine.filter("code is not null").select(
         "run_id", "line", "byte_offset", "code",
         F.when(F.col("code") == "INVALID_JSON", "Record is not a JSON object.").otherwise("Record has a field of a wrong type.").alias("message"),
@@ -252,12 +254,11 @@ def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimit
     source = F.struct(
         F.lit(ADAPTER).alias("adapter"), "input_sha256", F.col("name").alias("relative_path"), "byte_offset", "line", F.lit("/").alias("json_pointer")
     )
-    valid = event_identity(assign_sequence(mine.filter("code is null")))
-    events = valid.select(
+    events = event_identity(mine.filter("code is null")).select(
         "event_id", "run_id", "sequence", "ts_text", "timestamp", "kind", "actor", "summary", "payload", "tool", source.alias("source"),
         F.array().cast("array<struct<name:string,path:string,sha256:string>>").alias("artifacts"), "content_sha256",
     )
-    runs = files.join(new, "path", "left_semi").select(
+    runs = new.select(
         "run_id", "name", "input_sha256", F.lit(ADAPTER).alias("adapter"), F.lit(ADAPTER_VERSION).alias("adapter_version"),
         (imported_at if imported_at is not None else F.current_timestamp()).alias("imported_at"),
     )
@@ -268,57 +269,122 @@ def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimit
     return Imported(outcomes.unionByName(refused), runs, events, diagnostics)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything at a path of any store that Spark reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
+TABLES = ("events", "diagnostics", "event_index", "runs", "outcomes")
 
-def removed(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
+def described_files(spark: SparkSession, paths: str | list[str], limits: ImportLimits = ImportLimits(), empty: list[str] | None = None) -> DataFrame:
+    """path, file (as Spark's metadata tells it), length, input_sha256, name, run_id and bom (whether it begins with a byte
+    order mark that the text reader takes off) of the files up to the limit of bytes, empty ones included (empty: their
+    paths, where they are known)."""
+    meta = F.col("_metadata")
+    files = spark.read.format("binaryFile").load(paths).filter(F.col("length") <= limits.total_bytes)
+    bom = (F.substring("content", 1, 3) == F.lit(line_ranges.BOM)) & ~meta["file_name"].rlike(line_ranges.PACKED)
+    files = files.select("path", meta["file_path"].alias("file"), "length", F.sha2("content", 256).alias("input_sha256"), bom.alias("bom"))
+    if empty is None:
+        empty = [p for x in ([paths] if isinstance(paths, str) else paths) for p in _empty_files(spark, x)]
+    if empty:
+        made = spark.createDataFrame([(p,) for p in empty], "path string")
+        none = F.lit(hashlib.sha256(b"").hexdigest())
+        files = files.unionByName(made.select("path", F.col("path").alias("file"), F.lit(0).cast("bigint").alias("length"), none.alias("input_sha256"), F.lit(False).alias("bom")))
+    return files.withColumn("name", F.substring_index("path", "/", -1)).withColumn("run_id", run_id())
+
+
+def import_paths(
+    spark: SparkSession, paths: str | list[str], existing_runs: DataFrame, keep: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None,
+    empty: list[str] | None = None,
+) -> Imported:
+    """The import of files against stored runs. Contents are read twice, once whole for their hash and once in ranges of bytes,
+    which are cut and parsed by a task each; all else reads what that has left in keep, a new folder. Nothing of a rejected
+    file is stored; a file of bad lines alone is stored as Partial without events."""
+    bounded_batches(spark)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{keep}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{keep}/{name}")
+
+    files = kept(described_files(spark, paths, limits, empty), "files")
+    cut = line_ranges.with_marks_alone(kept(line_ranges.cut_ranges(spark, paths, limits, _parse), "cut"), files)
+    sums = cut.filter("is_range").groupBy("file").agg(F.sum("raw_bytes").alias("records"), F.sum("place").alias("valid"), F.sum("too_long").alias("long"))
+    may_break = (F.col("records") > limits.records) | (F.col("valid") >= limits.events) | (F.col("long") > 0)
+    marked = files.filter("bom").select("file", F.lit(True).alias("marked"))  # its first record may be longer than the reader tells
+    suspects = sums.join(marked, "file", "left").filter(may_break | F.coalesce("marked", F.lit(False))).select("file").join(files.select("file", "path", "bom"), "file")
+    lines = line_ranges.placed(cut, line_ranges.range_starts(cut, suspects))
+    rejected = kept(enforce_import_limits(lines, lines.filter("not blank"), limits), "rejected")  # of these files' lines alone
+    firsts = kept(dedupe_imports(files.join(rejected.select("path"), "path", "left_anti"), existing_runs), "firsts")
+    new = files.join(firsts.filter("first").select("path"), "path", "left_semi")
+    starts = kept(line_ranges.range_starts(cut, new.select("file", "bom", "path", "run_id", "name", "input_sha256")), "starts")
+    mine = line_ranges.placed(cut, starts).filter("not blank")
+    return _imported(project_events(mine), new, firsts, rejected, imported_at)
+
+
+def stored(spark: SparkSession, store: str, name: str, schema: str, after: int = -1) -> DataFrame:
+    """A table of the store, as its committed imports (those with greater numbers than after) hold it: a run counts once, as
+    each import is committed against all that came before. Empty where nothing is stored yet, an error where it can't be
+    read. A filter on import_id prunes folders."""
+    if not commit_log.commits(spark, store) and exists(spark, f"{store}/{name}"):
+        spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{store}/{name}").limit(1).collect()  # an error if it is no table
+    found = commit_log.read(spark, store, name, schema, commit_log.commits(spark, store, after))
+    return found.select(*[f.name for f in StructType.fromDDL(schema)])
+
+
+def store_import(made: Imported, store: str, import_id: str, too_large: DataFrame | None = None, batch: int | None = None, seen: int = -1) -> str:
+    """Writes an import's rows to folders of its own and commits them; returns the id that they are committed under. If
+    imports were committed since the entry seen (-1: none was looked at), runs that these hold are duplicates now:
+    the rows are written again without them, under a new id. A batch that is committed already is not committed again."""
+    spark = made.runs.sparkSession
+    outcomes = made.outcomes if too_large is None else made.outcomes.unionByName(too_large)
+    frames = {
+        "events": made.events, "diagnostics": made.diagnostics, "runs": made.runs, "outcomes": outcomes.withColumn("batch", F.lit(batch).cast("bigint")),
+    }
+    put = lambda: {t: _put(df, store, t, import_id) for t, df in frames.items()}
+    rows = put()
+    rows["event_index"] = _put(replace(made, events=rows["events"]).event_index, store, "event_index", import_id)  # events are worked out once
+    while True:
+        newer = commit_log.commits(spark, store, seen)
+        if batch is not None and any(c.batch == batch for c in newer):
+            return import_id
+        if newer:
+            seen = newer[-1].number
+            taken = commit_log.read(spark, store, "runs", RUNS, newer).select("run_id")
+            clash = rows["runs"].join(taken, "run_id", "left_semi").select("run_id").distinct()
+            if not clash.isEmpty():
+                import_id = new_import_id()
+                duplicate = F.when(F.col("t").isNotNull(), "Duplicate").otherwise(F.col("outcome"))
+                told = rows["outcomes"].join(clash.withColumn("t", F.lit(True)), "run_id", "left").withColumn("outcome", duplicate).drop("t")
+                frames = {t: df.join(clash, "run_id", "left_anti") for t, df in rows.items()} | {"outcomes": told.select(*rows["outcomes"].columns)}
+                rows = put()
+        if commit_log.try_commit(spark, store, commit_log.Commit(seen + 1, import_id, TABLES, batch)):
+            return import_id
+
+
+def _put(df: DataFrame, store: str, table: str, import_id: str) -> DataFrame:
+    where = commit_log.folder(store, table, import_id)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
-def stored(spark: SparkSession, store: str, name: str, schema: str) -> DataFrame:
-    """A table of the store; empty where nothing is stored yet, an error where it can't be read.
 
-    A run counts once, with the import that has the smallest import_id of those that stored it; rows of other tables count
-    where their import is the one of their run. So what an import left that failed before its runs were stored is never seen,
-    nor is what a second import stored that ran beside the first."""
-    if not exists(spark, f"{store}/{name}"):
-        return spark.createDataFrame([], schema)
-    if name == "outcomes":
-        return spark.read.schema(schema).parquet(f"{store}/{name}")
-    runs = spark.read.schema(f"{RUNS}, import_id string").parquet(f"{store}/runs") if exists(spark, f"{store}/runs") else None
-    if runs is None:
-        return spark.createDataFrame([], schema)
-    names = [x.name for x in spark.createDataFrame([], schema).schema]
-    if name == "runs":
-        whole = runs.groupBy("run_id").agg(F.min_by(F.struct(*runs.columns), "import_id").alias("r"))
-        return whole.select("r.*").select(*names)
-    first = runs.groupBy("run_id").agg(F.min("import_id").alias("import_id"))
-    rows = spark.read.schema(f"{schema}, import_id string").parquet(f"{store}/{name}")
-    return rows.join(first, ["run_id", "import_id"], "left_semi").select(*names)
+def new_import_id() -> str:
+    return uuid.uuid4().hex
 
 
-def store_import(made: Imported, store: str, import_id: str) -> None:
-    """Appends an import's rows under its id. Runs go last: they make the others count."""
-    for name, rows in (("events", made.events), ("diagnostics", made.diagnostics), ("event_index", made.event_index), ("runs", made.runs)):
-        rows.withColumn("import_id", F.lit(import_id)).write.mode("append").parquet(f"{store}/{name}")
+def _oversize(spark: SparkSession, paths: str | list[str], limits: ImportLimits) -> DataFrame:
+    return oversize_files(spark, paths, limits).select("path", F.lit(None).cast("string").alias("run_id"), F.lit("Rejected").alias("outcome"), "code")
 
 
-def new_import_id() -> str:
-    return uuid.uuid4().hex
+def import_traces(spark: SparkSession, path: str | list[str], store: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> DataFrame:
+    """Imports all files at path into the store and returns their outcomes, which stay in the store, as those of all imports
+    do. One that failed can be repeated: its rows without a commit don't count."""
+    return _import(spark, path, store, limits, imported_at)
 
 
-def import_traces(spark: SparkSession, path: str, store: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> DataFrame:
-    """Imports all files at path into the store and returns their outcomes. One that failed can be repeated: its rows
-    without runs don't count."""
+def _import(
+    spark: SparkSession, path: str | list[str], store: str, limits: ImportLimits, imported_at: Column | None = None, batch: int | None = None, empty: list[str] | None = None
+) -> DataFrame:
     number = new_import_id()
     keep = f"{store}/_importing-{number}"
-    made = import_files(read_trace_files(spark, path, limits), stored(spark, store, "runs", RUNS), limits, imported_at, keep)
-    too_large = oversize_files(spark, path, limits).select("path", F.lit(None).cast("string").alias("run_id"), F.lit("Rejected").alias("outcome"), "code")
-    made.outcomes.unionByName(too_large).write.mode("overwrite").parquet(f"{store}/outcomes")  # before its runs are stored
-    store_import(made, store, number)
+    before = commit_log.commits(spark, store)
+    known = commit_log.read(spark, store, "runs", RUNS, before)
+    made = import_paths(spark, path, known, keep, limits, imported_at, empty)
+    number = store_import(made, store, number, _oversize(spark, path, limits), batch, before[-1].number if before else -1)
     removed(spark, keep)
-    return spark.read.schema(made.outcomes.schema).parquet(f"{store}/outcomes")
+    return spark.read.schema(made.outcomes.schema).parquet(commit_log.folder(store, "outcomes", number))

@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.schemas import BINARY_FILES, OUTCOMES, RUNS
-from ..sources.traces import ImportLimits, _described, import_files, new_import_id, removed, store_import, stored
+from ..sources.commit_log import commits
+from ..sources.line_ranges import escaped
+from ..sources.traces import ImportLimits, _import
+from .file_names import FileNames
+
+#: Bytes of the files of a batch, unless one file alone has more.
+BATCH_BYTES = 64 << 30
 
 
-def import_traces_stream(spark: SparkSession, directory: str, store: str, limits: ImportLimits = ImportLimits()) -> StreamingQuery:
-    """Imports the files of a directory that have not been seen, then stops. A batch that runs again after a failure
-    finds what runs it has stored, and imports the others under a new id, under which alone their rows count. Outcomes of all
-    files are appended to the store's outcomes before the runs, with the batch's number, in one file, so that they are there
-    as a whole or not at all; a batch that runs again keeps those of its first time. Spark's stream of binary files passes
-    over empty files."""
+def import_traces_stream(
+    spark: SparkSession, directory: str, store: str, limits: ImportLimits = ImportLimits(), batch_bytes: int = BATCH_BYTES, keep_on: bool = False
+) -> StreamingQuery:
+    """Imports the files of a directory that have not been seen, in batches of bounded bytes, then stops; or goes on
+    with those that arrive (keep_on). Files without a byte are runs without events, those beyond the limit of bytes are
+    rejected without being read. Each batch is an import: its rows and outcomes count by one entry in the store's log, which
+    has the batch's number, so a batch that runs again after a failure is imported once. A directory may be given as a
+    pattern whose last parts are wildcards; what is below its fixed part is read."""
 
     def batch(files: DataFrame, number: int) -> None:
         session = files.sparkSession
-        small = _described(files.select("path", "length", "content").filter(files["length"] <= limits.total_bytes))
-        import_id = new_import_id()
-        keep = f"{store}/_importing-{import_id}"
-        made = import_files(small, stored(session, store, "runs", RUNS), limits, keep=keep)
-        if stored(session, store, "outcomes", OUTCOMES).filter(F.col("batch") == number).isEmpty():
-            none = F.lit(None).cast("string").alias("run_id")
-            too_large = files.filter(files["length"] > limits.total_bytes).select(
-                "path", none, F.lit("Rejected").alias("outcome"), F.lit("TOTAL_BYTES_LIMIT").alias("code")
-            )
-            outcomes = made.outcomes.unionByName(too_large).withColumn("batch", F.lit(number).cast("bigint"))
-            outcomes.repartition(1).write.mode("append").parquet(f"{store}/outcomes")
-        store_import(made, store, import_id)
-        removed(session, keep)
-
-    files = spark.readStream.format("binaryFile").schema(BINARY_FILES).load(directory)
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{store}/_stream").trigger(availableNow=True).start()
+        if any(c.batch == number for c in commits(session, store)):
+            return
+        named = files.select("path", "length").collect()  # of one batch, so their number is bounded
+        if named:
+            empty = [r["path"] for r in named if not r["length"]]
+            _import(session, [escaped(r["path"]) for r in named], store, limits, batch=number, empty=empty)
+
+    spark.dataSource.register(FileNames)
+    fixed = directory.partition("*")[0].rpartition("/")[0] if "*" in directory else directory
+    options = {"path": fixed, "log": f"{store}/_stream_files", "max_bytes": str(batch_bytes), "file_bytes": str(limits.total_bytes)}
+    files = spark.readStream.format("runlore_file_names").options(**options).load()
+    query = files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{store}/_stream").trigger(processingTime="0 seconds").start()
+    if not keep_on:
+        threading.Thread(target=_stopped_when_done, args=(query,), daemon=True).start()
+    return query
+
+
+def _stopped_when_done(query: StreamingQuery) -> None:
+    """Stops a stream once it has imported all that it finds; a failure ends it with its own error."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
