@@ -21,7 +21,8 @@ def word_features(words: Words, at: np.ndarray, low: int, high: int, buckets: in
     shown = " ".join(f"<{data[s:e].decode('utf-8', 'replace')}>" for s, e in zip(words.starts[at], words.ends[at], strict=True))
     codes = np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     gap = codes == 32
-    word = np.cumsum(gap)
+    word = np.cumsum(gap, dtype=np.int32)
+    bucket_of = lambda h: ((mixed(h) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
     found_word, found_bucket = [], []
     for n in range(low, high + 1):
         m = len(codes) - n + 1
@@ -32,17 +33,17 @@ def word_features(words: Words, at: np.ndarray, low: int, high: int, buckets: in
             h += codes[j : j + m] * _ODD[j]
         ok = (word[:m] == word[n - 1 :]) & ~gap[:m]  # a gap starts the next word's number
         found_word.append(word[:m][ok])
-        found_bucket.append(mixed(h[ok]))
-    found_word.append(np.arange(len(at)))
-    found_bucket.append(mixed(words.hashes[at] + _ODD[15]))
-    return np.concatenate(found_word), ((np.concatenate(found_bucket) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        found_bucket.append(bucket_of(h[ok]))
+    found_word.append(np.arange(len(at), dtype=np.int32))
+    found_bucket.append(bucket_of(words.hashes[at] + _ODD[15]))
+    return np.concatenate(found_word), np.concatenate(found_bucket)
 
 
 class Bags:
     """Rows as sparse sums: entry i adds weight i (1 without weights) times the value of feature i to row i."""
 
     def __init__(self, row: np.ndarray, feature: np.ndarray, rows: int, weight: np.ndarray | None = None):
-        self.row, self.feature, self.rows, self.weight = row.astype(np.int32), feature.astype(np.int32), rows, weight
+        self.row, self.feature, self.rows, self.weight = row.astype(np.int32, copy=False), feature.astype(np.int32, copy=False), rows, weight
 
     def forward(self, values: np.ndarray) -> np.ndarray:
         at = values[self.feature]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, let_go
 from .hashed_text import Adam, Bags, labelled_sample, text_runs, word_features
 from .words import Words, pair_hash, words_of
 
@@ -136,7 +136,9 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, label: str = "quality", zeros: int = 1500, ones: int = 1500, max_chars: int = 8_000, **options
 ) -> QualityModel:
     """A model of a bounded sample of labelled rows: at most so many zeros and ones, texts of at most max_chars characters (see labelled_sample)."""
-    return train_quality(labelled_sample(docs, labels, label, zeros, ones, max_chars)[0], **options)
+    model = train_quality(labelled_sample(docs, labels, label, zeros, ones, max_chars)[0], **options)
+    let_go()
+    return model
 
 
 def quality(df: DataFrame, model: QualityModel, text: str = "text") -> Column:
