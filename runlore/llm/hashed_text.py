@@ -39,19 +39,29 @@ def word_features(words: Words, at: np.ndarray, low: int, high: int, buckets: in
     return np.concatenate(found_word), np.concatenate(found_bucket)
 
 
+_RUN = 1 << 20
+
+
 class Bags:
     """Rows as sparse sums: entry i adds weight i (1 without weights) times the value of feature i to row i."""
 
     def __init__(self, row: np.ndarray, feature: np.ndarray, rows: int, weight: np.ndarray | None = None):
         self.row, self.feature, self.rows, self.weight = row.astype(np.int32, copy=False), feature.astype(np.int32, copy=False), rows, weight
 
+    def _summed(self, into: np.ndarray, at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        """Sums of values[at] by into, in runs, as a sum over all entries at once takes several times their room."""
+        out = np.zeros(size)
+        for i in range(0, len(into), _RUN):
+            run = slice(i, i + _RUN)
+            found = values[at[run]]
+            out += np.bincount(into[run], found if self.weight is None else found * self.weight[run], size)
+        return out
+
     def forward(self, values: np.ndarray) -> np.ndarray:
-        at = values[self.feature]
-        return np.bincount(self.row, at if self.weight is None else at * self.weight, self.rows)
+        return self._summed(self.row, self.feature, values, self.rows)
 
     def backward(self, grads: np.ndarray, features: int) -> np.ndarray:
-        at = grads[self.row]
-        return np.bincount(self.feature, at if self.weight is None else at * self.weight, features)
+        return self._summed(self.feature, self.row, grads, features)
 
 
 class Adam:
