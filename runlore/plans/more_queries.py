@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, candidates, contracts, redaction
-from ..sources import commit_log, schemas, traces
+from ..operators import audit, candidates, contracts, detect, redaction
+from ..sources import commit_log, revisions, schemas, traces
 from ..streaming.traces import import_traces_stream
-from .driver_views import guid_sql, stored_events, stored_runs, table, trace_events
-from .queries import query
+from .driver_views import guid_sql, stored_events, stored_runs, table, trace_events, trace_runs
+from .queries import _HASHES_SQL, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -117,6 +117,33 @@ def split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.events.join(paths, "run_id").select(F.col("name").alias("run_id"), "source.line", "sequence", "source.byte_offset")
 
 
+def _revised(spark: SparkSession, sf_dir: str) -> str:
+    """A store with the revisions of all runs, analysed by their first 20 events, again by these, and by all events."""
+    events, store, at = trace_events(spark, sf_dir), _folder(spark, "store"), F.lit("2026-01-01").cast("timestamp")
+    runs = trace_runs(events)
+    for part in (events.filter("sequence < 20"), events.filter("sequence < 20"), events):
+        revisions.analyze_into(spark, store, runs, part, at)
+    return store
+
+
+@query(_HASHES_SQL + "SELECT run_id, CASE WHEN events > 20 THEN 2 ELSE 1 END AS revisions, CASE WHEN events > 20 THEN 1 ELSE 0 END AS ingest_ordinal, content_sha256 FROM hashes JOIN runs USING (run_id)")
+def stored_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many revisions of each run are stored, and which is the newest: an analysis that finds what the one before has found
+    makes none."""
+    store = _revised(spark, sf_dir)
+    history = revisions.revisions(spark, store).groupBy("run_id").agg(F.count(F.lit(1)).alias("revisions"))
+    return revisions.newest_revisions(spark, store).join(history, "run_id").select("run_id", "revisions", "ingest_ordinal", "content_sha256")
+
+
+@query(f"SELECT a.run_id, s AS start_sequence, e AS end_sequence FROM alerts a JOIN runs r ON r.run_id = a.run_id WHERE code = '{detect.DETECTORS[0].code}'")
+def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest revisions' alerts of one code, from the stored index, which has a folder for each code."""
+    store = _revised(spark, sf_dir)
+    found = revisions.stored_alerts(spark, store, detect.DETECTORS[0].code)
+    newest = revisions.newest_revisions(spark, store).select("analysis_id")
+    return found.join(newest, "analysis_id", "left_semi").select("run_id", "start_sequence", "end_sequence")
+
+
 def _damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A store with defects by rule: index rows of run numbers 7, 17, ... have another kind at sequence 1 and lack
     sequence 2; runs 5, 15, ... are missing; sources of runs 3, 13, ... are foreign."""
