@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import strict_json
 from ..functions.redaction import VERSION, Policy, RedactionError, Redactor
 from ..sources.schemas import CONTEXT
+from .audit import _codes
 
 SCHEMA_VERSION = "1.0.0"
 CATEGORIES = ("fake", "fixture", "live")
+MODES = ("offline", "offline-analysis", "online")
 MAX_CONTEXT = 64
 #: Fields of a candidate in stored order, without example_id.
 FIELDS = (
@@ -28,7 +30,7 @@ CANDIDATE = ", ".join(f"{f} {f'array<{CONTEXT}>' if f.startswith('context_') els
 
 @dataclass(frozen=True)
 class ExportOptions:
-    """before and after: numbers of context events; online mode may not look ahead."""
+    """before and after: numbers of context events; online mode may not look ahead. option_violations checks rows of them."""
 
     source_category: str
     license_or_consent: str
@@ -37,7 +39,7 @@ class ExportOptions:
     mode: str = "offline"
 
     def validate(self) -> None:
-        if self.mode not in ("offline", "online") or self.mode == "online" and self.after:
+        if self.mode not in MODES or self.mode == "online" and self.after:
             raise ValueError("online exports have no context after the event")
         if not (0 <= self.before <= MAX_CONTEXT and 0 <= self.after <= MAX_CONTEXT):
             raise ValueError("context is 0 to 64 events")
@@ -45,6 +47,17 @@ class ExportOptions:
             raise ValueError("a source category and a licence or consent are needed")
 
 
+def option_violations() -> Column:
+    """Names of the export options in a row (source_category, license_or_consent, mode, before, after) that don't hold, in that
+    order; empty if an export may run with them. A null option doesn't hold."""
+    context = lambda c: F.col(c).between(0, MAX_CONTEXT)
+    return _codes({
+        "SOURCE_CATEGORY": F.col("source_category").isin(*CATEGORIES), "LICENSE_OR_CONSENT": F.col("license_or_consent").rlike(r"[^\s\x1c-\x1f\x85\xa0]"),
+        "MODE": F.col("mode").isin(*MODES), "CONTEXT_BEFORE": context("before"), "CONTEXT_AFTER": context("after"),
+        "LOOKS_AHEAD": (F.col("mode") != "online") | (F.col("after") == 0),
+    })
+
+
 def canonical_event_text(events: DataFrame) -> DataFrame:
     """events with event_text: canonical JSON of the stored event, its payload's numbers spelled as Python does."""
     pieces = ("event_id", "run_id", "sequence", "ts_text", "kind", "actor", "summary", "payload", "source", "artifacts", "content_sha256")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strict_json
+from ..sources import stores
 from .audit import SHA256, _codes
 from .candidates import _NOT_EMPTY, CATEGORIES, FIELDS, SCHEMA_VERSION, _plain, identity
 
@@ -232,10 +233,13 @@ def manifest_id(manifests: DataFrame) -> Column:
 
 def manifest_files(spark, path: str, root: str | None = None) -> DataFrame:
     """path (relative to root), sha256 and byte_size of each file at path, in folders below it too. root: a folder above
-    them; the path itself, or what of it stands before its first pattern, if none is given."""
+    them; the path itself, or what of it stands before its first pattern, if none is given. Files are dealt to tasks by
+    their lengths and hashed in blocks, so that one may be of any length."""
     pattern = next((i for i, c in enumerate(path) if c in "*?[{"), None)
     root = root or (path if pattern is None else path[: path.rfind("/", 0, pattern)])
     where = spark._jvm.org.apache.hadoop.fs.Path(root)
     above = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.substring("path", len(above) + 2, 1 << 30).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"))
+    empty = spark.createDataFrame([(p, 0) for p in stores.empty_files(spark, path)], "path string, byte_size bigint")  # the reader passes over these
+    hashed = stores.with_sha256(files.select("path", F.col("length").alias("byte_size")).unionByName(empty))
+    return hashed.select(F.substring("path", len(above) + 2, 1 << 30).alias("path"), "sha256", "byte_size")

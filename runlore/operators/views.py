@@ -118,9 +118,16 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def write_reports(reports: DataFrame, path: str, kind: str = "json") -> None:
-    """One line or page per report, as JSON or escaped HTML; an existing path is never written over."""
+def rendered(kind: str) -> Column:
+    """The column report as a line of JSON or an escaped HTML page."""
     if not re.fullmatch("json|html", kind):
         raise ValueError("reports are json or html")
-    page = F.concat(F.lit("<!doctype html><meta charset=\"utf-8\"><title>Trace report</title><pre>"), escape_html(F.col("report")), F.lit("</pre>"))
-    reports.select((F.col("report") if kind == "json" else page).alias("value")).write.mode("errorifexists").text(path)
+    if kind == "json":
+        return F.col("report")
+    return F.concat(F.lit("<!doctype html><meta charset=\"utf-8\"><title>Trace report</title><pre>"), escape_html(F.col("report")), F.lit("</pre>"))
+
+
+def write_reports(reports: DataFrame, path: str, kind: str = "json") -> None:
+    """One line or page per report, as JSON or escaped HTML; an existing path is never written over. A file for each
+    report: sources.report_files."""
+    reports.select(rendered(kind).alias("value")).write.mode("errorifexists").text(path)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, candidates, contracts, detect, redaction
-from ..sources import commit_log, revisions, schemas, traces
+from ..sources import clustered_events, commit_log, report_files, revisions, schemas, traces
 from ..streaming.traces import import_traces_stream
 from .driver_views import guid_sql, stored_events, stored_runs, table, trace_events, trace_runs
-from .queries import _HASHES_SQL, query
+from .queries import _HASHES_SQL, _REPORT_SQL, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -547,6 +547,53 @@ def write_html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(folder).filter(sound).agg(F.count(F.lit(1)).alias("pages"))
 
 
+@query(_REPORT_SQL.replace("SELECT run_id, identity AS content_identity_sha256, ", "SELECT run_id || '.json' AS name, ").replace("AS report FROM ids", "|| chr(10) AS content FROM ids"))
+def write_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each run's report: names and whole contents."""
+    from .queries import export_report
+
+    folder = _folder(spark, "reports")
+    report_files.write_report_files(export_report(spark, sf_dir), folder)
+    files = spark.read.text(folder, wholetext=True)
+    return files.select(F.substring_index("_metadata.file_path", "/", -1).alias("name"), F.col("value").alias("content"))
+
+
+@query("""SELECT run_id, sequence, event_id, sequence // 20 AS page, CASE WHEN sequence >= 20 THEN sequence // 20 * 20 - 1 END AS cursor,
+CASE WHEN top > sequence // 20 * 20 + 19 THEN sequence // 20 * 20 + 19 END AS next_cursor FROM (SELECT *, max(sequence) OVER (PARTITION BY run_id) AS top FROM te)""")
+def clustered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in the layout for pages, each with the page of 20 that following cursors comes upon it."""
+    folder = _folder(spark, "clustered")
+    clustered_events.write_clustered(trace_events(spark, sf_dir), folder)
+    pages = clustered_events.all_pages(clustered_events.read_clustered(spark, folder), 20)
+    return pages.select("run_id", "sequence", "event_id", "page", "cursor", "next_cursor")
+
+
+@query("""SELECT run_id, sha256(string_agg(line || chr(10), '' ORDER BY sequence) || CASE WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN '{"cut' || chr(10) ELSE '' END) AS sha256
+FROM (SELECT run_id, sequence, '{"timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') || '","kind":"' || kind || '","actor":"'
+|| CASE WHEN kind IN ('Error', 'ToolResult') THEN 'tool' ELSE 'agent' END || '","summary":"' || summary || '","payload":' || payload || '}' AS line FROM te) GROUP BY run_id""")
+def manifest_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the written trace files, as a manifest lists them, by run."""
+    found = contracts.manifest_files(spark, _written_traces(spark, sf_dir))
+    return found.select(F.regexp_extract("path", "run=(run-[0-9]+)", 1).alias("run_id"), "sha256")
+
+
+@query("""SELECT event_id, array_to_string(list_filter([CASE WHEN category IS NULL OR category NOT IN ('fake', 'fixture', 'live') THEN 'SOURCE_CATEGORY' END,
+CASE WHEN coalesce(licence, '') IN ('', '  ') THEN 'LICENSE_OR_CONSENT' END, CASE WHEN mode = 'batch' THEN 'MODE' END, CASE WHEN before NOT BETWEEN 0 AND 64 THEN 'CONTEXT_BEFORE' END,
+CASE WHEN after NOT BETWEEN 0 AND 64 THEN 'CONTEXT_AFTER' END, CASE WHEN mode = 'online' AND after <> 0 THEN 'LOOKS_AHEAD' END], lambda x: x IS NOT NULL), ',') AS violations
+FROM (SELECT event_id, ['fake', 'fixture', 'live', 'real', NULL][sequence % 5 + 1] AS category, ['CC0-1.0', 'consent', '', '  ', NULL, 'MIT'][sequence % 6 + 1] AS licence,
+['online', 'offline', 'offline-analysis', 'batch'][k % 4 + 1] AS mode, k % 70 - 2 AS before, k % 67 - 1 AS after FROM te)""".replace("k % ", "CAST(substr(event_id, 4) AS BIGINT) % "))
+def export_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export options made from every event, good ones and bad, and what of them doesn't hold."""
+    events, number = trace_events(spark, sf_dir), F.substring("event_id", 4, 20).cast("bigint")
+    at = lambda by, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    options = events.select(
+        "event_id", at(F.col("sequence"), "fake", "fixture", "live", "real", None).alias("source_category"),
+        at(F.col("sequence"), "CC0-1.0", "consent", "", "  ", None, "MIT").alias("license_or_consent"),
+        at(number, "online", "offline", "offline-analysis", "batch").alias("mode"), (number % 70 - 2).alias("before"), (number % 67 - 1).alias("after"),
+    )
+    return options.select("event_id", F.concat_ws(",", candidates.option_violations()).alias("violations"))
+
+
 _PEM = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
 #: Lines with a secret, what is left of them, the kind in reports, and that in scans where it is another.
 _PLANTED = (

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import strict_json
 from ..operators.analysis import guid_from_hash
-from . import commit_log, line_ranges
+from . import commit_log, line_ranges, stores
 from .commit_log import exists, removed
 from .schemas import EVENT_KINDS, RUNS
 
@@ -53,30 +53,13 @@ def read_trace_files(spark: SparkSession, path: str, limits: ImportLimits = Impo
     over empty files, so those are listed by another reader, by name alone; they have no content, but are imports."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= limits.total_bytes)
     files = files.select("path", "length", "content")
-    empty = _empty_files(spark, path)
+    empty = stores.empty_files(spark, path)
     if empty:
         made = spark.createDataFrame([(p,) for p in empty], "path string")
         files = files.unionByName(made.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
     return _described(files)
 
 
-def _empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of files without a byte at a path or pattern, from the listing alone; hidden names don't count."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(path)
-    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, open_ = [], list(store.globStatus(where) or [])
-    while open_:
-        entry = open_.pop()
-        name = entry.getPath().getName()
-        if entry.isDirectory():
-            if not name.startswith(("_", ".")):
-                open_ += list(store.listStatus(entry.getPath()))
-        elif entry.getLen() == 0 and not name.startswith(("_", ".")):
-            found.append(entry.getPath().toString())
-    return sorted(found)
-
-
 def oversize_files(spark: SparkSession, path: str | list[str], limits: ImportLimits = ImportLimits()) -> DataFrame:
     """path and code of files beyond the limit of bytes; their content is not read."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
@@ -281,7 +264,7 @@ def described_files(spark: SparkSession, paths: str | list[str], limits: ImportL
     bom = (F.substring("content", 1, 3) == F.lit(line_ranges.BOM)) & ~meta["file_name"].rlike(line_ranges.PACKED)
     files = files.select("path", meta["file_path"].alias("file"), "length", F.sha2("content", 256).alias("input_sha256"), bom.alias("bom"))
     if empty is None:
-        empty = [p for x in ([paths] if isinstance(paths, str) else paths) for p in _empty_files(spark, x)]
+        empty = [p for x in ([paths] if isinstance(paths, str) else paths) for p in stores.empty_files(spark, x)]
     if empty:
         made = spark.createDataFrame([(p,) for p in empty], "path string")
         none = F.lit(hashlib.sha256(b"").hexdigest())
