@@ -5,8 +5,8 @@ the number of its characters outside of links, by the number of its tags. Ratios
 Gaussian; lines whose smoothed ratio reaches the ratios' standard deviation are content, and carry their region: the
 article that they stand in, outside of articles what their main element holds outside of articles, and else all lines
 of their parent element. An article or main element is carried only by a content line whose own ratio reaches that
-deviation too, so that a teaser isn't carried by its neighbours, and a line that is all link carries nothing. Lines in elements that say that they are something
-else (navigation, forms, scripts, adverts, notices, reader comments and so on) take no part. Where only a class, id or
+deviation too, so that a teaser isn't carried by its neighbours, and a line that is all link carries nothing. Lines in
+elements that say that they are something else (navigation, forms, scripts, adverts, notices, reader comments and so on) take no part. Where only a class, id or
 role says so, an element that holds the page's article or most of its text takes part all the same, and a paragraph
 inside an article or main element goes by its own ratio.
 """
@@ -14,6 +14,7 @@ inside an article or main element goes by its own ratio.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 import numpy as np
@@ -94,8 +95,10 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.named = [_Named(None, 0, False, False, False)]
         #: Open elements: tag, number, whether something else, number of the innermost article and main, number of
-        #: articles and mains, innermost named element, whether a named paragraph.
-        self.open: list[tuple[str, int, bool, int, int, int, _Named, bool]] = [("", 0, False, 0, 0, 0, self.named[0], False)]
+        #: articles and mains, innermost named element, whether a named paragraph, number of the innermost block that is a region.
+        self.open: list[tuple[str, int, bool, int, int, int, _Named, bool, int]] = [("", 0, False, 0, 0, 0, self.named[0], False, 0)]
+        #: Places of the open elements of each tag, ascending, so that none is looked for by going through all.
+        self.places: dict[str, list[int]] = {}
         self.lines: list[tuple[str, int, int, int, int, int, _Named, bool]] = []
         self.parts: list[str] = []
         self.tags = self.elements = self.links = self.plain = 0
@@ -110,7 +113,7 @@ class _Lines(HTMLParser):
             self._end(*IMPLIED[tag])
         if tag in VOID:
             return
-        _, _, other, article, main, about, named, soft = self.open[-1]
+        _, _, other, article, main, about, named, soft, region = self.open[-1]
         self.elements += 1
         given = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
         names = {w for v in given for w in _NAME.findall(_ABOUT.sub("", v))}
@@ -132,7 +135,10 @@ class _Lines(HTMLParser):
         if first:
             main = self.elements
         self.links += tag == "a"
-        self.open.append((tag, self.elements, other, article, main, about, named, soft))
+        if tag in BLOCK and tag not in ("p", "li", "td", "tr"):
+            region = self.elements
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, self.elements, other, article, main, about, named, soft, region))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -143,25 +149,26 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
+        places = self.places.get(tag)
         if tag in BLOCK:
             self._break()
-        if at:
-            self._leave(at)
+        if places:
+            self._leave(places[-1])
 
     def _end(self, ended, bounds):
         """Leaves open elements of these tags, the outermost too, that no bound stands around."""
-        at = 0
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in bounds:
-                break
-            if self.open[i][0] in ended:
-                at = i
-        if at:
-            self._leave(at)
+        of = [self.places[t] for t in ended if self.places.get(t)]
+        if not of:
+            return
+        bound = max((self.places[t][-1] for t in bounds if self.places.get(t)), default=0)
+        inside = [x[i] for x in of if (i := bisect_right(x, bound)) < len(x)]
+        if inside:
+            self._leave(min(inside))
 
     def _leave(self, at):
-        self.links -= sum(x[0] == "a" for x in self.open[at:])
+        for tag, *_ in reversed(self.open[at:]):
+            self.places[tag].pop()
+            self.links -= tag == "a"
         del self.open[at:]
 
     def handle_data(self, data):
@@ -176,9 +183,8 @@ class _Lines(HTMLParser):
 
     def _break(self):
         text = " ".join("".join(self.parts).split())
-        _, _, other, article, main, _, named, soft = self.open[-1]
+        _, _, other, article, main, _, named, soft, number = self.open[-1]
         if text and not other:
-            number = next((x[1] for x in reversed(self.open) if x[0] in BLOCK and x[0] not in ("p", "li", "td", "tr")), 0)
             plain = min(self.plain, len(text))
             self.lines.append((text, plain, max(1, self.tags), number, article, main, named, soft))
             named.plain += plain

@@ -3,6 +3,7 @@
 import math
 import random
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -269,3 +270,22 @@ def test_ratios_decide_where_no_element_does(monkeypatch):
     assert html_text.main_text(page) == (LONG * 5).strip()
     monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma=1.0: np.ones(len(ratios)) * (len(ratios) > 0))
     assert html_text.main_text(page) != (LONG * 5).strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "word", "<p>" + "<span>" * 100_000 + "<div>x" * 1_000, "<b>" * 100_000 + "<p>x y z</p>" * 2_000,
+    "<p><button>" + "<div>" * 100_000, "<ul><li>" + "<b>" * 100_000 + "<li>a b c" * 1_000, "<div>" * 100_000 + "</p>" * 100_000,
+])
+def test_time_grows_with_the_page_alone_where_elements_nest(page):
+    """A walk over all open elements for each tag would take minutes here."""
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 30
+
+
+def test_starts_end_elements_that_html_takes_as_read():
+    lines = html_text._Lines()
+    lines.feed("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>e<button><div>f</div></button><div>g</div><table><tr><td>h<td>i<tr><td>j</table>")
+    lines.close()
+    assert [x[0] for x in lines.lines] == list("abcdeghij")  # a button's text takes no part
+    assert len(lines.open) == 1 and not any(lines.places.values()) and lines.links == 0
