@@ -114,20 +114,22 @@ def top_k(
     df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", factor: float = 256.0,
     pivots: int | None = None, rings: int | None = None, block: int | None = None,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: of each row that is_query (a condition on "id") the k rows of other ids
+    """query_id, rank (from 1), vec_id, score: of each row that is_query (a condition on "id") the k rows other than itself
     with the greatest inner product of components floor(factor * x), ties to the smaller id; all, if there are fewer.
 
     Rows with a null id, or whose vector is null or holds null or non-finite components, take no part. Shorter
-    vectors count as if zeros followed. Of rows that repeat id and vector each takes part as a candidate, once as a
-    query. Scores have to fit in 64 bits."""
+    vectors count as if zeros followed. Each row is its own, so of rows of equal id each is a query, with ranks of its
+    own, and a candidate of the others. Scores have to fit in 64 bits."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows = checkpointed(rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * factor)).alias("v")))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # kept with the members below, so it stays
     norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
     n, dim, square, largest = rows.agg(
         F.count(F.lit(1)), F.max(F.size("v")), F.max(norm), F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0)))
     ).first()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
+    found_schema = f"query bigint, {schema}"
     if not n:
         return spark.createDataFrame([], schema)
     dim, whole = max(1, dim), float(largest or 0) ** 2 * max(1, dim) < EXACT
@@ -146,10 +148,10 @@ def top_k(
             packed = [np.asarray(v, np.int64).tobytes() for v in b["v"]]
             m = _matrix(packed, dim)
             cell, distance = shared.value.place(shared.value.lifted(m))
-            yield pd.DataFrame({"id": b["id"], "vec": packed, "cell": cell, "distance": distance, "norm": np.sqrt((m**2).sum(1))})
+            yield pd.DataFrame({"row": b["row"], "id": b["id"], "vec": packed, "cell": cell, "distance": distance, "norm": np.sqrt((m**2).sum(1))})
 
     members = checkpointed(
-        rows.mapInPandas(placed, T.StructType([T.StructField("id", rows.schema["id"].dataType), *_fields("vec binary, cell int, distance double, norm double")]))
+        numbered.mapInPandas(placed, T.StructType([*_fields("row bigint"), T.StructField("id", rows.schema["id"].dataType), *_fields("vec binary, cell int, distance double, norm double")]))
     )
     cells = members.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"), F.max("norm").alias("norm")
@@ -157,10 +159,10 @@ def top_k(
     directory = spark.sparkContext.broadcast(Index(index.pivots, index.edges, index.square, cells))
     blocks = {int(c): max(1, math.ceil(m / block)) for c, m in zip(cells["cell"], cells["n"], strict=True)}
     pieces = F.broadcast(spark.createDataFrame([*blocks.items()], "cell int, pieces int"))
-    queries = members.filter(is_query).select("id", "vec").distinct()
+    queries = members.filter(is_query).select("row", "id", "vec")
     groups = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    of_row = members.select("id", "vec", "cell").join(pieces, "cell").select(
-        "id", "vec", "cell", F.pmod(F.xxhash64("id", "vec"), F.col("pieces")).cast("int").alias("piece")
+    of_row = members.select("row", "id", "vec", "cell").join(pieces, "cell").select(
+        "row", "id", "vec", "cell", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece")
     )
 
     def wanted(first: bool):
@@ -178,65 +180,65 @@ def top_k(
                 if not first:
                     chosen = ~chosen & (bound >= b["kth"].to_numpy(float, na_value=-np.inf)[:, None])
                 q, c = np.nonzero(chosen)
-                yield pd.DataFrame({"id": b["id"].to_numpy()[q], "vec": b["vec"].to_numpy()[q], "cell": cell[c]})
+                yield pd.DataFrame({"row": b["row"].to_numpy()[q], "id": b["id"].to_numpy()[q], "vec": b["vec"].to_numpy()[q], "cell": cell[c]})
 
         return ask
 
-    asked_schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *_fields("vec binary, cell int")])
+    asked_schema = T.StructType([*_fields("row bigint"), T.StructField("id", rows.schema["id"].dataType), *_fields("vec binary, cell int")])
 
     def meet(asking: DataFrame, first: bool) -> DataFrame:
         """The best rows for each query from each block of the cells that it asks for."""
         asked = asking.mapInPandas(wanted(first), asked_schema).join(pieces, "cell").select(
-            "id", "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
-            F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part"),
+            "row", "id", "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
+            F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("part"),
         )
         asked = checkpointed(asked)
         parts = asked.select(F.col("cell").alias("of"), F.col("part").alias("part")).distinct()
         dealt = of_row.join(parts, F.col("cell") == F.col("of")).drop("of")
         keys = ("cell", "piece", "part")
-        return dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, schema)
+        return dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, found_schema)
 
     def best(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return pd.DataFrame({c.split()[0]: [] for c in found_schema.split(", ")})
         x = x.sort_values("id", kind="stable")
         a, b = _matrix(q["vec"], dim), _matrix(x["vec"], dim)
         scores = a @ b.T if whole else a.astype(np.int64) @ b.astype(np.int64).T
         scores = scores.astype(np.int64)
-        ids, asks = x["id"].to_numpy(), q["id"].to_numpy()
+        ids, asks, own, query = x["id"].to_numpy(), q["id"].to_numpy(), x["row"].to_numpy(), q["row"].to_numpy()
         out = []
         for i in range(len(q)):
-            s, other = scores[i], ids != asks[i]
+            s, other = scores[i], own != query[i]
             s, at = s[other], ids[other]
             if len(s) > k:
                 floor = np.partition(s, len(s) - k)[len(s) - k]
                 above, level = np.nonzero(s > floor)[0], np.nonzero(s == floor)[0]
                 keep = np.concatenate([above, level[: k - len(above)]])  # ids ascend, so ties go to the smaller
                 s, at = s[keep], at[keep]
-            out.append(pd.DataFrame({"query_id": asks[i], "rank": 0, "vec_id": at, "score": s}))
+            out.append(pd.DataFrame({"query": query[i], "query_id": asks[i], "rank": 0, "vec_id": at, "score": s}))
         return pd.concat(out)
 
     def ranked(found: DataFrame) -> DataFrame:
-        ordered = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        ordered = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", ordered).filter(F.col("rank") <= k)
 
     near = checkpointed(ranked(meet(queries, True)))
-    kth = near.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
-    kth = kth.select(F.col("query_id").alias("of"), F.when(F.col("n") >= k, F.col("low")).cast("double").alias("kth"))
-    rest = meet(queries.join(kth, F.col("id") == F.col("of"), "left").select("id", "vec", "kth"), False)
+    kth = near.groupBy("query").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
+    kth = kth.select(F.col("query").alias("of"), F.when(F.col("n") >= k, F.col("low")).cast("double").alias("kth"))
+    rest = meet(queries.join(kth, F.col("row") == F.col("of"), "left").select("row", "id", "vec", "kth"), False)
     return ranked(near.unionByName(rest)).select("query_id", "rank", "vec_id", "score")
 
 
 def _fields(ddl: str) -> list[T.StructField]:
-    return [T.StructField(x.split()[0], {"binary": T.BinaryType(), "int": T.IntegerType(), "double": T.DoubleType()}[x.split()[1]]) for x in ddl.split(", ")]
+    return [T.StructField(x.split()[0], {"bigint": T.LongType(), "binary": T.BinaryType(), "int": T.IntegerType(), "double": T.DoubleType()}[x.split()[1]]) for x in ddl.split(", ")]
 
 
 TOP_K_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.e, x.e) AS BIGINT) AS score
-      FROM v q JOIN v x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.row, q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.e, x.e) AS BIGINT) AS score
+      FROM v q JOIN v x ON q.vec_id % 50 = 0 AND x.row <> q.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -26,14 +26,13 @@ def test_top_k(spark, pivots, rings, block):
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, rank int")
     used = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     score = lambda a, b: sum(x * y for x, y in zip(a, b))
-    expected = {}
-    for i, v in used:
+    expected = []
+    for a, (i, v) in enumerate(used):
         if i % 50 == 0:
-            expected[i] = sorted(((-score(v, w), j) for j, w in used if j != i))[:5]
-    got = {}
-    for r in vector_search.top_k(df, F.col("id") % 50 == 0, 5, pivots=pivots, rings=rings, block=block).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
-    assert got == expected
+            best = sorted((-score(v, w), j) for b, (j, w) in enumerate(used) if b != a)[:5]
+            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    got = vector_search.top_k(df, F.col("id") % 50 == 0, 5, pivots=pivots, rings=rings, block=block).collect()
+    assert sorted(tuple(r) for r in got) == sorted(expected)
 
 
 def test_few_and_no_vectors(spark):
@@ -43,6 +42,21 @@ def test_few_and_no_vectors(spark):
     assert vector_search.top_k(df.filter("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("pivots", "block"), [(None, None), (3, 8)])
+def test_rows_of_equal_id_are_candidates_of_each_other(spark, pivots, block):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [int(x) for x in v]) for i, v in zip(rng.choice([50, 100, 3, 7], 40), rng.integers(-3, 4, (40, 4)), strict=True)]
+    rows += rows[:6]  # whole rows that repeat
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<float>").repartition(3)
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-256 * 256 * sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(rows) if b != a)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    got = vector_search.top_k(df, F.col("id") % 50 == 0, 5, pivots=pivots, block=block).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_targets(spark):
     sizes = {"a": 100, "b": 900, "c": 10, "d": 500, "é": 300, None: 40}
     df = spark.createDataFrame([*sizes.items()], "source string, source_size bigint")
