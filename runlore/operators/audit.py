@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import strict_json
+from ..functions.json_reader import Reader
 from ..sources.schemas import EVENT_KINDS
 
 GUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -21,33 +26,39 @@ def audit_store(runs: DataFrame, events: DataFrame, event_index: DataFrame) -> D
     """One row per violation: run_id, sequence (null for a whole run), code.
 
     ORPHAN_INDEX: an index row without a run; COUNT_MISMATCH: a run's events and index rows differ in number;
-    DUPLICATE_EVENT_ID and SEQUENCE_GAP within a run's index; PARITY: an event and its index row differ or one is
-    missing; SOURCE_MISMATCH: an event's source hash or adapter is not its run's. All steps need rows by run, so the
-    large sides are dealt out once by (run_id, sequence) and once by run_id."""
-    narrow = lambda df: df.select("run_id", "sequence", "event_id", "kind", "content_sha256")
-    known = runs.select("run_id")
-    orphans = event_index.join(known, "run_id", "left_anti").select("run_id", "sequence", F.lit("ORPHAN_INDEX").alias("code"))
-    count = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
-    counts = known.join(count(events, "n"), "run_id", "left").join(count(event_index, "m"), "run_id", "left").fillna(0, ["n", "m"])
-    whole = F.lit(None).cast("bigint").alias("sequence")
-    uneven = counts.filter("n <> m").select("run_id", whole, F.lit("COUNT_MISMATCH").alias("code"))
-    twice = event_index.groupBy("run_id", "event_id").agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("sequence"))
-    twice = twice.filter("n > 1").select("run_id", "sequence", F.lit("DUPLICATE_EVENT_ID").alias("code"))
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("sequence")) - 1
-    gaps = event_index.withColumn("place", place).filter("place <> sequence").groupBy("run_id").agg(F.min("sequence").alias("sequence"))
-    gaps = gaps.select("run_id", "sequence", F.lit("SEQUENCE_GAP").alias("code"))
-    e = narrow(events.join(known, "run_id", "left_semi")).select("run_id", "sequence", F.struct("event_id", "kind", "content_sha256").alias("a"))
-    i = narrow(event_index.join(known, "run_id", "left_semi")).select("run_id", "sequence", F.struct("event_id", "kind", "content_sha256").alias("b"))
-    parity = e.join(i, ["run_id", "sequence"], "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("run_id", "sequence", F.lit("PARITY").alias("code"))
-    sources = events.select("run_id", "sequence", F.col("source.input_sha256").alias("s"), F.col("source.adapter").alias("t")).join(
-        runs.select("run_id", "input_sha256", "adapter"), "run_id"
-    )
-    foreign = sources.filter(~(F.col("s").eqNullSafe(F.col("input_sha256")) & F.col("t").eqNullSafe(F.col("adapter"))))
-    foreign = foreign.select("run_id", "sequence", F.lit("SOURCE_MISMATCH").alias("code"))
-    out = orphans
-    for more in (uneven, twice, gaps, parity, foreign):
-        out = out.unionByName(more)
-    return out
+    DUPLICATE_EVENT_ID and SEQUENCE_GAP within a run's index; PARITY: at a place of a run, events and index rows differ or
+    one side is missing (once for each place, repeats count); SOURCE_MISMATCH: an event's source hash or adapter is not
+    its run's. Runs are unique by run_id.
+
+    The three sides are one narrow table that is dealt out by run_id once; all checks are windows within a run (of at most
+    100,000 events by the import limits), on two local orders."""
+    compared = ("event_id", "kind", "content_sha256")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    rows = runs.select("run_id", F.lit(None).cast("bigint").alias("sequence"), F.lit("run").alias("side"), *map(none, compared), "input_sha256", "adapter")
+    rows = rows.unionByName(events.select(
+        "run_id", "sequence", F.lit("event").alias("side"), *compared, F.col("source.input_sha256").alias("input_sha256"), F.col("source.adapter").alias("adapter")
+    ))
+    rows = rows.unionByName(event_index.select("run_id", "sequence", F.lit("index").alias("side"), *compared, none("input_sha256"), none("adapter")))
+    run, event, index = (F.col("side") == x for x in ("run", "event", "index"))
+    whole, order = Window.partitionBy("run_id"), ("sequence", *compared)
+    so_far = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_place = Window.partitionBy("run_id", "sequence").orderBy(*compared).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("run_id", *order)
+    count = lambda what, w: F.count_if(what).over(w)
+    rows = rows.repartition("run_id").withColumns({
+        "own": F.max(F.when(run, F.struct("input_sha256", "adapter"))).over(whole), "events": count(event, whole), "indexed": count(index, whole),
+        "misplaced": index & (count(index, so_far) - 1 != F.col("sequence")), "uneven": (~run) & (count(event, same) != count(index, same)),
+    }).withColumns({"gaps": count(F.col("misplaced"), so_far), "unlike": count(F.col("uneven"), at_place)})
+    ids = Window.partitionBy("run_id", "event_id", "side").orderBy("sequence")
+    rows = rows.withColumn("twice", index & (F.row_number().over(ids) == 1) & F.lead("side").over(ids).isNotNull())
+    known, source = F.col("own").isNotNull(), F.struct("input_sha256", "adapter")
+    wrong = {
+        "ORPHAN_INDEX": index & ~known, "COUNT_MISMATCH": run & (F.col("events") != F.col("indexed")),
+        "DUPLICATE_EVENT_ID": F.col("twice"), "SEQUENCE_GAP": F.col("misplaced") & (F.col("gaps") == 1),
+        "PARITY": known & F.col("uneven") & (F.col("unlike") == 1), "SOURCE_MISMATCH": event & known & ~F.col("own").eqNullSafe(source),
+    }
+    codes = F.filter(F.array(*[F.when(what, F.lit(name)) for name, what in wrong.items()]), lambda x: x.isNotNull())
+    return rows.select("run_id", "sequence", F.explode(codes).alias("code"))
 
 
 def _codes(checks: dict[str, Column]) -> Column:
@@ -102,51 +113,163 @@ RUN_KEYS = {"id", "name", "inputSha256", "adapter", "adapterVersion", "importedA
 EVENT_KEYS = {"id", "runId", "sequence", "timestamp", "kind", "actor", "summary", "payload", "source", "artifacts", "contentSha256"}
 SOURCE_KEYS = {"adapter", "inputSha256", "relativePath", "byteOffset", "line", "jsonPointer"}
 DIAGNOSTIC_KEYS = {"line", "byteOffset", "code", "message"}
+ARTIFACT_KEYS = {"name", "path", "sha256"}
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+_DIAGNOSTIC = "line int, byte_offset bigint, code string, message string"
+_ROWS, _BYTES = 2_000, 4 << 20
 
 
 def load_run_json(runs_json: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Events, diagnostics and violations (run_id, code) of stored runs (run_id, input_sha256, adapter, adapter_version,
-    data_json). A run with a violation yields nothing else: INVALID_JSON (not strict, a key repeats, a number is not
-    finite), UNKNOWN_KEYS (missing or additional ones), METADATA (JSON and columns differ)."""
+    data_json; imported_at is compared too where it is a text). A run with a violation yields nothing else: INVALID_JSON
+    (not strict, a key repeats, a number is not finite), UNKNOWN_KEYS (missing or additional ones), FIELDS (a value of
+    another type than its column's), METADATA (JSON and columns differ); the first of these that holds. A null document is
+    not JSON.
+
+    Events are pulled out of a document's bytes one by one, once to check the whole of it and once more to return them, so a
+    worker holds a document's bytes, one event as objects and a batch of rows. Each of the three frames reads what it needs."""
     from ..sources.schemas import EVENTS
     from ..sources.traces import bounded_batches
 
     bounded_batches(runs_json.sparkSession)
-    event = EVENTS
-    shape = f"code string, events array<struct<{event}>>, diagnostics array<struct<line: int, byte_offset: bigint, code: string, message: string>>"
+    columns = ["run_id", "input_sha256", "adapter", "adapter_version"]
+    if dict(runs_json.dtypes).get("imported_at") == "string":
+        columns.append("imported_at")
+    documents = runs_json.select(*columns, F.col("data_json").cast("binary").alias("data_json"))
+    event = T.StructType([f for f in T.StructType.fromDDL(EVENTS) if f.name != "timestamp"])
+    read = lambda what, schema: documents.mapInArrow(_reader(what, to_arrow_schema(schema)), schema)
+    events = read("events", event).withColumn("timestamp", F.col("ts_text").try_cast("timestamp")).select(*T.StructType.fromDDL(EVENTS).names)
+    said = read("diagnostics", T.StructType.fromDDL(f"run_id string, {_DIAGNOSTIC}"))
+    return events, said, read("violations", T.StructType.fromDDL("run_id string, code string"))
+
+
+def _reader(what: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches of documents that returns rows of one kind."""
 
-    @F.pandas_udf(shape)
-    def loaded(run_id: pd.Series, input_sha256: pd.Series, adapter: pd.Series, version: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows = [_load(*x) for x in zip(run_id, input_sha256, adapter, version, data, strict=True)]
-        return pd.DataFrame(rows, columns=["code", "events", "diagnostics"])
+    def batched(rows: Iterator[tuple[dict, int]]) -> Iterator[pa.RecordBatch]:
+        part, size = [], 0
+        for row, length in rows:
+            part.append(row)
+            size += length
+            if len(part) == _ROWS or size >= _BYTES:
+                yield pa.RecordBatch.from_pylist(part, schema=schema)
+                part, size = [], 0
+        if part:
+            yield pa.RecordBatch.from_pylist(part, schema=schema)
 
-    read = runs_json.select("run_id", loaded.asNondeterministic()("run_id", "input_sha256", "adapter", "adapter_version", "data_json").alias("x"))
-    good = read.filter("x.code is null")
-    events = good.select(F.explode("x.events").alias("e")).select("e.*").withColumn("timestamp", F.col("ts_text").try_cast("timestamp"))
-    said = good.select("run_id", F.explode("x.diagnostics").alias("d")).select("run_id", "d.*")
-    return events, said, read.filter("x.code is not null").select("run_id", "x.code")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
+        for b in batches:
+            fields = [b.column(c).to_pylist() for c in b.schema.names[:-1]]
+            for known, document in zip(zip(*fields, strict=True), b.column("data_json"), strict=True):
+                data = memoryview(document.as_buffer()) if document.is_valid else b""
+                code = run_violation(data, known)
+                if what == "violations":
+                    if code:
+                        yield {"run_id": known[0], "code": code}, 0
+                elif not code:
+                    yield from _event_rows(data) if what == "events" else _diagnostic_rows(data, known[0])
 
+    return lambda batches: batched(rows(batches))
 
-def _load(run_id: str, input_sha256: str, adapter: str, version: str, data: str | None) -> tuple:
+
+_KNOWN_AS = ("id", "inputSha256", "adapter", "adapterVersion", "importedAt")
+
+
+def run_violation(data, known: tuple) -> str | None:
+    """The code of what is wrong with a stored run's document (bytes or a buffer), or none. known: its run_id, input_sha256,
+    adapter, adapter_version and, if it is to be compared, imported_at."""
+    said, keys, sound, typed = {}, set(), True, True
+    run = Reader(data)
     try:
-        run = strict_json.loads(data or "")
-    except strict_json.BadJson:
-        return "INVALID_JSON", None, None
-    objects = isinstance(run, dict) and set(run) == RUN_KEYS and isinstance(run["events"], list) and isinstance(run["diagnostics"], list)
-    objects = objects and all(isinstance(e, dict) and set(e) == EVENT_KEYS and isinstance(e["source"], dict) and set(e["source"]) == SOURCE_KEYS for e in run["events"])
-    if not objects or not all(isinstance(d, dict) and set(d) == DIAGNOSTIC_KEYS for d in run["diagnostics"]):
-        return "UNKNOWN_KEYS", None, None
-    if (run["id"], run["inputSha256"], run["adapter"], run["adapterVersion"]) != (run_id, input_sha256, adapter, version):
-        return "METADATA", None, None
-    events = []
-    for e in run["events"]:
+        if not run.opens(b"{"):
+            run.value()
+            run.end()
+            return "UNKNOWN_KEYS"
+        for key in run.members():
+            keys.add(key)
+            if key in ("events", "diagnostics"):
+                if not run.opens(b"["):
+                    run.value()
+                    sound = False
+                    continue
+                shape, fields = (_event_shape, _event_typed) if key == "events" else (_diagnostic_shape, _diagnostic_typed)
+                for _ in run.elements():
+                    x = run.value()
+                    sound = sound and shape(x)
+                    typed = typed and sound and fields(x)
+            elif key in _KNOWN_AS:
+                said[key] = run.value()
+            else:
+                name = run.value()
+                typed = typed and (key != "name" or isinstance(name, str))
+        run.end()
+    except (ValueError, RecursionError):  # the canonical spelling finds numbers that JSON can spell and no float holds
+        return "INVALID_JSON"
+    if not sound or keys != RUN_KEYS:
+        return "UNKNOWN_KEYS"
+    if not typed:
+        return "FIELDS"
+    return None if [said[k] for k, _ in zip(_KNOWN_AS, known)] == list(known) else "METADATA"
+
+
+def _event_shape(e: object) -> bool:
+    return isinstance(e, dict) and set(e) == EVENT_KEYS and isinstance(e["source"], dict) and set(e["source"]) == SOURCE_KEYS
+
+
+def _diagnostic_shape(d: object) -> bool:
+    return isinstance(d, dict) and set(d) == DIAGNOSTIC_KEYS
+
+
+def _texts(*values: object) -> bool:
+    """Whether all are texts that UTF-8 can spell; lone surrogates can't be stored."""
+    return all(isinstance(v, str) and (v.isascii() or not _SURROGATE.search(v)) for v in values)
+
+
+def _whole(value: object, bits: int, null: bool = True) -> bool:
+    return value is None and null or type(value) is int and -(1 << bits - 1) <= value < 1 << bits - 1
+
+
+def _event_typed(e: dict) -> bool:
+    s, artifacts = e["source"], e["artifacts"]
+    if not (_texts(e["id"], e["runId"], e["timestamp"], e["kind"], e["actor"], e["contentSha256"], s["adapter"], s["inputSha256"], s["relativePath"])):
+        return False
+    if not (isinstance(artifacts, list) and all(isinstance(a, dict) and set(a) <= ARTIFACT_KEYS and _texts(*(v for v in a.values() if v is not None)) for a in artifacts)):
+        return False
+    optional = (x for x in (e["summary"], s["jsonPointer"]) if x is not None)
+    return _texts(*optional, strict_json.canonical(e["payload"])) and _whole(e["sequence"], 64, False) and _whole(s["byteOffset"], 64) and _whole(s["line"], 32)
+
+
+def _diagnostic_typed(d: dict) -> bool:
+    return _texts(d["code"], d["message"]) and _whole(d["line"], 32) and _whole(d["byteOffset"], 64)
+
+
+def _parts(data, wanted: str) -> Iterator[tuple[dict, int]]:
+    """The elements of one of a sound run document's arrays, with their lengths in bytes."""
+    run = Reader(data)
+    for key in run.members():
+        if key not in ("events", "diagnostics"):
+            run.value()
+            continue
+        for _ in run.elements():
+            start, x = run.at, run.value()
+            if key == wanted:
+                yield x, run.at - start
+
+
+def _event_rows(data) -> Iterator[tuple[dict, int]]:
+    for e, length in _parts(data, "events"):
         s, payload = e["source"], e["payload"]
         tool = payload.get("tool") if isinstance(payload, dict) and isinstance(payload.get("tool"), str) else None
-        events.append({
-            "event_id": e["id"], "run_id": e["runId"], "sequence": e["sequence"], "ts_text": e["timestamp"], "timestamp": None, "kind": e["kind"],
-            "actor": e["actor"], "summary": e["summary"], "payload": strict_json.canonical(payload), "tool": tool,
+        yield {
+            "event_id": e["id"], "run_id": e["runId"], "sequence": e["sequence"], "ts_text": e["timestamp"], "kind": e["kind"], "actor": e["actor"],
+            "summary": e["summary"], "payload": strict_json.canonical(payload), "tool": tool,
             "source": {"adapter": s["adapter"], "input_sha256": s["inputSha256"], "relative_path": s["relativePath"], "byte_offset": s["byteOffset"], "line": s["line"], "json_pointer": s["jsonPointer"]},
             "artifacts": e["artifacts"], "content_sha256": e["contentSha256"],
-        })
-    said = [{"line": d["line"], "byte_offset": d["byteOffset"], "code": d["code"], "message": d["message"]} for d in run["diagnostics"]]
-    return None, events, said
+        }, length
+
+
+def _diagnostic_rows(data, run_id: str) -> Iterator[tuple[dict, int]]:
+    for d, length in _parts(data, "diagnostics"):
+        yield {"run_id": run_id, "line": d["line"], "byte_offset": d["byteOffset"], "code": d["code"], "message": d["message"]}, length

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.redaction import VERSION
 from ..operators import audit, candidates, contracts, detect, redaction
 from ..sources import clustered_events, commit_log, report_files, revisions, schemas, traces
 from ..streaming.traces import import_traces_stream
@@ -146,19 +147,22 @@ def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A store with defects by rule: index rows of run numbers 7, 17, ... have another kind at sequence 1 and lack
-    sequence 2; runs 5, 15, ... are missing; sources of runs 3, 13, ... are foreign."""
+    sequence 2, of 9, 19, ... the first event's id at sequence 1 again; runs 5, 15, ... are missing; sources of runs 3, 13,
+    ... are foreign."""
     events = stored_events(spark, sf_dir).withColumn("number", F.substring("name", 5, 20).cast("bigint") % 10)
     runs = stored_runs(events).filter(~F.col("name").endswith("5"))
     index = events.filter(~((F.col("number") == 7) & (F.col("sequence") == 2)))
     index = index.withColumn("kind", F.when((F.col("number") == 7) & (F.col("sequence") == 1), "Artifact").otherwise(F.col("kind")))
+    first = F.first("event_id").over(Window.partitionBy("run_id").orderBy("sequence"))
+    index = index.withColumn("event_id", F.when((F.col("number") == 9) & (F.col("sequence") == 1), first).otherwise(F.col("event_id")))
     foreign = F.when(F.col("number") == 3, F.lit("other")).otherwise(F.col("source.adapter"))
     return runs, events.withColumn("source", F.col("source").withField("adapter", foreign)), index
 
 
 @query("""SELECT code, count(*) AS violations FROM (
 SELECT 'ORPHAN_INDEX' AS code FROM te WHERE run_id LIKE '%5' UNION ALL SELECT 'COUNT_MISMATCH' FROM runs WHERE run_id LIKE '%7' AND events > 2
-UNION ALL SELECT 'SEQUENCE_GAP' FROM runs WHERE run_id LIKE '%7' AND events > 3 UNION ALL SELECT 'PARITY' FROM te WHERE run_id LIKE '%7' AND sequence IN (1, 2)
-UNION ALL SELECT 'SOURCE_MISMATCH' FROM te WHERE run_id LIKE '%3') GROUP BY code""")
+UNION ALL SELECT 'SEQUENCE_GAP' FROM runs WHERE run_id LIKE '%7' AND events > 3 UNION ALL SELECT 'PARITY' FROM te WHERE run_id LIKE '%7' AND sequence IN (1, 2) OR run_id LIKE '%9' AND sequence = 1
+UNION ALL SELECT 'DUPLICATE_EVENT_ID' FROM runs WHERE run_id LIKE '%9' AND events > 1 UNION ALL SELECT 'SOURCE_MISMATCH' FROM te WHERE run_id LIKE '%3') GROUP BY code""")
 def audit_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_store(*_damaged(spark, sf_dir)).groupBy("code").agg(F.count(F.lit(1)).alias("violations"))
 
@@ -177,7 +181,8 @@ def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored run documents made of stored events; every tenth repeats a key."""
+    """Stored run documents made of stored events; by a run's last digit, 0 repeats a key, 1 has a key too many, 2 has another
+    adapter than its row, 3 has a sequence that is a text."""
     events = stored_events(spark, sf_dir)
     event = F.struct(
         F.col("event_id").alias("id"), F.col("run_id").alias("runId"), "sequence", F.col("ts_text").alias("timestamp"), "kind", "actor", "summary",
@@ -193,18 +198,22 @@ def _runs_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("run_id").alias("id"), "name", F.col("input_sha256").alias("inputSha256"), "adapter", F.col("adapter_version").alias("adapterVersion"),
         F.col("imported_at").cast("string").alias("importedAt"), F.transform("events", lambda x: x["e"]).alias("events"), F.array().cast("array<int>").alias("diagnostics"),
     )
-    text = F.to_json(run, {"ignoreNullFields": "false"})
-    text = F.when(F.col("name").endswith("0"), F.concat(F.lit('{"id":1,'), F.expr("substring(data_json, 2)"))).otherwise(F.col("data_json"))
-    return rows.withColumn("data_json", F.to_json(run, {"ignoreNullFields": "false"})).withColumn("data_json", text).drop("events")
+    rows, last = rows.withColumn("data_json", F.to_json(run, {"ignoreNullFields": "false"})), F.substring("name", -1, 1)
+    more = lambda member: F.concat(F.lit("{" + member + ","), F.expr("substring(data_json, 2)"))
+    text = F.when(last == "0", more('"id":1')).when(last == "1", more('"extra":1')).when(last == "3", F.replace("data_json", F.lit('"sequence":0,'), F.lit('"sequence":"0",')))
+    version = F.when(last == "2", "2.0.0").otherwise(F.col("adapter_version"))
+    return rows.withColumns({"data_json": text.otherwise(F.col("data_json")), "adapter_version": version}).drop("events")
 
 
-@query("""SELECT CASE WHEN run_id LIKE '%0' THEN 'INVALID_JSON' ELSE 'events' END AS what, CASE WHEN run_id LIKE '%0' THEN count(*) ELSE sum(events) END AS n
-FROM runs GROUP BY run_id LIKE '%0'""")
+@query(f"""SELECT {guid_sql('r')} AS run_id, sequence, {guid_sql('e')} AS event_id, summary, '{{"k":' || k || '}}' AS payload, CAST(sequence + 1 AS INTEGER) AS line, 100 * sequence AS byte_offset,
+CAST(NULL AS VARCHAR) AS code FROM (SELECT *, sha256(event_id) AS e, sha256(run_id) AS r, json_extract_string(payload, '$.k') AS k FROM texts) WHERE right(run_id, 1) NOT IN ('0', '1', '2', '3')
+UNION ALL SELECT {guid_sql('r')}, NULL, NULL, NULL, NULL, NULL, NULL, ['INVALID_JSON', 'UNKNOWN_KEYS', 'METADATA', 'FIELDS'][CAST(right(run_id, 1) AS INTEGER) + 1]
+FROM (SELECT run_id, sha256(run_id) AS r FROM runs) WHERE right(run_id, 1) IN ('0', '1', '2', '3')""")
 def load_run_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of sound run documents, and violations of the others."""
     events, _, bad = audit.load_run_json(_runs_json(spark, sf_dir))
-    found = events.select(F.lit("events").alias("what")).unionByName(bad.select(F.col("code").alias("what")))
-    return found.groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+    rows = events.select("run_id", "sequence", "event_id", "summary", "payload", "source.line", "source.byte_offset")
+    return rows.unionByName(bad, allowMissingColumns=True)
 
 
 @query("SELECT count(DISTINCT user_id) AS runs, CAST(NULL AS VARCHAR) AS code FROM events", traces=False)
@@ -240,47 +249,61 @@ _OPTIONS = candidates.ExportOptions("fixture", "CC0-1.0", before=2)
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = stored_events(spark, sf_dir)
-    category = F.element_at(F.array(*map(F.lit, candidates.CATEGORIES)), (F.pmod(F.xxhash64("run_id"), F.lit(3)) + 1).cast("int"))
+    category = F.element_at(F.array(*map(F.lit, candidates.CATEGORIES)), (F.conv(F.substring("run_id", -1, 1), 16, 10).cast("int") % 3) + 1)
     return candidates.build_candidates(stored_runs(events), events, _OPTIONS).withColumn("source_category", category)
 
 
-@query("SELECT kind AS event_kind, count(*) AS n, sum(least(sequence, 2)) AS before FROM te GROUP BY kind")
-def build_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _candidates(spark, sf_dir)
-    return made.groupBy("event_kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("context_before")).cast("bigint").alias("before"))
-
-
-@query(f"""SELECT {guid_sql('e')} AS event_id, '{{"actor":"' || CASE WHEN kind IN ('Error', 'ToolResult') THEN 'tool' ELSE 'agent' END || '","artifacts":[],"contentSha256":"' || hash
+_EVENT_TEXT_SQL = f"""SELECT {guid_sql('e')} AS event_id, '{{"actor":"' || CASE WHEN kind IN ('Error', 'ToolResult') THEN 'tool' ELSE 'agent' END || '","artifacts":[],"contentSha256":"' || hash
 || '","id":"' || {guid_sql('e')} || '","kind":"' || kind || '","payload":{{"k":' || k || '}},"runId":"' || {guid_sql('r')} || '","sequence":' || sequence
 || ',"source":{{"adapter":"generic-jsonl","byteOffset":' || 100 * sequence || ',"inputSha256":"' || r || '","jsonPointer":"/","line":' || sequence + 1 || ',"relativePath":"' || run_id
-|| '.jsonl"}},"summary":"' || summary || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}' AS event_text
-FROM (SELECT *, sha256(event_id) AS e, sha256(run_id) AS r, json_extract_string(payload, '$.k') AS k FROM texts)""")
+|| '.jsonl"}},"summary":"' || summary || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}' AS event_text,
+run_id, sequence, kind, hash, r FROM (SELECT *, sha256(event_id) AS e, sha256(run_id) AS r, json_extract_string(payload, '$.k') AS k FROM texts)"""
+
+
+@query(f"SELECT event_id, event_text FROM ({_EVENT_TEXT_SQL})")
 def canonical_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.canonical_event_text(stored_events(spark, sf_dir)).select("event_id", "event_text")
 
 
-@query("SELECT kind AS event_kind, count(*) AS n, count(*) AS ids, 0 AS failed FROM te GROUP BY kind")
+_QUOTED_SQL = "replace(replace(event_text, '\\', '\\\\'), '\"', '\\\"')"
+#: Candidates of all events: their ids, contexts and whole canonical JSON (without and with example_id).
+_CANDIDATES_SQL = f""", events_of AS ({_EVENT_TEXT_SQL}), told AS (SELECT *, {guid_sql('r')} AS guid, {_QUOTED_SQL} AS quoted FROM events_of),
+contexts AS (SELECT *, coalesce(string_agg('{{"event_id":"' || event_id || '","event_kind":"' || kind || '","event_text":"' || quoted || '","tool_name":null}}', ',') OVER w, '') AS context,
+coalesce(string_agg(event_id, ',') OVER w, '') AS before, ['fake', 'fixture', 'live'][(strpos('0123456789abcdef', right(guid, 1)) - 1) % 3 + 1] AS category,
+sha256('{{"adapter":"generic-jsonl","adapter_version":"1.0.0","event_content_sha256":"' || hash || '","run_input_sha256":"' || r || '"}}') AS source_hash
+FROM told WINDOW w AS (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+parts AS (SELECT *, '{{"adapter":"generic-jsonl","adapter_version":"1.0.0","context_after":[],"context_before":[' || context || '],"event_id":"' || event_id || '","event_kind":"' || kind
+|| '","event_text":"' || quoted || '",' AS head, '"license_or_consent":"CC0-1.0","lineage_id":"' || guid || '","redaction_version":"{VERSION}","run_id":"' || guid
+|| '","schema_version":"1.0.0","source_category":"' || category || '","source_hash":"' || source_hash || '","task_group_id":"' || guid || '","tool_name":null}}' AS rest FROM contexts),
+candidates AS (SELECT *, sha256(head || rest) AS example_id FROM parts) """
+
+
+@query(_CANDIDATES_SQL + "SELECT event_id, guid AS run_id, kind AS event_kind, event_text, before, category AS source_category, source_hash FROM candidates")
+def build_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw candidates of all events, with the ids of their contexts."""
+    before = F.array_join("context_before.event_id", ",").alias("before")
+    return _candidates(spark, sf_dir).select("event_id", "run_id", "event_kind", "event_text", before, "source_category", "source_hash")
+
+
+@query(_CANDIDATES_SQL + "SELECT event_id, example_id, event_text, CAST(NULL AS VARCHAR) AS error_code FROM candidates")
 def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of all events through redaction and validation."""
-    gated = candidates.candidate_gate(_candidates(spark, sf_dir))
-    return gated.groupBy("event_kind").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("example_id").alias("ids"), F.count("error_code").cast("int").alias("failed")
-    )
+    """Candidates of all events through redaction and validation, with the hash of the whole of each as its id."""
+    return candidates.candidate_gate(_candidates(spark, sf_dir)).select("event_id", "example_id", "event_text", "error_code")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, count(*) AS rows FROM te")
+@query(_CANDIDATES_SQL + """SELECT head || '"example_id":"' || example_id || '",' || rest AS line, (SELECT CAST(count(*) AS BIGINT) FROM te) AS written FROM candidates""")
 def write_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was written as JSON lines, read again."""
+    """What was written as JSON lines, read again, and the number that the writer tells."""
     folder = _folder(spark, "candidates")
     candidates.candidate_gate(_candidates(spark, sf_dir)).write.parquet(f"{folder}/gated")
     n = candidates.write_candidates(spark.read.parquet(f"{folder}/gated"), f"{folder}/jsonl")
-    return spark.read.text(f"{folder}/jsonl").agg(F.lit(n).cast("bigint").alias("n"), F.count(F.lit(1)).alias("rows"))
+    return spark.read.text(f"{folder}/jsonl").select(F.col("value").alias("line"), F.lit(n).cast("bigint").alias("written"))
 
 
-@query("SELECT count(*) AS n, 0 AS bad FROM te")
+@query(_CANDIDATES_SQL + "SELECT example_id, '' AS violations FROM candidates")
 def validate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contracts.validate_candidates(candidates.candidate_gate(_candidates(spark, sf_dir)))
-    return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("violations") > 0).cast("int").alias("bad"))
+    return found.select("example_id", F.concat_ws(",", "violations").alias("violations"))
 
 
 def _teacher_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,7 +461,10 @@ def event_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.events.select("sequence", "content_sha256", "event_id")
 
 
-@query("SELECT count(DISTINCT user_id) AS reports FROM events", traces=False)
+_IDS_SQL, _OF_REPORTS_SQL = _REPORT_SQL.split("SELECT run_id, identity AS content_identity_sha256, ")
+
+
+@query(_IDS_SQL + "SELECT " + _OF_REPORTS_SQL)
 def write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all runs, written and read again."""
     from ..operators import views
@@ -446,7 +472,7 @@ def write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = _folder(spark, "reports")
     views.write_reports(export_report(spark, sf_dir), folder)
-    return spark.read.json(folder).filter("schemaVersion = '1.0'").agg(F.count(F.lit(1)).alias("reports"))
+    return spark.read.text(folder).withColumnRenamed("value", "report")
 
 
 @query("""SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT run_id, sum(82 + strlen(kind) + strlen(summary) + strlen(payload)
@@ -535,7 +561,8 @@ def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.stored(spark, store, "outcomes", schemas.OUTCOMES).select(F.regexp_extract("path", "run=(run-[0-9]+)", 1).alias("run_id"), "outcome", "code")
 
 
-@query("SELECT count(DISTINCT user_id) AS pages FROM events", traces=False)
+@query(_IDS_SQL + """SELECT '<!doctype html><meta charset="utf-8"><title>Trace report</title><pre>' || replace(replace(replace(replace(replace(report, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+'"', '&quot;'), '''', '&#39;') || '</pre>' AS page FROM (SELECT """ + _OF_REPORTS_SQL + ")")
 def write_html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all runs as escaped pages, written and read again."""
     from ..operators import views
@@ -543,8 +570,7 @@ def write_html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = _folder(spark, "pages")
     views.write_reports(export_report(spark, sf_dir), folder, "html")
-    sound = "value LIKE '<!doctype html>%&quot;schemaVersion&quot;:&quot;1.0&quot;%</pre>' AND instr(value, '\"schemaVersion') = 0"
-    return spark.read.text(folder).filter(sound).agg(F.count(F.lit(1)).alias("pages"))
+    return spark.read.text(folder).withColumnRenamed("value", "page")
 
 
 @query(_REPORT_SQL.replace("SELECT run_id, identity AS content_identity_sha256, ", "SELECT run_id || '.json' AS name, ").replace("AS report FROM ids", "|| chr(10) AS content FROM ids"))
