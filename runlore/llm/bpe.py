@@ -14,12 +14,17 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs of tokens and pieces of text that a worker remembers at most (pieces: until a batch goes beyond).
-MOST_PAIRS, MOST_PIECES = 700_000, 500_000
+from .common import let_go
+from .hashed_text import text_runs
+
+#: Pairs of tokens that a worker remembers at most in a task; pieces of text after which those of before are forgotten that
+#: were not met since; characters of texts that are split at once.
+MOST_PAIRS, MOST_PIECES, RUN = 700_000, 120_000, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -164,24 +169,35 @@ class Codec:
 
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        #: Decimal ids, joined by spaces, of pieces.
+        #: Decimal ids, joined by spaces, of pieces met lately, and of those met before.
         self.pieces: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.token = {str(i): t for i, t in self.vocabulary.tokens.items()}
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[str]:
         """Of each text (null: empty) the decimal ids, joined by spaces."""
-        parts = [self.split(t or "") for t in texts]
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        walk = PrefixEncoding(self.vocabulary)
-        for piece in sorted(set().union(*parts) - self.pieces.keys()):
-            data = piece.encode("utf-8", "replace")
-            whole = self.vocabulary.ranks.get(data)
-            if whole is None:
-                walk.become(data)
-            self.pieces[piece] = str(whole) if whole is not None else " ".join(map(str, walk.tokens()))
-        for part in parts:
-            yield " ".join(map(self.pieces.__getitem__, part))
+        for run in text_runs(texts, RUN):
+            parts = [self.split(t or "") for t in run]
+            if len(self.pieces) > MOST_PIECES:
+                self.before, self.pieces = self.pieces, {}
+            walk = PrefixEncoding(self.vocabulary)
+            for piece in sorted(set().union(*parts) - self.pieces.keys()):
+                self.pieces[piece] = self.before.get(piece) or self._ids(piece, walk)
+            for part in parts:
+                yield " ".join(map(self.pieces.__getitem__, part))
+
+    def _ids(self, piece: str, walk: PrefixEncoding) -> str:
+        data = piece.encode("utf-8", "replace")
+        whole = self.vocabulary.ranks.get(data)
+        if whole is not None:
+            return str(whole)
+        walk.become(data)
+        return " ".join(map(str, walk.tokens()))
+
+    def forget(self) -> None:
+        """Lets pieces and pairs go. The vocabulary stays, as it takes a second to build."""
+        self.pieces, self.before = {}, {}
+        self.vocabulary.adjoining = {}
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.split()))
@@ -193,10 +209,12 @@ def bpe_codes(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     shared, name = df.sparkSession.sparkContext.broadcast((ranks, pattern)), _name(ranks, pattern)
 
     @F.pandas_udf("n_tokens bigint, token_ids array<int>, decoded binary")
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        codec = _codec(shared, name)
-        rows = [(len(x), x, codec.decode(s)) for s in codec.encode(texts) for x in [list(map(int, s.split()))]]
-        return pd.DataFrame(rows, columns=["n_tokens", "token_ids", "decoded"])
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            codec = _codec(shared, name)
+            rows = [(len(x), x, codec.decode(s)) for s in codec.encode(texts) for x in [np.fromstring(s, np.int32, sep=" ")]]
+            yield pd.DataFrame(rows, columns=["n_tokens", "token_ids", "decoded"])
+        _forget()
 
     return coded.asNondeterministic()(F.col(text))
 
@@ -207,8 +225,10 @@ def bpe_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     shared, name = df.sparkSession.sparkContext.broadcast((ranks, pattern)), _name(ranks, pattern)
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def digests(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(_digests(_codec(shared, name), texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame(list(_digests(_codec(shared, name), texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        _forget()
 
     return digests.asNondeterministic()(F.col(text))
 
@@ -233,3 +253,10 @@ def _codec(shared, name: str) -> Codec:
         _codecs.clear()
         _codecs[name] = Codec(*shared.value)
     return _codecs[name]
+
+
+def _forget() -> None:
+    """At a task's end: idle workers stay beside their executor, and later stages need the memory."""
+    for codec in _codecs.values():
+        codec.forget()
+    let_go()
