@@ -29,7 +29,8 @@ def _reports(policy: Policy | None, json: bool) -> Column:
                 out, r = redactor.report_json(v) if json else redactor.report(v)
                 rows.append((out, r["version"], r["config_hash"], r["input_hash"], r["output_hash"], r["counts"], r["total"], r["passed"], None))
             except RedactionError as e:
-                rows.append((None, redactor.policy.version, redactor.policy.config_hash, None, None, None, None, False, e.code))
+                counts = getattr(e, "counts", None)
+                rows.append((None, redactor.policy.version, redactor.policy.config_hash, None, None, counts, None if counts is None else sum(counts.values()), False, e.code))
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return redacted.asNondeterministic()
@@ -37,7 +38,7 @@ def _reports(policy: Policy | None, json: bool) -> Column:
 
 def redact_text(df: DataFrame, col: str, policy: Policy | None = None, into: str = "redaction") -> DataFrame:
     """df with a struct column: the redacted text and its report (see REPORT). Rows that can't be redacted have an
-    error_code and no text; a null text has a null report."""
+    error_code and no text, but those that fail the scan tell what was found (counts, total); a null text has a null report."""
     if policy is not None and policy != Policy():
         return df.withColumn(into, _reports(policy, False)(F.col(col)))
     rare = text_redaction.holds_marks(F.col(col))
@@ -51,7 +52,7 @@ def redact_json(df: DataFrame, col: str, policy: Policy | None = None, into: str
 
 
 def redaction_totals(reported: DataFrame, column: str = "redaction") -> DataFrame:
-    """kind, rows, replacements over all reports."""
+    """kind, rows, replacements over all reports, those of texts that fail the scan included."""
     kinds = reported.select(F.explode(f"{column}.counts").alias("kind", "n"))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").cast("bigint").alias("replacements"))
 

@@ -126,6 +126,18 @@ def test_totals_of_all_kinds(spark, tmp_path):
     assert {r.kind for r in QUERIES["redaction_totals"](spark, str(tmp_path)).collect()} == {"EMAIL", "PHONE"}
 
 
+def test_totals_count_texts_that_fail_the_scan(spark, tmp_path):
+    """A bare value in prose leaves words behind its placeholder, so the scan fails and no text comes out; what was found in it counts."""
+    prose = "some words, password=15959ad9338a more words +1 (443) 555-5793 and a.b@example.org at the end"
+    rows = spark.createDataFrame([(1, prose), (2, "c@d.co"), (3, "\ufdd0 " + prose)], "doc_id bigint, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.redaction for r in ops.redact_text(rows, "text").collect()}
+    for i in (1, 3):  # by expressions and by the engine
+        assert (got[i].error_code, got[i].redacted, got[i].passed, got[i].total) == ("SCAN_FAILED", None, False, 3)
+        assert got[i].counts == {"CONNECTION_PASSWORD": 1, "EMAIL": 1, "PHONE": 1}
+    assert {tuple(r) for r in QUERIES["redaction_totals"](spark, str(tmp_path)).collect()} == {("EMAIL", 3, 3), ("PHONE", 2, 2)}
+
+
 def test_expressions_do_what_the_engine_does(spark):
     """Texts made of bits that the passes look for, joined at random: reports and scans of both ways are the same."""
     rng = random.Random(3)
