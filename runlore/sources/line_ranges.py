@@ -1,6 +1,6 @@
 """Lines of trace files by ranges of bytes: large files are cut by several tasks, each line is parsed where it is cut.
 
-Spark's text reader deals files out in ranges and finds the first line feed after a range's start itself. A task numbers
+A range has the lines that begin in it: a task looks for the first line feed from the range's start on itself. It numbers
 its range's lines and adds up their bytes, and tells both for the whole range in a row of its own. A running sum of these few
 rows over the ranges of a file then gives every line its number, its offset and its place among the valid ones, so no line
 is sorted or moved for them.
@@ -13,11 +13,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stores
+
 _BLANK = re.compile(rb"[\x09-\x0D\x20\x85\xA0]*")
-#: Names of files that the text reader would unpack; they are cut whole.
+#: Names of packed files, which are cut whole.
 PACKED = r"\.(gz|bz2|deflate|snappy|lz4|lzo|zst|zstd|xz)$"
 BOM = b"\xef\xbb\xbf"
 #: Of a line: place among its range's lines (from 0), offset in it, bytes, and place among its valid ones; of a range
@@ -72,36 +74,41 @@ def _frames(lines: Iterator[tuple[str, int, bytes]], limits, parse) -> Iterator[
     yield made()
 
 
-def cut_ranges(spark: SparkSession, paths: str | list[str], limits, parse) -> DataFrame:
-    """Parsed lines and ranges of all files at paths up to the limit of bytes; others and empty ones are not read.
-    file is a path as Spark's metadata tells it."""
+def cut_ranges(files: DataFrame, limits, parse, range_bytes: int | None = None) -> DataFrame:
+    """Parsed lines and ranges of files(path, length) up to the limit of bytes; others and empty ones are not read. Ranges have
+    range_bytes (spark.sql.files.maxPartitionBytes, if none are given); a task takes several where they are small. file is the path."""
     schema = ", ".join(f"{c} {k}" for c, k in _COLUMNS.items())
-
-    def of_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((f, s, r) for b in batches for f, s, r in zip(b["file"], b["start"], b["raw"], strict=True))
-        yield from _frames(rows, limits, parse)
-
-    def of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def lines() -> Iterator[tuple[str, int, bytes]]:
-            for b in batches:
-                for f, content in zip(b["file"], b["raw"], strict=True):
-                    parts = content.split(b"\n")
-                    for raw in parts if parts[-1] else parts[:-1]:
-                        yield f, 0, raw
-
-        yield from _frames(lines(), limits, parse)
-
-    meta = F.col("_metadata")
-    small, packed = meta["file_size"] <= limits.total_bytes, meta["file_name"].rlike(PACKED)
-    text = spark.read.option("lineSep", "\n").text(paths).filter(small & ~packed)
-    ranges = text.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.col("value").cast("binary").alias("raw"))
-    whole = spark.read.format("binaryFile").load(paths).filter((F.col("length") <= limits.total_bytes) & packed)
-    whole = whole.select(meta["file_path"].alias("file"), F.col("content").alias("raw"))
-    return ranges.mapInPandas(of_lines, schema).unionByName(whole.mapInPandas(of_files, schema))
+    size = range_bytes or files.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    files = files.filter((F.col("length") <= limits.total_bytes) & (F.col("length") > 0))
+    packed = F.substring_index("path", "/", -1).rlike(PACKED)
+    starts = F.when(packed, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size)))
+    ranges = files.select("path", packed.alias("packed"), "length", F.explode(starts).alias("start"))
+    ranges = ranges.withColumn("stop", F.when(F.col("packed"), F.col("length")).otherwise(F.least(F.col("start") + size, "length")))
+    told = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (x for b in batches for x in zip(*(b[c] for c in ("path", "start", "stop", "packed")), strict=True))
+        yield from _frames(_read(rows), limits, parse)
+
+    return stores.dealt(ranges, *told, min(max(size, 1 << 20), stores.TASK_BYTES)).mapInPandas(cut, schema)
+
+
+def _read(ranges: Iterator[tuple[str, int, int, bool]]) -> Iterator[tuple[str, int, bytes]]:
+    """File, start of range and bytes of each line of ranges(path, start, stop, packed). A byte order mark is no part of a file's first
+    line, unless it is packed; a mark alone makes no line."""
+    for path, start, stop, packed in ranges:
+        store, inside = stores.located(path)
+        with store.open_input_file(inside) as file:
+            for i, raw in enumerate(stores.lines_of(file, start, stop)):
+                if start == 0 and i == 0 and not packed and raw.startswith(BOM):
+                    raw = raw[len(BOM) :]
+                    if not raw and stop == len(BOM):
+                        continue
+                yield path, start, raw
 
 
 def with_marks_alone(cut: DataFrame, files: DataFrame) -> DataFrame:
-    """cut with the one line of each of files(file, length, bom) that has nothing but a mark, of which the reader tells none."""
+    """cut with the one line of each of files(file, length, bom) that has nothing but a mark, of which cut_ranges tells none."""
     alone = files.filter((F.col("length") == len(BOM)) & F.col("bom")).select("file", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_range"))
     told = {"start": F.lit(0), "line": F.col("is_range").cast("bigint"), "at": F.col("is_range").cast("bigint"), "blank": ~F.col("is_range")}
     zero = {c: F.lit(0) for c in ("raw_bytes", "place", "too_long")}
@@ -124,8 +131,8 @@ def range_starts(cut: DataFrame, files: DataFrame) -> DataFrame:
 
 def placed(cut: DataFrame, starts: DataFrame) -> DataFrame:
     """Lines of the files of starts (from range_starts) with line (from 1), byte_offset, sequence (among valid ones), raw_bytes,
-    blank, what was parsed, and what starts tells of their file. The text reader takes off a byte order mark; with it a
-    first line is no JSON."""
+    blank, what was parsed, and what starts tells of their file. A byte order mark was taken off; with it a first line is no
+    JSON."""
     lines = cut.filter("not is_range").withColumnRenamed("line", "place_in_range").join(starts, ["file", "start"])
     first = (F.col("start") == 0) & (F.col("place_in_range") == 0)
     marked = (F.col("mark") > 0) & first

@@ -48,21 +48,18 @@ def run_id(adapter: str = ADAPTER, version: str = ADAPTER_VERSION) -> Column:
 
 
 def read_trace_files(spark: SparkSession, path: str, limits: ImportLimits = ImportLimits()) -> DataFrame:
-    """path, length, content, input_sha256, name and run_id of each file up to the limit of bytes; others stand in
-    oversize_files. The filter on length keeps Spark from reading the content of larger ones. The binary reader passes
-    over empty files, so those are listed by another reader, by name alone; they have no content, but are imports."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= limits.total_bytes)
-    files = files.select("path", "length", "content")
-    empty = stores.empty_files(spark, path)
-    if empty:
-        made = spark.createDataFrame([(p,) for p in empty], "path string")
-        files = files.unionByName(made.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
-    return _described(files)
+    """path, length, content, input_sha256, name and run_id of each file up to the limit of bytes, empty ones included; others stand
+    in oversize_files, and their content is not read."""
+    files = stores.listed_files(spark, path).filter(F.col("length") <= limits.total_bytes)
+    return _described(stores.with_contents(files))
 
 
 def oversize_files(spark: SparkSession, path: str | list[str], limits: ImportLimits = ImportLimits()) -> DataFrame:
     """path and code of files beyond the limit of bytes; their content is not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return _too_large(stores.listed_files(spark, path), limits)
+
+
+def _too_large(files: DataFrame, limits: ImportLimits) -> DataFrame:
     return files.filter(F.col("length") > limits.total_bytes).select("path", F.lit("TOTAL_BYTES_LIMIT").alias("code"))
 
 
@@ -216,11 +213,34 @@ class Imported:
         return self.events.select("run_id", "sequence", "event_id", "kind", "content_sha256")
 
 
-def import_files(files: DataFrame, existing_runs: DataFrame, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> Imported:
-    """The import of files that are read whole (read_trace_files) against stored runs, each cut by one task. Nothing is kept
-    on the way, so contents are read for each of its frames; import_paths is the way for a store."""
-    lines = split_records(files, limits)
-    parsed = parse_records(lines)
+def _keeper(keep: str):
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{keep}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{keep}/{name}")
+
+    return kept
+
+
+def kept_lines(files: DataFrame, keep: str, limits: ImportLimits = ImportLimits()) -> tuple[DataFrame, DataFrame]:
+    """What split_records and parse_records give, worked out once and kept in a new folder; lines have content_sha256 in place of
+    their record."""
+    whole = split_records(files, limits).withColumn("p", F.when(~F.col("blank"), parsed_record("record"))).withColumn("content_sha256", F.sha2("record", 256))
+    lines = _keeper(keep)(whole.drop("record"), "lines")
+    return lines.drop("p"), lines.filter("not blank").select("*", "p.*").drop("p")
+
+
+def import_files(
+    files: DataFrame, existing_runs: DataFrame, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None, keep: str | None = None
+) -> Imported:
+    """The import of files that are read whole (read_trace_files) against stored runs, each cut by one task. With keep, a new
+    folder, contents are read twice and each record is parsed once; without it nothing is kept on the way, so they are read for each
+    of its frames. import_paths is the way for a store."""
+    if keep:
+        lines, parsed = kept_lines(files, keep, limits)
+        files = _keeper(keep)(files.drop("content"), "files")
+    else:
+        lines = split_records(files, limits)
+        parsed = parse_records(lines)
     rejected = enforce_import_limits(lines, parsed, limits)
     firsts = dedupe_imports(files.join(rejected.select("path"), "path", "left_anti"), existing_runs)
     new = files.join(firsts.filter("first").select("path"), "path", "left_semi")
@@ -255,38 +275,35 @@ def _imported(mine: DataFrame, new: DataFrame, firsts: DataFrame, rejected: Data
 TABLES = ("events", "diagnostics", "event_index", "runs", "outcomes")
 
 
-def described_files(spark: SparkSession, paths: str | list[str], limits: ImportLimits = ImportLimits(), empty: list[str] | None = None) -> DataFrame:
-    """path, file (as Spark's metadata tells it), length, input_sha256, name, run_id and bom (whether it begins with a byte
-    order mark that the text reader takes off) of the files up to the limit of bytes, empty ones included (empty: their
-    paths, where they are known)."""
-    meta = F.col("_metadata")
-    files = spark.read.format("binaryFile").load(paths).filter(F.col("length") <= limits.total_bytes)
-    bom = (F.substring("content", 1, 3) == F.lit(line_ranges.BOM)) & ~meta["file_name"].rlike(line_ranges.PACKED)
-    files = files.select("path", meta["file_path"].alias("file"), "length", F.sha2("content", 256).alias("input_sha256"), bom.alias("bom"))
-    if empty is None:
-        empty = [p for x in ([paths] if isinstance(paths, str) else paths) for p in stores.empty_files(spark, x)]
-    if empty:
-        made = spark.createDataFrame([(p,) for p in empty], "path string")
-        none = F.lit(hashlib.sha256(b"").hexdigest())
-        files = files.unionByName(made.select("path", F.col("path").alias("file"), F.lit(0).cast("bigint").alias("length"), none.alias("input_sha256"), F.lit(False).alias("bom")))
-    return files.withColumn("name", F.substring_index("path", "/", -1)).withColumn("run_id", run_id())
+def described_files(files: DataFrame, limits: ImportLimits = ImportLimits()) -> DataFrame:
+    """path, file (the path too), length, input_sha256, name, run_id and bom (whether it begins with a byte order mark that is no
+    part of its first line) of files(path, length) up to the limit of bytes, empty ones included. Files are read in blocks."""
+    files = files.filter(F.col("length") <= limits.total_bytes)
+    told = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    packed = re.compile(line_ranges.PACKED)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [stores.head_and_sha256(p, len(line_ranges.BOM)) for p in b["path"]]
+            bom = [head == line_ranges.BOM and not packed.search(p) for p, (head, _) in zip(b["path"], found, strict=True)]
+            yield pd.DataFrame({"path": b["path"], "length": b["length"], "input_sha256": [x for _, x in found], "bom": bom})
+
+    read = stores.dealt(files.select("path", "length"), *told).mapInPandas(hashed, f"{stores.FILES}, input_sha256 string, bom boolean")
+    return read.select("path", F.col("path").alias("file"), "length", "input_sha256", "bom").withColumn("name", F.substring_index("path", "/", -1)).withColumn("run_id", run_id())
 
 
 def import_paths(
-    spark: SparkSession, paths: str | list[str], existing_runs: DataFrame, keep: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None,
-    empty: list[str] | None = None,
+    spark: SparkSession, paths: str | list[str] | DataFrame, existing_runs: DataFrame, keep: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None,
+    range_bytes: int | None = None,
 ) -> Imported:
-    """The import of files against stored runs. Contents are read twice, once whole for their hash and once in ranges of bytes,
-    which are cut and parsed by a task each; all else reads what that has left in keep, a new folder. Nothing of a rejected
-    file is stored; a file of bad lines alone is stored as Partial without events."""
+    """The import of files (paths, patterns or rows of path and length) against stored runs. Tasks list the files; their contents
+    are read twice, once in blocks for their hash and once in ranges of bytes, which are cut and parsed; all else reads what that has
+    left in keep, a new folder. Nothing of a rejected file is stored; a file of bad lines alone is stored as Partial without events."""
     bounded_batches(spark)
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{keep}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{keep}/{name}")
-
-    files = kept(described_files(spark, paths, limits, empty), "files")
-    cut = line_ranges.with_marks_alone(kept(line_ranges.cut_ranges(spark, paths, limits, _parse), "cut"), files)
+    kept = _keeper(keep)
+    listed = kept(paths if isinstance(paths, DataFrame) else stores.listed_files(spark, paths), "listed")
+    files = kept(described_files(listed, limits), "files")
+    cut = line_ranges.with_marks_alone(kept(line_ranges.cut_ranges(listed, limits, _parse, range_bytes), "cut"), files)
     sums = cut.filter("is_range").groupBy("file").agg(F.sum("raw_bytes").alias("records"), F.sum("place").alias("valid"), F.sum("too_long").alias("long"))
     may_break = (F.col("records") > limits.records) | (F.col("valid") >= limits.events) | (F.col("long") > 0)
     marked = files.filter("bom").select("file", F.lit(True).alias("marked"))  # its first record may be longer than the reader tells
@@ -350,10 +367,6 @@ def new_import_id() -> str:
     return uuid.uuid4().hex
 
 
-def _oversize(spark: SparkSession, paths: str | list[str], limits: ImportLimits) -> DataFrame:
-    return oversize_files(spark, paths, limits).select("path", F.lit(None).cast("string").alias("run_id"), F.lit("Rejected").alias("outcome"), "code")
-
-
 def import_traces(spark: SparkSession, path: str | list[str], store: str, limits: ImportLimits = ImportLimits(), imported_at: Column | None = None) -> DataFrame:
     """Imports all files at path into the store and returns their outcomes, which stay in the store, as those of all imports
     do. One that failed can be repeated: its rows without a commit don't count."""
@@ -361,13 +374,15 @@ def import_traces(spark: SparkSession, path: str | list[str], store: str, limits
 
 
 def _import(
-    spark: SparkSession, path: str | list[str], store: str, limits: ImportLimits, imported_at: Column | None = None, batch: int | None = None, empty: list[str] | None = None
+    spark: SparkSession, path: str | list[str] | DataFrame, store: str, limits: ImportLimits, imported_at: Column | None = None, batch: int | None = None
 ) -> DataFrame:
     number = new_import_id()
     keep = f"{store}/_importing-{number}"
     before = commit_log.commits(spark, store)
     known = commit_log.read(spark, store, "runs", RUNS, before)
-    made = import_paths(spark, path, known, keep, limits, imported_at, empty)
-    number = store_import(made, store, number, _oversize(spark, path, limits), batch, before[-1].number if before else -1)
+    made = import_paths(spark, path, known, keep, limits, imported_at)
+    too_large = _too_large(spark.read.schema(stores.FILES).parquet(f"{keep}/listed"), limits)
+    refused = too_large.select("path", F.lit(None).cast("string").alias("run_id"), F.lit("Rejected").alias("outcome"), "code")
+    number = store_import(made, store, number, refused, batch, before[-1].number if before else -1)
     removed(spark, keep)
     return spark.read.schema(made.outcomes.schema).parquet(commit_log.folder(store, "outcomes", number))

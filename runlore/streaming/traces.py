@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.commit_log import commits
-from ..sources.line_ranges import escaped
 from ..sources.traces import ImportLimits, _import
 from .file_names import FileNames
 
@@ -29,10 +28,8 @@ def import_traces_stream(
         session = files.sparkSession
         if any(c.batch == number for c in commits(session, store)):
             return
-        named = files.select("path", "length").collect()  # of one batch, so their number is bounded
-        if named:
-            empty = [r["path"] for r in named if not r["length"]]
-            _import(session, [escaped(r["path"]) for r in named], store, limits, batch=number, empty=empty)
+        if not files.isEmpty():
+            _import(session, files.select("path", "length"), store, limits, batch=number)
 
     spark.dataSource.register(FileNames)
     fixed = directory.partition("*")[0].rpartition("/")[0] if "*" in directory else directory
