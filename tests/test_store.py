@@ -1,6 +1,7 @@
 """Store audit, field checks, candidates, contracts on small tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,38 @@ def test_candidates_are_redacted_and_have_context(spark, tmp_path):
     assert {r.example_id for r in again.collect()} == {r.example_id for r in rows}
 
 
+def test_expressions_gate_as_the_engine_does(spark):
+    """Candidates of texts joined at random: those that Spark gates alone and the others have what the engine makes of them."""
+    from runlore.functions.redaction import Redactor
+
+    rng = random.Random(5)
+    bits = ["plain", "é\u2028", "\U0001f600", '"', "\\", "\n\t\r\b\f", "\x7f", "/", " ", "\x1b", "a@b.co", "x=1", "GH", "+1 (212) 555-0100", "password = secret word", "C:\\Users\\ann"]
+    text = lambda: "".join(rng.choice(bits[: rng.choice([8, 9, 10, len(bits)])]) for _ in range(rng.randrange(4)))
+    rows = []
+    for i in range(300):
+        context = lambda k: [{"event_id": f"{k}{n}" if rng.random() < 0.95 else "e", "event_text": text(), "event_kind": "Message", "tool_name": rng.choice([None, text()])} for n in range(rng.randrange(3))]
+        row = dict.fromkeys(candidates.FIELDS, "x") | {
+            "event_id": "e", "context_before": context("b"), "context_after": context("a"), "event_text": rng.choice([None, text(), text()]), "tool_name": rng.choice([None, "t"]),
+            "source_category": rng.choice(["live"] * 9 + ["other", None]), "redaction_version": rng.choice(["redaction-v1"] * 9 + ["redaction-v2", None]), "license_or_consent": rng.choice(["CC0"] * 9 + ["", None]),
+        }
+        rows.append(row | {"source_hash": str(i)})
+    df = spark.createDataFrame(rows, candidates.CANDIDATE)
+    got = {r.n: r for r in candidates.candidate_gate(df.withColumn("sequence", F.col("source_hash").cast("bigint"))).withColumnRenamed("sequence", "n").collect()}
+    codes, redactor = set(), Redactor()
+    for i, row in enumerate(rows):
+        want, code = candidates.gate(row, redactor)
+        made = got[i].asDict(recursive=True)
+        assert made.pop("n") == i and made.pop("error_code") == code
+        assert made == (want or dict.fromkeys(made)), row
+        codes.add(code)
+    assert codes >= {None, "GATE_FAILED", "INVALID_CANDIDATE"}
+    assert 60 < df.filter(candidates._plain_candidate(candidates.canonical_by_spark())).count() < 300
+    sound = candidates.candidate_gate(df.withColumn("imported_at", F.lit(0)).withColumn("sequence", F.lit(0))).filter("error_code is null")
+    assert all("EXAMPLE_ID" not in r.violations for r in contracts.validate_candidates(sound).collect())
+    lines = sorted(r.value for r in candidates.candidate_json(sound).collect())
+    assert lines == sorted(strict_json.canonical(candidates._plain(r.asDict(recursive=True))) for r in sound.select("example_id", *candidates.FIELDS).collect())
+
+
 def test_export_fails_closed(spark, tmp_path):
     e = events(spark, [(0, "{}", "APP_PASSWORD=" + "x" * 5000), (1, "{}", "fine")])
     e = e.withColumn("summary", F.concat(F.lit("\n"), "summary"))
