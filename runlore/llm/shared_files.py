@@ -7,6 +7,7 @@ whole is an error, never an empty array.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections import OrderedDict
 
@@ -91,11 +92,20 @@ _read: OrderedDict[str, list[np.ndarray]] = OrderedDict()
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows of df, written as Parquet to a folder of the shared one and read again: their lineage is cut."""
+    """The rows of df, written as Parquet to a folder of the shared one and read again: their lineage is cut, and the shuffles
+    that they came from are let go."""
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    let_shuffles_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def let_shuffles_go(spark: SparkSession) -> None:
+    """Deletes the files of shuffles that no frame needs any more. Spark does so when the driver's garbage is collected, which
+    comes with the driver's work and not with the disk that they take: with large tables they would all stay to a stage's end."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a folder whose rows are needed no more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
